@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from scanlytics.operators.cube import not_null
+
 _BUCKETS_PER_OCTAVE = 256
 
 
@@ -25,39 +27,47 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, fractions: S
     only those few buckets are ranked.
     """
     counted = (
-        df.where(F.col(value).isNotNull())
+        not_null(df, *keys, value)
         .groupBy(*keys, F.col(value).cast("double").alias("_value"))
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_bucket", _bucket(F.col("_value")))
     )
+    # the join below would add this to one of its sides only, and the count would then run twice
+    counted = not_null(counted, "_bucket")
     buckets = counted.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_in_bucket"))
     whole = W.partitionBy(*keys)
     until = whole.orderBy("_bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
-    placed = buckets.select(
-        *keys,
-        "_bucket",
-        (F.sum("_in_bucket").over(until) - F.col("_in_bucket")).alias("_before"),
-        F.col("_in_bucket"),
-        F.sum("_in_bucket").over(whole).alias("_total"),
+    placed = buckets.withColumns(
+        {
+            "_before": F.sum("_in_bucket").over(until) - F.col("_in_bucket"),
+            "_total": F.sum("_in_bucket").over(whole),
+        }
     )
+
     # every fraction needs the values at floor and ceil of its position
-    place = F.col("_fraction") * (F.col("_total") - 1)
+    def target(fraction: float, side) -> Column:
+        place = F.lit(float(fraction)) * (F.col("_total") - 1)
+        return F.struct(F.lit(float(fraction)).alias("fraction"), place.alias("place"), side(place).alias("index"))
+
+    def in_bucket(t: Column) -> Column:
+        return (t["index"] >= F.col("_before")) & (t["index"] < F.col("_before") + F.col("_in_bucket"))
+
+    targets = F.array(*[target(f, side) for f in fractions for side in (F.floor, F.ceil)])
     wanted = (
-        placed.withColumn("_fraction", F.explode(F.array(*[F.lit(float(f)) for f in fractions])))
-        .withColumn("_place", place)
-        .withColumn("_index", F.explode(F.array_distinct(F.array(F.floor("_place"), F.ceil("_place")))))
-        .where((F.col("_index") >= F.col("_before")) & (F.col("_index") < F.col("_before") + F.col("_in_bucket")))
-        .select(*keys, "_bucket", "_fraction", "_place", "_index", "_before")
+        placed.withColumn("_targets", F.filter(targets, in_bucket))
+        .where(F.size("_targets") > 0)
+        .select(*keys, "_bucket", "_before", "_targets")
     )
-    hit = wanted.select(*keys, "_bucket").distinct()
     rising = W.partitionBy(*keys, "_bucket").orderBy("_value").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = counted.join(hit, [*keys, "_bucket"], "left_semi").withColumn("_upto", F.sum("_n").over(rising))
-    inside = F.col("_index") - F.col("_before")
+    ranked = (
+        counted.join(wanted, [*keys, "_bucket"])
+        .withColumn("_upto", F.col("_before") + F.sum("_n").over(rising))
+        .select(*keys, "_value", (F.col("_upto") - F.col("_n")).alias("_from"), "_upto", F.inline("_targets"))
+    )
     picked = (
-        ranked.join(wanted, [*keys, "_bucket"])
-        .where((inside >= F.col("_upto") - F.col("_n")) & (inside < F.col("_upto")))
-        .groupBy(*keys, "_fraction", "_place")
-        .agg(F.min_by("_value", "_index").alias("_low"), F.max_by("_value", "_index").alias("_high"))
+        ranked.where((F.col("index") >= F.col("_from")) & (F.col("index") < F.col("_upto")))
+        .groupBy(*keys, F.col("fraction").alias("_fraction"), F.col("place").alias("_place"))
+        .agg(F.min_by("_value", "index").alias("_low"), F.max_by("_value", "index").alias("_high"))
     )
     gap = F.col("_place") - F.floor("_place")
     return picked.select(

@@ -71,7 +71,7 @@ def order_rows(spark: SparkSession, folder: str) -> DataFrame:
     cents = "cast(round(l_extendedprice * 100) as bigint)"
     return lines.select(
         F.expr("concat(lower(r_name), '.csv')").alias("source_file"),
-        F.expr("cast(l_shipdate as timestamp_ntz) + make_dt_interval(0, cast(l_orderkey % 24 as int))").alias("hour_ts"),
+        F.expr("cast(to_date(l_shipdate) as timestamp_ntz) + make_dt_interval(0, cast(l_orderkey % 24 as int))").alias("hour_ts"),
         F.col("l_orderkey").alias("codeLocationId"),
         F.expr("concat('order_', cast(l_orderkey as string))").alias("codeLocationName"),
         F.expr("concat('v', cast(l_linenumber as string))").alias("versionName"),
