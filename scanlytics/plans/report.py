@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -21,6 +23,7 @@ _OTHER_GRAINS = [g for g in K.GRAINS if not g.startswith("file")]
 _BLOCK_GRAINS = ["global", "year"]
 _KEYS = ["grain", "source_file", "year", "projectName"]
 _ROWS_PER_BUCKET = 1 << 16
+_CONCURRENT_JOBS = 6
 
 
 @dataclass(frozen=True)
@@ -178,6 +181,13 @@ def chart_series(
     return out
 
 
+def _run_all(writes: list[Callable[[], None]]) -> None:
+    """Submit independent jobs together, so that one's last tasks do not leave the cluster idle."""
+    with ThreadPoolExecutor(_CONCURRENT_JOBS) as pool:
+        for done in [pool.submit(write) for write in writes]:
+            done.result()
+
+
 def write_report(
     rows: DataFrame,
     folder: str,
@@ -204,15 +214,16 @@ def write_report(
         return folder
     many = has_many_files(cube)
     analysis = analyse(rows, options, cube, many)
-    for name, table in analysis.items():
-        S.write_table(table, f"{folder}/analysis/{name}")
+    charts = chart_series(rows, options, cube, many)
+    graded = [t for t in charts.values() if "metric" in t.columns]
+    plain = {f"charts/{name}": t for name, t in charts.items() if "metric" not in t.columns}
+    plain |= {f"analysis/{name}": t for name, t in analysis.items()}
+
+    def table(name):
+        return lambda: S.write_table(plain[name], f"{folder}/{name}")
+
+    _run_all([lambda: S.write_series(_union(graded), f"{folder}/series"), *[table(name) for name in plain]])
     spark = rows.sparkSession
     written = {name: spark.read.parquet(f"{folder}/analysis/{name}") for name in analysis}
     S.write_documents(S.documents(written), f"{folder}/documents", options.compress)
-    charts = chart_series(rows, options, cube, many)
-    graded = [t for t in charts.values() if "metric" in t.columns]
-    S.write_series(_union(graded), f"{folder}/series")
-    for name, table in charts.items():
-        if "metric" not in table.columns:
-            S.write_table(table, f"{folder}/charts/{name}")
     return folder

@@ -15,9 +15,25 @@ _ROWS_PER_BUCKET = 1 << 16
 VIEW_COLUMNS = ["source_file", "hour_ts", *[c for c in LOG_COLUMNS if c != "hour"]]
 
 
+# The columns used, so that opening a table needs no job to infer its schema.
+_TABLES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, "
+    "l_returnflag string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double",
+}
+
+
+def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.schema(_TABLES[name]).parquet(f"{folder}/{name}.parquet")
+
+
 def event_rows(spark: SparkSession, folder: str) -> DataFrame:
     """One log row per event: hour grain, with null projects, null states and mixed case."""
-    events = spark.read.parquet(f"{folder}/events.parquet")
+    events = _table(spark, folder, "events")
     return events.select(
         F.expr("concat('instance_', cast(user_id % 3 as string), '.csv')").alias("source_file"),
         C.floor_hour(F.col("ts")).alias("hour_ts"),
@@ -62,7 +78,7 @@ def order_rows(spark: SparkSession, folder: str) -> DataFrame:
     """
 
     def table(name):
-        return spark.read.parquet(f"{folder}/{name}.parquet")
+        return _table(spark, folder, name)
 
     place = table("nation").join(table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     customers = table("customer").join(place, F.col("c_nationkey") == F.col("n_nationkey"))
@@ -98,7 +114,7 @@ def group_tree(spark: SparkSession, folder: str) -> DataFrame:
 
     def level(table, prefix, key, name, parent, is_project):
         pid = F.concat(F.lit(parent[0]), F.col(parent[1]).cast("string")) if parent else F.lit(None).cast("string")
-        return spark.read.parquet(f"{folder}/{table}.parquet").select(
+        return _table(spark, folder, table).select(
             F.concat(F.lit(prefix), F.col(key).cast("string")).alias("id"),
             pid.alias("pid"),
             F.col(name).alias("name"),
