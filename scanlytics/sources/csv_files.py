@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import io
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -25,7 +26,7 @@ def _headers(paths: DataFrame) -> DataFrame:
             lines = []
             for path in frame["path"]:
                 with open_file(path) as raw:
-                    lines.append(raw.readline().decode("utf-8-sig").rstrip("\r\n"))
+                    lines.append(io.TextIOWrapper(raw, "utf-8-sig").readline().rstrip("\r\n"))
             yield pd.DataFrame({"path": frame["path"], "header": lines})
 
     return paths.mapInPandas(first_lines, "path string, header string")
@@ -44,10 +45,13 @@ def _log_rows(spark: SparkSession, files: list[str], line: str, multi_line: bool
         text = F.col(f"_c{header.index(name)}")
         return F.when(~text.isin(NULL_TOKENS), text).alias(name)
 
-    path = F.col("_metadata.file_path")
+    def decoded(name):
+        # Spark gives file names percent-encoded; a plain + is no space
+        return F.url_decode(F.replace(F.col(f"_metadata.{name}"), F.lit("+"), F.lit("%2B")))
+
     return rows.select(
-        F.regexp_replace(path, "/[^/]*$", "").alias("archive"),
-        F.col("_metadata.file_name").alias("source_file"),
+        F.regexp_replace(decoded("file_path"), "/[^/]*$", "").alias("archive"),
+        decoded("file_name").alias("source_file"),
         F.lit(None).cast("bigint").alias("row_no"),
         F.array(*[F.lit(c) for c in header]).alias("header"),
         *[log_column(c) for c in LOG_COLUMNS],
