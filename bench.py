@@ -7,7 +7,6 @@ import json
 import os
 import statistics
 import sys
-import tempfile
 import time
 
 ROOT = os.path.dirname(os.path.abspath(__file__))
@@ -17,7 +16,7 @@ from pyspark.sql import SparkSession  # noqa: E402
 
 from scanlytics import ReportOptions, write_report  # noqa: E402
 from scanlytics.registry.queries import queries  # noqa: E402
-from scanlytics.session import configure  # noqa: E402
+from scanlytics.session import configure, scratch_path  # noqa: E402
 from scanlytics.sources.views import order_activity  # noqa: E402
 
 HEADLINE = [
@@ -79,7 +78,7 @@ def main():
         run(name)
         seconds[name] = round(statistics.median(timed(lambda: run(name)) for _ in range(RUNS)), 3)
     if names == HEADLINE:
-        out = tempfile.mkdtemp(prefix="bench-report-")
+        out = scratch_path(spark, "bench-report")
         options = ReportOptions(capacity_sph=60)
         seconds["full_report"] = round(timed(lambda: write_report(order_activity(spark, folder), out, options)), 3)
     spark.stop()

@@ -21,6 +21,7 @@ from scanlytics.plans.report import ReportOptions, analyse, chart_series, write_
 from scanlytics.plans.scan_report import project_scan_report
 from scanlytics.sources.archives import read_archives
 from scanlytics.sources.csv_files import read_csv_files
+from scanlytics.sources.group_tree import read_group_tree
 from scanlytics.sources.landing import land, read_landed
 
 __version__ = "0.1.0"
@@ -42,6 +43,7 @@ __all__ = [
     "quality_counts",
     "read_archives",
     "read_csv_files",
+    "read_group_tree",
     "read_landed",
     "retention",
     "slice_metrics",

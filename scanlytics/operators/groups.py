@@ -14,9 +14,11 @@ def projects_in_group(tree: DataFrame, group: str, contains: bool = False) -> Da
     ``tree`` has one row per child link: ``id, pid, name, isProject``. The walk goes down one level at a
     time; each level is one join of the tree with the groups found last and is checkpointed, so lineage
     stays short and a lost executor costs one level. A group met before is not entered again, so the walk
-    ends on cyclic input too. ``contains`` matches the name as a substring.
+    ends on cyclic input too. ``contains`` matches the name as a substring. A node that does not say
+    whether it is a project is one.
     """
     shared_folder(tree.sparkSession)
+    tree = tree.withColumn("isProject", F.coalesce("isProject", F.lit(True)))
     name = F.col("name")
     named = F.contains(name, F.lit(group)) if contains else name == group
     groups = tree.where(~F.col("isProject") & named).select("id").distinct().checkpoint()

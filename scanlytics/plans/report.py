@@ -22,7 +22,7 @@ _FILE_GRAINS = [g for g in K.GRAINS if g.startswith("file")]
 _OTHER_GRAINS = [g for g in K.GRAINS if not g.startswith("file")]
 _BLOCK_GRAINS = ["global", "year"]
 _KEYS = ["grain", "source_file", "year", "projectName"]
-_ROWS_PER_BUCKET = 1 << 16
+_ROWS_PER_BUCKET = 1 << 20
 _CONCURRENT_JOBS = 6
 
 
@@ -198,9 +198,10 @@ def write_report(
 ) -> str:
     """Write a run below ``folder``: the activity cube first, then every table from it.
 
-    The cube is a written table, so a lost executor never sends a run back to the logs. ``tree`` and
-    ``group`` keep only the projects below a project group. With ``project_scans`` only the project-scan
-    report is written.
+    The cube is a written table, so a lost executor repeats no work before it. State counts, project
+    summary, profiles and trends need the rows themselves: pass landed rows, so that archives are
+    unpacked once. ``tree`` and ``group`` keep only the projects below a project group. With
+    ``project_scans`` only the project-scan report is written.
     """
     if group is not None:
         rows = filter_projects(rows, projects_in_group(tree, group))

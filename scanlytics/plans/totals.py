@@ -27,10 +27,11 @@ def _with_rate(df: DataFrame) -> DataFrame:
     return df.withColumn("success_rate", C.percent(F.col("successful_scans"), F.col("total_scans")))
 
 
-def summary_totals(activity: DataFrame) -> DataFrame:
+def summary_totals(activity: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """One row: files, rows, distinct projects, scans by outcome and the success rate.
 
-    Rows are first folded to (file, project), so the two distinct counts see a small table.
+    Rows are first folded to (file, project), so the two distinct counts see a small table. ``files``
+    lists the files read, for counting those without rows too.
     """
     reduced = K.roll_up(activity, ["source_file", "projectName"], "rows", "scans")
     totals = reduced.agg(
@@ -38,6 +39,8 @@ def summary_totals(activity: DataFrame) -> DataFrame:
         F.count_distinct("projectName").alias("unique_projects"),
         *_totals(),
     )
+    if files is not None:
+        totals = totals.withColumn("total_files", files.agg(F.count(F.lit(1))).scalar())
     return _with_rate(totals)
 
 

@@ -66,6 +66,20 @@ def unpack_archives(contents: DataFrame) -> DataFrame:
     return contents.select("path", "content").mapInArrow(unpack, RAW_SCHEMA)
 
 
+def archive_entries(contents: DataFrame) -> DataFrame:
+    """``archive, source_file`` of every CSV entry, those without rows included. Reads no entry."""
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column("path"), batch.column("content")):
+                with zipfile.ZipFile(pa.BufferReader(content.as_buffer())) as archive:
+                    found = csv_entries(archive, path.as_py())
+                columns = [pa.array([path.as_py()] * len(found)), pa.array(found)]
+                yield pa.RecordBatch.from_arrays(columns, names=["archive", "source_file"])
+
+    return contents.select("path", "content").mapInArrow(names, "archive string, source_file string")
+
+
 class _Entry(InputPartition):
     def __init__(self, path: str, entry: str):
         self.path = path
@@ -103,6 +117,14 @@ class ZipCsvSource(DataSource):
         return _ZipReader(self.options["path"])
 
 
+def archive_contents(spark: SparkSession, path: str) -> DataFrame:
+    """``path, content`` of one archive, a glob or a folder of archives."""
+    files = spark.read.format("binaryFile")
+    if not path.endswith(".zip"):
+        files = files.option("pathGlobFilter", "*.zip")
+    return files.load(path).select("path", "content")
+
+
 def read_archives(spark: SparkSession, path: str, split_entries: bool = False) -> DataFrame:
     """All CSV entries of one archive, a glob or a folder of archives, as raw rows with their origin.
 
@@ -113,7 +135,4 @@ def read_archives(spark: SparkSession, path: str, split_entries: bool = False) -
     if split_entries:
         spark.dataSource.register(ZipCsvSource)
         return spark.read.format("zipcsv").load(path)
-    files = spark.read.format("binaryFile")
-    if not path.endswith(".zip"):
-        files = files.option("pathGlobFilter", "*.zip")
-    return unpack_archives(files.load(path))
+    return unpack_archives(archive_contents(spark, path))

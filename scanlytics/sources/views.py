@@ -10,7 +10,7 @@ from scanlytics.functions.enrich import enrich
 from scanlytics.operators.ranking import row_positions
 from scanlytics.schema import LOG_COLUMNS
 
-_ROWS_PER_BUCKET = 1 << 16
+_ROWS_PER_BUCKET = 1 << 20
 
 VIEW_COLUMNS = ["source_file", "hour_ts", *[c for c in LOG_COLUMNS if c != "hour"]]
 

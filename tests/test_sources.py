@@ -130,3 +130,28 @@ def test_landed_cube(spark, tmp_path, folder):
     back = read_cube(spark, path).select(*cube.columns)
     assert back.exceptAll(cube).isEmpty() and back.count() == cube.count()
     assert back.agg(F.sum("scans_all")).first() == cube.agg(F.sum("scans_all")).first()
+
+
+def test_files_without_rows_count(spark, archive):
+    from scanlytics.sources.archives import archive_contents, archive_entries
+
+    with zipfile.ZipFile(archive, "a") as z:
+        z.writestr("empty.csv", "hour,scanCount\n")
+    contents = archive_contents(spark, str(archive))
+    entries = archive_entries(contents)
+    assert sorted(r.source_file for r in entries.collect()) == ["empty.csv", "prod.csv", "x/stg.csv"]
+    a = enrich(read_archives(spark, str(archive)))
+    assert totals.summary_totals(a).first().total_files == 2
+    assert totals.summary_totals(a, entries).first().total_files == 3
+
+
+@pytest.mark.parametrize("format", ["parquet", "json", "csv"])
+def test_group_tree(spark, tmp_path, format):
+    from scanlytics import projects_in_group, read_group_tree
+
+    rows = [("g", None, "Team", False), ("p", "g", "x", True), ("q", "g", "y", None)]
+    tree = spark.createDataFrame(rows, "id string, pid string, name string, isProject boolean")
+    path = str(tmp_path / "tree")
+    tree.write.format(format).option("header", True).save(path)
+    back = read_group_tree(spark, path, format)
+    assert values(projects_in_group(back, "Team"), "projectName") == [("x",), ("y",)]
