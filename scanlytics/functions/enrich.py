@@ -61,6 +61,7 @@ def enrich(df: DataFrame, hour_formats: Sequence[str] = (), bucket: str | None =
         "is_success": C.is_success(F.col("state")),
         "is_failure": C.is_failure(F.col("state")),
         "scan_date": F.to_date("hour_ts"),
+        "has_project_column": in_file("projectName"),
     }
     if "year" not in names:
         derived["year"] = F.year("hour_ts")

@@ -10,7 +10,16 @@ from pyspark.sql import functions as F
 from scanlytics.functions import columns as C
 from scanlytics.schema import STATUSES
 
-CUBE_KEYS = ["source_file", "year", "scan_date", "hour_ts", "projectName", "project_label", "scanType"]
+CUBE_KEYS = [
+    "source_file",
+    "year",
+    "scan_date",
+    "hour_ts",
+    "projectName",
+    "has_project_column",
+    "project_label",
+    "scanType",
+]
 
 # Key columns of each grain; a grain's name lists its keys.
 GRAINS = {

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from scanlytics.functions import columns as C
 
+# Stands for the project of a row whose file has no project column; no name contains a line break.
+_NO_COLUMN = "\n(no project column)"
+
 
 def filter_years(df: DataFrame, start_year: int | None = None, end_year: int | None = None) -> DataFrame:
     """Inclusive year range; rows without an hour go only when a bound is given.
@@ -27,16 +30,15 @@ def filter_projects(df: DataFrame, projects: DataFrame) -> DataFrame:
     """Keep rows whose projectName is in ``projects`` (column ``projectName``).
 
     Rows of a file that has no project column stay, unless the project set is empty. Works on rows and on
-    a cube alike; on large data filter the cube. The join side is left to Spark: it broadcasts the set
-    while it is under the session's threshold and otherwise joins by shuffle with AQE skew handling.
+    a cube alike; on large data filter the cube: Spark moves the semi join below the aggregate while it
+    can broadcast the set, and otherwise joins the aggregated rows by shuffle.
     """
-    wanted = projects.select("projectName").where(F.col("projectName").isNotNull()).distinct()
-    if "header" not in df.columns:
-        return df.join(wanted, "projectName", "left_semi")
-    has_column = F.array_contains("header", "projectName")
-    matching = df.where(has_column).join(wanted, "projectName", "left_semi").select(*df.columns)
-    any_wanted = wanted.limit(1).agg(F.count(F.lit(1))).scalar() > 0
-    return matching.unionByName(df.where(~has_column & any_wanted))
+    wanted = projects.select(F.col("projectName").alias("_key")).where(F.col("_key").isNotNull())
+    key = F.col("projectName")
+    if "has_project_column" in df.columns:
+        key = F.when(F.col("has_project_column"), key).otherwise(_NO_COLUMN)
+        wanted = wanted.unionByName(wanted.limit(1).select(F.lit(_NO_COLUMN).alias("_key")))
+    return df.withColumn("_key", key).join(wanted, "_key", "left_semi").drop("_key")
 
 
 def retention(df: DataFrame, kept: Column, by: str | None = None) -> DataFrame:

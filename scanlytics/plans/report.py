@@ -203,10 +203,12 @@ def write_report(
     unpacked once. ``tree`` and ``group`` keep only the projects below a project group. With
     ``project_scans`` only the project-scan report is written.
     """
-    if group is not None:
-        rows = filter_projects(rows, projects_in_group(tree, group))
     folder = folder.rstrip("/")
-    land_cube(K.activity_cube(rows), f"{folder}/cube")
+    cube = K.activity_cube(rows)
+    if group is not None:
+        projects = projects_in_group(tree, group)
+        rows, cube = filter_projects(rows, projects), filter_projects(cube, projects)
+    land_cube(cube, f"{folder}/cube")
     cube = read_cube(rows.sparkSession, f"{folder}/cube")
     if project_scans:
         kept = filter_years(cube, options.start_year, options.end_year)

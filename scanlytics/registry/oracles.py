@@ -332,10 +332,10 @@ def _cube() -> str:
         sums.append(_sum("scanCount", f"scans_{status}", where))
         sums.append(_sum("totalScanSize", f"size_{status}", where))
     return (
-        f"SELECT source_file, year, scan_date, {_ISO}, projectName, project_label, scanType, {', '.join(sums)} FROM "
+        f"SELECT source_file, year, scan_date, {_ISO}, projectName, true AS has_project_column, project_label, scanType, {', '.join(sums)} FROM "
         "(SELECT *, coalesce(projectName, versionName, '(Unknown project)') AS project_label FROM act) "
-        "GROUP BY source_file, year, scan_date, act_hour(hour_ts), projectName, project_label, scanType"
-    ).replace("act_hour(hour_ts)", "hour_ts")
+        "GROUP BY source_file, year, scan_date, hour_ts, projectName, project_label, scanType"
+    )
 
 
 def oracle_sql() -> dict[str, str]:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import zipfile
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 import pandas as pd
@@ -20,6 +21,7 @@ from scanlytics.schema import LOG_COLUMNS, RAW_SCHEMA
 from scanlytics.sources.remote import list_files, open_file
 
 _CHUNK_ROWS = 50_000
+_LISTING_THREADS = 32
 _HEADER_TYPE = pa.list_(pa.string())
 
 
@@ -92,11 +94,13 @@ class _ZipReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         """One partition per entry; only the archives' directories are read here."""
-        found = []
-        for path in list_files(self.path, ".zip"):
+
+        def entries(path: str) -> list[InputPartition]:
             with open_file(path) as raw, zipfile.ZipFile(raw) as archive:
-                found += [_Entry(path, entry) for entry in csv_entries(archive, path)]
-        return found
+                return [_Entry(path, entry) for entry in csv_entries(archive, path)]
+
+        with ThreadPoolExecutor(_LISTING_THREADS) as pool:
+            return [e for found in pool.map(entries, list_files(self.path, ".zip")) for e in found]
 
     def read(self, partition: Any) -> Iterator[pa.RecordBatch]:
         with open_file(partition.path) as raw, zipfile.ZipFile(raw) as archive:

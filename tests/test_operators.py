@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from logs import activity, row, values
+from scanlytics.functions.enrich import enrich
 from scanlytics.operators import cube as K
 from scanlytics.operators.filters import filter_projects, filter_years, page, retention, slice_metrics
 from scanlytics.operators.groups import projects_in_group
@@ -119,8 +120,8 @@ def test_project_filter(spark):
 
 
 def test_project_filter_keeps_files_without_the_column(spark):
-    rows = [(["projectName", "hour"], "x"), (["projectName", "hour"], "y"), (["hour"], None)]
-    df = spark.createDataFrame(rows, "header array<string>, projectName string")
+    rows = [(["projectName", "hour"], "x"), (["projectName", "hour"], "y"), (["hour"], None), (["projectName"], None)]
+    df = enrich(spark.createDataFrame(rows, "header array<string>, projectName string"))
     only = spark.createDataFrame([("x",)], "projectName string")
     assert filter_projects(df, only).count() == 2
     assert filter_projects(df, only.where("false")).count() == 0
