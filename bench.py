@@ -84,6 +84,7 @@ def main():
     spark.stop()
     total = round(sum(seconds.values()), 3)
     scale = os.path.basename(folder.rstrip("/")).removeprefix("sf")
+    scale = float(scale) if scale.replace(".", "", 1).isdigit() else scale
     print(json.dumps({"metric": "headline_queries_total", "value": total, "unit": "sec", "queries": seconds, "sf": scale}))
 
 

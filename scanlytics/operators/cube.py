@@ -83,7 +83,8 @@ def by_grains(
 ) -> DataFrame:
     """GROUP BY GROUPING SETS over the given grains, each with the ``also_by`` keys added.
 
-    Feed it a roll-up to the finest grain, not raw rows: the sets multiply their input.
+    Feed it a roll-up to the finest grain, not raw rows: the sets multiply their input. No rows give no
+    groups, the global one included; ``summary_totals`` is what reports an empty log.
     Returns ``grain, source_file, year, projectName, *also_by, *aggregates``.
     """
     unknown = set(grains) - set(GRAINS)

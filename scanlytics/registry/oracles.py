@@ -228,11 +228,13 @@ _SNIPPET = (
     f"{_pct('snip', 'sph')} AS snippet_pct, CASE WHEN snip IS NULL THEN 'none'"
     f" WHEN {_pct('snip', 'sph')} >= 50 THEN 'red' WHEN {_pct('snip', 'sph')} >= 25 THEN 'amber' ELSE 'green' END AS snippet_severity"
 )
+# an empty log has peak 0
+_PEAK = "coalesce(CAST(max(sph) AS BIGINT), 0)"
 _SPH = (
-    f"CAST(max(sph) AS BIGINT) AS peak_sph, count(*) FILTER (WHERE sph >= {CAPACITY}) AS breach_count,"
+    f"{_PEAK} AS peak_sph, count(*) FILTER (WHERE sph >= {CAPACITY}) AS breach_count,"
     f" count(*) FILTER (WHERE sph >= {_WARN} AND sph < {CAPACITY}) AS warning_count,"
     f" CAST({CAPACITY} AS BIGINT) AS capacity_sph, CAST(80 AS BIGINT) AS warning_pct,"
-    f" CAST({_WARN} AS BIGINT) AS warning_threshold, {_pct('CAST(max(sph) AS BIGINT)', str(CAPACITY))} AS peak_pct"
+    f" CAST({_WARN} AS BIGINT) AS warning_threshold, {_pct(_PEAK, str(CAPACITY))} AS peak_pct"
 )
 _WHO = (
     "part AS (SELECT hour_ts, coalesce(projectName, versionName, '(Unknown project)') AS project,"
