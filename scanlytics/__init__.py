@@ -15,7 +15,7 @@ from pyspark import cloudpickle
 
 from scanlytics.functions.enrich import enrich, quality_counts
 from scanlytics.operators.cube import activity_cube
-from scanlytics.operators.filters import filter_projects, filter_years, retention, slice_metrics
+from scanlytics.operators.filters import filter_projects, filter_years, project_retention, retention, slice_metrics
 from scanlytics.operators.groups import projects_in_group
 from scanlytics.plans.report import ReportOptions, analyse, chart_series, write_report
 from scanlytics.plans.scan_report import project_scan_report
@@ -38,6 +38,7 @@ __all__ = [
     "filter_projects",
     "filter_years",
     "land",
+    "project_retention",
     "project_scan_report",
     "projects_in_group",
     "quality_counts",

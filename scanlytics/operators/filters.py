@@ -26,6 +26,16 @@ def filter_years(df: DataFrame, start_year: int | None = None, end_year: int | N
     return df
 
 
+def _keyed(df: DataFrame, projects: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows and the wanted projects under a common ``_key``, with files lacking a project column in."""
+    wanted = projects.select(F.col("projectName").alias("_key")).where(F.col("_key").isNotNull())
+    key = F.col("projectName")
+    if "has_project_column" in df.columns:
+        key = F.when(F.col("has_project_column"), key).otherwise(_NO_COLUMN)
+        wanted = wanted.unionByName(wanted.limit(1).select(F.lit(_NO_COLUMN).alias("_key")))
+    return df.withColumn("_key", key), wanted
+
+
 def filter_projects(df: DataFrame, projects: DataFrame) -> DataFrame:
     """Keep rows whose projectName is in ``projects`` (column ``projectName``).
 
@@ -33,12 +43,20 @@ def filter_projects(df: DataFrame, projects: DataFrame) -> DataFrame:
     a cube alike; on large data filter the cube: Spark moves the semi join below the aggregate while it
     can broadcast the set, and otherwise joins the aggregated rows by shuffle.
     """
-    wanted = projects.select(F.col("projectName").alias("_key")).where(F.col("_key").isNotNull())
-    key = F.col("projectName")
-    if "has_project_column" in df.columns:
-        key = F.when(F.col("has_project_column"), key).otherwise(_NO_COLUMN)
-        wanted = wanted.unionByName(wanted.limit(1).select(F.lit(_NO_COLUMN).alias("_key")))
-    return df.withColumn("_key", key).join(wanted, "_key", "left_semi").drop("_key")
+    keyed, wanted = _keyed(df, projects)
+    return keyed.join(wanted, "_key", "left_semi").drop("_key")
+
+
+def project_retention(activity: DataFrame, projects: DataFrame) -> DataFrame:
+    """Log rows before and after ``filter_projects``, and the share kept; one pass over the rows."""
+    keyed, wanted = _keyed(activity, projects)
+    per_key = keyed.groupBy("_key").agg(F.sum("rows_all").alias("_rows"))
+    marked = per_key.join(wanted.distinct().withColumn("_kept", F.lit(True)), "_key", "left")
+    counted = marked.agg(
+        F.coalesce(F.sum("_rows"), F.lit(0)).alias("rows_before"),
+        F.coalesce(F.sum(F.when(F.col("_kept"), F.col("_rows"))), F.lit(0)).alias("rows_after"),
+    )
+    return counted.withColumn("kept_pct", C.percent(F.col("rows_after"), F.col("rows_before")))
 
 
 def retention(df: DataFrame, kept: Column, by: str | None = None) -> DataFrame:

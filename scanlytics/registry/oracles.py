@@ -473,6 +473,9 @@ def oracle_sql() -> dict[str, str]:
         "group_filtered_totals": "WITH RECURSIVE" + _TREE + "," + _ORDERS + _COMMON
         + ",\nmine AS (SELECT * FROM act WHERE projectName IN (SELECT projectName FROM closure))\n"
         + _totals("mine", ["global", "year"]),
+        "group_retention": "WITH RECURSIVE" + _TREE + "," + _ORDERS + _COMMON
+        + f"\nSELECT *, {_pct('rows_after', 'rows_before')} AS kept_pct FROM (SELECT count(*) AS rows_before,"
+        " count(*) FILTER (WHERE projectName IN (SELECT projectName FROM closure)) AS rows_after FROM act)",
         "safe_group_names": "WITH RECURSIVE" + _TREE
         + "\nSELECT DISTINCT name, regexp_replace(name, '[^\\p{L}\\p{N}_-]', '_', 'g') AS safe_name FROM tree",
         "slice_dashboard": _orders(
@@ -482,6 +485,11 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT source_file, codeLocationId, {_ISO}, codeLocationName, versionName, projectName, scanCount, scanType,"
             " totalScanSize, maxScanSize, state, transitionReason FROM act"
         ),
+        "zip_quality": _events(
+            "SELECT 'logs/' || source_file AS source_file, count(*) AS total_rows, "
+            + ", ".join(f"CAST(0 AS BIGINT) AS bad_{n}_rows" for n in ("hour", "scan_count", "total_size", "max_size"))
+            + " FROM act GROUP BY source_file"
+        ),
         "landed_roundtrip": _orders(_totals("kept", ["year", "file_year"]), kept),
         "series_sink": _orders(
             f"SELECT *, 'year' AS grain, 'series' AS metric FROM ({_series('year', points=100)})"

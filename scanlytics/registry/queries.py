@@ -11,9 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanlytics.functions import columns as C
-from scanlytics.functions.enrich import enrich
+from scanlytics.functions.enrich import enrich, quality_counts
 from scanlytics.operators import cube as K
-from scanlytics.operators.filters import filter_projects, filter_years, retention, slice_metrics
+from scanlytics.operators.filters import (
+    filter_projects,
+    filter_years,
+    project_retention,
+    retention,
+    slice_metrics,
+)
 from scanlytics.operators.groups import projects_in_group
 from scanlytics.plans import blocks, capacity, profile, rankings, scan_report, series, totals
 from scanlytics.session import scratch_path
@@ -90,6 +96,11 @@ def group_filtered_totals(spark: SparkSession, folder: str) -> DataFrame:
     return flat(totals.totals_by_grain(filter_projects(reduced, projects), ["global", "year"]))
 
 
+def group_retention(spark: SparkSession, folder: str) -> DataFrame:
+    projects = projects_in_group(V.group_tree(spark, folder), GROUP)
+    return project_retention(V.order_activity(spark, folder), projects)
+
+
 def safe_group_names(spark: SparkSession, folder: str) -> DataFrame:
     tree = V.group_tree(spark, folder)
     return tree.select("name", C.safe_name(F.col("name")).alias("safe_name")).distinct()
@@ -160,6 +171,10 @@ def zip_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def zip_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_counts(unpack_archives(_archives(V.event_rows(spark, folder))))
+
+
 def landed_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "landed")
     land(V.order_activity(spark, folder), path)
@@ -269,10 +284,12 @@ def queries() -> dict[str, Query]:
         "year_retention": _orders(_year_retention),
         "group_closure": group_closure,
         "group_filtered_totals": group_filtered_totals,
+        "group_retention": group_retention,
         "safe_group_names": safe_group_names,
         "slice_dashboard": _orders(_slice),
         # sources and sinks
         "zip_roundtrip": zip_roundtrip,
+        "zip_quality": zip_quality,
         "landed_roundtrip": landed_roundtrip,
         "series_sink": series_sink,
         "export_sink": export_sink,

@@ -9,7 +9,14 @@ from pyspark.sql import functions as F
 from logs import activity, row, values
 from scanlytics.functions.enrich import enrich
 from scanlytics.operators import cube as K
-from scanlytics.operators.filters import filter_projects, filter_years, page, retention, slice_metrics
+from scanlytics.operators.filters import (
+    filter_projects,
+    filter_years,
+    page,
+    project_retention,
+    retention,
+    slice_metrics,
+)
 from scanlytics.operators.groups import projects_in_group
 from scanlytics.operators.quantiles import exact_quantiles
 from scanlytics.operators.ranking import row_positions, stride_sample, top_k
@@ -125,6 +132,8 @@ def test_project_filter_keeps_files_without_the_column(spark):
     only = spark.createDataFrame([("x",)], "projectName string")
     assert filter_projects(df, only).count() == 2
     assert filter_projects(df, only.where("false")).count() == 0
+    assert tuple(project_retention(df, only).first()) == (4, 2, 50.0)
+    assert tuple(project_retention(df, only.where("false")).first()) == (4, 0, 0.0)
 
 
 def test_retention(spark):
