@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scanlytics.llm import bpe, html, relative_parse, suffix_dedup
+from scanlytics.llm import bpe, html, jaccard_join, relative_parse, suffix_dedup
 from scanlytics.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -22,6 +22,10 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.drop_repeats(table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relative_parse.factor_documents(table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_html_extraction": op4_html_extraction,
         "op7_suffix_array_dedup": op7_suffix_array_dedup,
+        "op8_jaccard_join": op8_jaccard_join,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_bpe": op10_bpe,
     }
