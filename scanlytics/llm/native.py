@@ -25,8 +25,8 @@ def word_hashes(items: Column) -> Column:
     return F.transform(items, lambda w: F.xxhash64(w))
 
 
-def gram_hashes(hashes: Column, places: list[int], span: int) -> Column:
+def gram_hashes(hashes: Column, places: list[int], span: int, salt: int = 0) -> Column:
     """From each place on: one hash of the words at the given offsets; none if fewer than ``span`` words."""
     at = F.sequence(F.lit(0), F.size(hashes) - span)
-    made = F.transform(at, lambda i: F.xxhash64(*[F.get(hashes, i + p) for p in places]))
+    made = F.transform(at, lambda i: F.xxhash64(F.lit(salt), *[F.get(hashes, i + p) for p in places]))
     return F.when(F.size(hashes) >= span, made).otherwise(F.array().cast("array<bigint>"))
