@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scanlytics.llm import bpe, decontamination, fingerprints, html, jaccard_join, relative_parse, suffix_dedup
+from scanlytics.llm import bpe, decontamination, fingerprints, html, jaccard_join, quality, relative_parse, suffix_dedup
 from scanlytics.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -26,6 +26,10 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_text(pages).select("page_id", "url", "text", "n_chars")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.drop_repeats(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_fingerprints": op1_fingerprints,
         "op2_decontamination": op2_decontamination,
         "op4_html_extraction": op4_html_extraction,
+        "op5_quality": op5_quality,
         "op7_suffix_array_dedup": op7_suffix_array_dedup,
         "op8_jaccard_join": op8_jaccard_join,
         "op9_substring_dedup": op9_substring_dedup,
