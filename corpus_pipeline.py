@@ -8,6 +8,10 @@ from scanlytics.llm import stages
 from scanlytics.llm.common import stored, table
 
 STAGES = [
+    ("quality", stages.quality_filter),
+    ("near_duplicates", stages.near_duplicates),
+    ("decontamination", stages.decontaminate),
+    ("secrets", stages.redact_secrets),
     ("bpe", stages.encode),
 ]
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scanlytics.llm import bpe, decontamination, fingerprints, html, jaccard_join, quality, relative_parse, suffix_dedup
+from scanlytics.llm import bpe, decontamination, fingerprints, html, jaccard_join, quality, relative_parse, secrets_scan, suffix_dedup
 from scanlytics.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -30,6 +30,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.drop_repeats(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_decontamination": op2_decontamination,
         "op4_html_extraction": op4_html_extraction,
         "op5_quality": op5_quality,
+        "op6_secret_scan": op6_secret_scan,
         "op7_suffix_array_dedup": op7_suffix_array_dedup,
         "op8_jaccard_join": op8_jaccard_join,
         "op9_substring_dedup": op9_substring_dedup,
