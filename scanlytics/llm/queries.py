@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scanlytics.llm import bpe, decontamination, fingerprints, html, jaccard_join, quality, relative_parse, secrets_scan, suffix_dedup
+from scanlytics.llm import bpe, decontamination, fingerprints, html, jaccard_join, masked_lm, quality, relative_parse, secrets_scan, suffix_dedup
 from scanlytics.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -21,6 +21,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masked_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html.extract_text(pages).select("page_id", "url", "text", "n_chars")
@@ -55,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprints": op1_fingerprints,
         "op2_decontamination": op2_decontamination,
+        "op3_lm_scoring": op3_lm_scoring,
         "op4_html_extraction": op4_html_extraction,
         "op5_quality": op5_quality,
         "op6_secret_scan": op6_secret_scan,
