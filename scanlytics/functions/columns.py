@@ -17,6 +17,10 @@ from scanlytics.schema import (
 )
 
 
+#: What becomes _ in names of files and folders; reads the same in Python and, with (?U), in Java.
+NOT_IN_NAMES = r"[^\w-]"
+
+
 def integer_div(a: Column, b: Column) -> Column:
     return F.call_function("div", a, b)
 
@@ -97,4 +101,4 @@ def snippet_severity(pct: Column) -> Column:
 
 
 def safe_name(name: Column) -> Column:
-    return F.regexp_replace(name, r"[^\p{L}\p{N}_-]", "_")
+    return F.regexp_replace(name, f"(?U){NOT_IN_NAMES}", "_")

@@ -10,7 +10,6 @@ from scanlytics.functions import columns as C
 from scanlytics.operators.ranking import stride_sample, top_k
 
 # Fixed values.
-DISPLAY_POINTS = 500
 CONTRIBUTORS = 10
 HEADLINE = 3
 WARNING_PCT = 80
@@ -120,24 +119,26 @@ def contributors(
 
 
 def display_series(
-    activity: DataFrame, capacity: int | None = None, warning_pct: int = WARNING_PCT, points: int = DISPLAY_POINTS
+    activity: DataFrame, capacity: int | None = None, warning_pct: int = WARNING_PCT, points: int | None = None
 ) -> DataFrame:
-    """About ``points`` hours for a chart, plus every flagged hour, each with its class."""
+    """Every hour with its class; with ``points``, about so many of them plus every flagged hour."""
     hourly = hourly_sph(activity)
     if capacity is None:
-        return stride_sample(hourly, [], points).withColumn("class", F.lit("normal"))
+        shown = hourly if points is None else stride_sample(hourly, [], points)
+        return shown.withColumn("class", F.lit("normal"))
     _, lowest = thresholds(capacity, warning_pct)
-    shown = stride_sample(hourly, [], points, keep=F.col("sph") >= lowest)
+    shown = hourly if points is None else stride_sample(hourly, [], points, keep=F.col("sph") >= lowest)
     named = C.hour_class(F.col("sph"), capacity, lowest, normal="NORMAL")
     return shown.withColumn("class", F.lower(named))
 
 
 def flagged_report(activity: DataFrame, capacity: int | None, warning_pct: int = WARNING_PCT) -> DataFrame:
-    """One row per flagged hour with its contributors as an array, largest first."""
+    """One row per flagged hour with its largest contributors as an array and the scans of all others."""
     who = contributors(activity, capacity, warning_pct)
     entry = F.struct("rank", "project", "scans")
     listed = who.groupBy("hour_ts").agg(
         F.array_sort(F.collect_list(entry)).alias("projects"),
+        (F.first("sph") - F.sum("scans")).alias("rest_scans"),
         F.first("total_project_count").alias("total_project_count"),
         F.first("top3_pct").alias("top3_pct"),
     )

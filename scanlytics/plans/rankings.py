@@ -30,11 +30,11 @@ def top_projects(activity: DataFrame, by: Sequence[str] = (), k: int = TOP) -> D
     return ranked.select(*by, "status", "rank", "projectName", "scans")
 
 
-def eligible_projects(activity: DataFrame, min_scans: int = 10, max_projects: int = 1000) -> DataFrame:
-    """Projects that get their own series: at least ``min_scans`` scans, the ``max_projects`` largest of
-    them (0 for no limit), equal scans by name."""
+def eligible_projects(activity: DataFrame, min_scans: int = 0, max_projects: int | None = None) -> DataFrame:
+    """Projects with at least ``min_scans`` scans, the ``max_projects`` largest of them if that is given, equal
+    scans by name. Without arguments all projects."""
     totals = K.not_null(activity, "projectName").groupBy("projectName").agg(F.sum("scans_all").alias("scans"))
     chosen = totals.where(F.col("scans") >= min_scans)
-    if max_projects:
+    if max_projects is not None:
         chosen = chosen.orderBy(F.desc("scans"), "projectName").limit(max_projects)
     return chosen

@@ -33,8 +33,8 @@ class ReportOptions:
 
     start_year: int | None = None
     end_year: int | None = None
-    min_scans: int = 10
-    max_projects: int = 1000
+    min_scans: int = 0
+    max_projects: int | None = None
     skip_detailed: bool = False
     simple: bool = False
     capacity_sph: int | None = 120
@@ -42,11 +42,6 @@ class ReportOptions:
     compress: bool = False
 
 
-def has_many_files(activity: DataFrame) -> bool:
-    """Per-file results exist only when there is more than one file."""
-    return activity.select("source_file").distinct().limit(2).count() > 1
-
-
 def _graded(df: DataFrame, grain: str) -> DataFrame:
     """Give a table the grain columns it lacks."""
     types = {"source_file": "string", "year": "int", "projectName": "string"}
@@ -66,7 +61,6 @@ def analyse(
     rows: DataFrame,
     options: ReportOptions = ReportOptions(),
     cube: DataFrame | None = None,
-    many_files: bool = True,
 ) -> dict[str, DataFrame]:
     """All analysis tables, lazily. ``cube`` is a landed activity cube of the same rows, if there is one;
     all but four tables then never touch the rows again.
@@ -76,7 +70,7 @@ def analyse(
     everything = rows if cube is None else cube
     kept = filter_years(everything, options.start_year, options.end_year)
     kept_rows = filter_years(rows, options.start_year, options.end_year)
-    per_file = many_files and not options.simple
+    per_file = not options.simple
     grains = ["global"] if options.simple else _OTHER_GRAINS
     block_grains = ["global"] if options.simple else _BLOCK_GRAINS
 
@@ -134,7 +128,6 @@ def chart_series(
     rows: DataFrame,
     options: ReportOptions = ReportOptions(),
     cube: DataFrame | None = None,
-    many_files: bool = True,
 ) -> dict[str, DataFrame]:
     """All chart tables, lazily. The year range applies first, also to the choice of projects."""
     kept = filter_years(rows if cube is None else cube, options.start_year, options.end_year)
@@ -148,7 +141,9 @@ def chart_series(
     if not options.simple:
         add("series_year", "series", series.hourly_series(kept, ["year"]), "year")
         add("evolution_year", "evolution", series.scan_type_evolution(kept, ["year"]), "year")
-        chosen = rankings.eligible_projects(kept, options.min_scans, options.max_projects)
+        chosen = None
+        if options.min_scans > 0 or options.max_projects is not None:
+            chosen = rankings.eligible_projects(kept, options.min_scans, options.max_projects)
         by = ["projectName"]
         add("series_project", "series", series.hourly_series(kept, by, projects=chosen).drop("size"), "project")
         add("evolution_project", "evolution", series.scan_type_evolution(kept, by, projects=chosen), "project")
@@ -158,11 +153,9 @@ def chart_series(
             add("series_year_project", "series", detail, "year_project")
             detail = series.scan_type_evolution(kept, by, only, projects=chosen)
             add("evolution_year_project", "evolution", detail, "year_project")
-        if many_files:
-            by, only = ["source_file"], ["all"]
-            add("series_file", "series", series.hourly_series(kept, by, only, series.FILE_POINTS, "rows"), "file")
-            detail = series.scan_type_evolution(kept, by, only, series.FILE_TYPE_POINTS, "rows")
-            add("evolution_file", "evolution", detail, "file")
+        by, only = ["source_file"], ["all"]
+        add("series_file", "series", series.hourly_series(kept, by, only, "rows"), "file")
+        add("evolution_file", "evolution", series.scan_type_evolution(kept, by, only, "rows"), "file")
     if "row_no" in rows.columns:
         kept_rows = filter_years(rows, options.start_year, options.end_year)
         if options.start_year is not None or options.end_year is not None:
@@ -215,9 +208,8 @@ def write_report(
         for name, table in scan_report.project_scan_report(kept).items():
             S.write_csv(table, f"{folder}/project_scans/{name}", options.compress)
         return folder
-    many = has_many_files(cube)
-    analysis = analyse(rows, options, cube, many)
-    charts = chart_series(rows, options, cube, many)
+    analysis = analyse(rows, options, cube)
+    charts = chart_series(rows, options, cube)
     graded = [t for t in charts.values() if "metric" in t.columns]
     plain = {f"charts/{name}": t for name, t in charts.items() if "metric" not in t.columns}
     plain |= {f"analysis/{name}": t for name, t in analysis.items()}

@@ -1,4 +1,4 @@
-"""Hourly series and scan-type evolution, thinned to a bounded number of points."""
+"""Hourly series and scan-type evolution: every hour of every series; ``ranking.stride_sample`` thins them for a chart."""
 
 from __future__ import annotations
 
@@ -8,22 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanlytics.operators import cube as K
-from scanlytics.operators.ranking import stride_sample
 from scanlytics.schema import STATUSES, TREND_COLUMNS
 
-# Series longer than this are thinned.
-POINTS = 100
-TYPE_POINTS = 50
-FILE_POINTS = 1000
-FILE_TYPE_POINTS = 500
-DAILY_THRESHOLD = 500
-
 
 def hourly_series(
     activity: DataFrame,
     by: Sequence[str] = (),
     statuses: Sequence[str] = STATUSES,
-    points: int = POINTS,
     measure: str = "scans",
     projects: DataFrame | None = None,
 ) -> DataFrame:
@@ -37,35 +28,27 @@ def hourly_series(
     hourly = K.roll_up(K.not_null(activity, *keys), keys, *kinds)
     if projects is not None:
         hourly = hourly.join(projects.select("projectName"), "projectName", "left_semi")
-    long = K.unpivot_status(hourly, keys, [measure, "size"], statuses).withColumnRenamed(measure, "count")
-    return stride_sample(long, [*by, "status"], points)
+    return K.unpivot_status(hourly, keys, [measure, "size"], statuses).withColumnRenamed(measure, "count")
 
 
 def scan_type_evolution(
     activity: DataFrame,
     by: Sequence[str] = (),
     statuses: Sequence[str] = STATUSES,
-    points: int = TYPE_POINTS,
     measure: str = "scans",
     projects: DataFrame | None = None,
 ) -> DataFrame:
     """``by, scanType, status, hour_ts, count``: one series per scan type."""
-    return hourly_series(activity, [*by, "scanType"], statuses, points, measure, projects).drop("size")
+    return hourly_series(activity, [*by, "scanType"], statuses, measure, projects).drop("size")
 
 
-def daily_rollup(activity: DataFrame, threshold: int = DAILY_THRESHOLD) -> DataFrame:
-    """The hourly table, or one row per day at its first hour when there are more than ``threshold`` hours."""
-    hourly = activity.where(F.col("hour_ts").isNotNull()).groupBy("hour_ts").agg(
-        F.sum("scans_all").alias("count"), F.sum("size_all").alias("size")
-    )
-    hours = hourly.agg(F.count(F.lit(1))).scalar()
-    # grouping by the hour itself keeps the hourly rows, so one plan serves both cases
-    point = F.when(hours > threshold, F.to_date("hour_ts").cast("timestamp_ntz")).otherwise(F.col("hour_ts"))
-    return (
-        hourly.groupBy(point.alias("_point"))
-        .agg(F.min("hour_ts").alias("hour_ts"), F.sum("count").alias("count"), F.sum("size").alias("size"))
-        .drop("_point")
+def daily_series(activity: DataFrame) -> DataFrame:
+    """``hour_ts, count, size``: one row per day, at its first hour."""
+    hours = activity.where(F.col("hour_ts").isNotNull())
+    daily = hours.groupBy(F.to_date("hour_ts").alias("_day")).agg(
+        F.min("hour_ts").alias("hour_ts"), F.sum("scans_all").alias("count"), F.sum("size_all").alias("size")
     )
+    return daily.drop("_day")
 
 
 def column_trends(rows: DataFrame) -> DataFrame:

@@ -198,7 +198,7 @@ _CHOSEN = (
 )
 
 
-def _series(*by: str, points: int, measure: str = "CAST(sum(scanCount) AS BIGINT)", size=True, all_only=False, chosen=False) -> str:
+def _series(*by: str, measure: str = "CAST(sum(scanCount) AS BIGINT)", size=True, all_only=False, chosen=False) -> str:
     keys = ", ".join([*by, "status", "hour_ts"])
     part = ", ".join([*by, "status"])
     filters = " AND ".join(f"{c} IS NOT NULL" for c in [*by, "hour_ts"])
@@ -206,16 +206,19 @@ def _series(*by: str, points: int, measure: str = "CAST(sum(scanCount) AS BIGINT
         filters += " AND status = 'all'"
     if chosen:
         filters += " AND projectName IN (SELECT projectName FROM chosen)"
-    sized = ", size" if size else ""
+    sized = ", CAST(sum(totalScanSize) AS BIGINT) AS size" if size else ""
+    return f'SELECT {part}, {_ISO_HOUR}, {measure} AS "count"{sized} FROM st WHERE {filters} GROUP BY {keys}'
+
+
+def _sampled(full: str, part: str, points: int) -> str:
     return (
-        f'SELECT {part}, strftime(hour_ts, \'%Y-%m-%d %H:%M:%S\') AS hour_ts, "count"{sized} FROM ('
-        f"SELECT *, row_number() OVER (PARTITION BY {part} ORDER BY hour_ts) - 1 AS pos, "
-        f"count(*) OVER (PARTITION BY {part}) AS n FROM ("
-        f'SELECT {keys}, {measure} AS "count", CAST(sum(totalScanSize) AS BIGINT) AS size FROM st WHERE {filters} GROUP BY {keys})) '
+        "SELECT * EXCLUDE (pos, n) FROM (SELECT *, "
+        f"row_number() OVER (PARTITION BY {part} ORDER BY hour_ts) - 1 AS pos, count(*) OVER (PARTITION BY {part}) AS n FROM ({full})) "
         f"WHERE pos % greatest(1, n // {points}) = 0"
     )
 
 
+_ISO_HOUR = "strftime(hour_ts, '%Y-%m-%d %H:%M:%S') AS hour_ts"
 _HOURLY = (
     "sph AS (SELECT hour_ts, CAST(sum(scanCount) AS BIGINT) AS sph,"
     " CAST(sum(scanCount) FILTER (WHERE contains(upper(scanType), 'SNIPPET')) AS BIGINT) AS snip"
@@ -382,26 +385,27 @@ def oracle_sql() -> dict[str, str]:
         "top_projects_by_type": _orders(_top("scanType")),
         "top_projects_by_type_date": _events(_top("scanType", "scan_date")),
         "eligible_projects": _orders("SELECT * FROM chosen", _CHOSEN),
-        "series_hourly": _events(_series(points=100)),
-        "series_by_year": _orders(_series("year", points=100)),
-        "series_by_project": _orders(_series("projectName", points=100, chosen=True, **size_off), _CHOSEN),
+        "series_hourly": _events(_series()),
+        "series_by_year": _orders(_series("year")),
+        "series_by_project": _orders(_series("projectName", **size_off)),
         "series_by_year_project": _orders(
-            _series("year", "projectName", points=100, all_only=True, chosen=True, **size_off), _CHOSEN
+            _series("year", "projectName", all_only=True, **size_off)
         ),
-        "series_by_file": _events(_series("source_file", points=1000, measure=rows, all_only=True)),
-        "evolution_global": _orders(_series("scanType", points=50, **size_off)),
-        "evolution_by_year": _orders(_series("year", "scanType", points=50, **size_off)),
-        "evolution_by_project": _orders(_series("projectName", "scanType", points=50, chosen=True, **size_off), _CHOSEN),
+        "series_by_file": _events(_series("source_file", measure=rows, all_only=True)),
+        "evolution_global": _orders(_series("scanType", **size_off)),
+        "evolution_by_year": _orders(_series("year", "scanType", **size_off)),
+        "evolution_by_project": _orders(_series("projectName", "scanType", **size_off)),
         "evolution_by_year_project": _orders(
-            _series("year", "projectName", "scanType", points=50, all_only=True, chosen=True, **size_off), _CHOSEN
+            _series("year", "projectName", "scanType", all_only=True, **size_off)
         ),
         "evolution_by_file": _events(
-            _series("source_file", "scanType", points=500, measure=rows, all_only=True, **size_off)
+            _series("source_file", "scanType", measure=rows, all_only=True, **size_off)
         ),
-        "daily_rollup": _orders(
+        "series_sampled": _orders(_sampled(_series("year"), "year, status", 100)),
+        "series_eligible_projects": _orders(_series("projectName", chosen=True, **size_off), _CHOSEN),
+        "daily_series": _orders(
             "SELECT strftime(min(hour_ts), '%Y-%m-%d %H:%M:%S') AS hour_ts, CAST(sum(scanCount) AS BIGINT) AS \"count\","
-            " CAST(sum(totalScanSize) AS BIGINT) AS size FROM act WHERE hour_ts IS NOT NULL GROUP BY"
-            " CASE WHEN (SELECT count(DISTINCT hour_ts) FROM act) > 500 THEN date_trunc('day', hour_ts) ELSE hour_ts END"
+            " CAST(sum(totalScanSize) AS BIGINT) AS size FROM act WHERE hour_ts IS NOT NULL GROUP BY CAST(hour_ts AS DATE)"
         ),
         "column_trends": _events(_trends(), f"placed AS (SELECT *, {_POSITION} FROM act)"),
         "sph_hourly": _events(f"SELECT {_ISO}, sph FROM sph", _HOURLY),
@@ -420,13 +424,17 @@ def oracle_sql() -> dict[str, str]:
         "sph_flagged_report": _events(
             f"SELECT strftime(s.hour_ts, '%Y-%m-%d %H:%M:%S') AS hour_ts, s.sph, {_pct('s.sph', str(CAPACITY))} AS pct,"
             f" CASE WHEN s.sph >= {CAPACITY} THEN 'BREACH' ELSE 'WARNING' END AS status, {_SNIPPET.replace('sph', 's.sph')},"
-            f" projects, total_project_count, {_pct('top3', 's.sph')} AS top3_pct"
-            " FROM sph s JOIN head ON s.hour_ts = head.hour_ts JOIN (SELECT hour_ts, max(n) AS total_project_count,"
+            f" projects, s.sph - shown AS rest_scans, total_project_count, {_pct('top3', 's.sph')} AS top3_pct"
+            " FROM sph s JOIN head ON s.hour_ts = head.hour_ts JOIN (SELECT hour_ts, max(n) AS total_project_count, CAST(sum(scans) AS BIGINT) AS shown,"
             " string_agg(project || '=' || CAST(scans AS VARCHAR), ';' ORDER BY r) AS projects"
             f" FROM ranked WHERE r <= 10 GROUP BY hour_ts) w ON s.hour_ts = w.hour_ts WHERE s.sph >= {_WARN}",
             _HOURLY,
             *_WHO,
         ),
+        "sph_classified_hours": _orders(
+            f"SELECT {_ISO}, sph, CASE WHEN sph >= {CAPACITY} THEN 'breach' WHEN sph >= {_WARN} THEN 'warning' ELSE 'normal' END AS class FROM sph",
+            _HOURLY,
+        ),
         "sph_display_series": _orders(
             f"SELECT {_ISO}, sph, CASE WHEN sph >= {CAPACITY} THEN 'breach' WHEN sph >= {_WARN} THEN 'warning' ELSE 'normal' END AS class"
             " FROM (SELECT *, row_number() OVER (ORDER BY hour_ts) - 1 AS pos, count(*) OVER () AS n FROM sph)"
@@ -492,7 +500,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "landed_roundtrip": _orders(_totals("kept", ["year", "file_year"]), kept),
         "series_sink": _orders(
-            f"SELECT *, 'year' AS grain, 'series' AS metric FROM ({_series('year', points=100)})"
+            f"SELECT *, 'year' AS grain, 'series' AS metric FROM ({_series('year')})"
         ),
         "export_sink": _orders(
             "SELECT daily.*, coalesce(breakdown, '') AS breakdown FROM daily LEFT JOIN text USING (projectName)", _DAILY, _TYPES, exported

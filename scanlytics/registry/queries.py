@@ -21,6 +21,7 @@ from scanlytics.operators.filters import (
     slice_metrics,
 )
 from scanlytics.operators.groups import projects_in_group
+from scanlytics.operators.ranking import stride_sample
 from scanlytics.plans import blocks, capacity, profile, rankings, scan_report, series, totals
 from scanlytics.session import scratch_path
 from scanlytics.sinks import tables as S
@@ -29,6 +30,8 @@ from scanlytics.sources.archives import unpack_archives
 from scanlytics.sources.landing import land, read_landed
 
 CAPACITY = 60
+MIN_SCANS, MAX_PROJECTS = 10, 1000
+POINTS, SPH_POINTS = 100, 500
 GROUP = "AMERICA"
 YEARS = (1997, 1998)
 _BLOCK_GRAINS = ["global", "year", "file", "file_year", "file_project", "file_year_project"]
@@ -71,12 +74,16 @@ def _top(*by: str, k: int = rankings.TOP) -> Callable[[DataFrame], DataFrame]:
 
 def _projects_series(metric, by, statuses) -> Callable[[DataFrame], DataFrame]:
     def run(a: DataFrame) -> DataFrame:
-        out = metric(a, by, statuses, projects=rankings.eligible_projects(a))
-        return out.drop("size")
+        return metric(a, by, statuses).drop("size")
 
     return run
 
 
+def _eligible_series(a: DataFrame) -> DataFrame:
+    chosen = rankings.eligible_projects(a, MIN_SCANS, MAX_PROJECTS)
+    return series.hourly_series(a, ["projectName"], projects=chosen).drop("size")
+
+
 def _year_retention(a: DataFrame) -> DataFrame:
     return retention(a, F.col("year").between(*YEARS), by="source_file")
 
@@ -243,21 +250,23 @@ def queries() -> dict[str, Query]:
         "top_projects_by_date": _events(_top("scan_date")),
         "top_projects_by_type": _orders(_top("scanType")),
         "top_projects_by_type_date": _events(_top("scanType", "scan_date")),
-        "eligible_projects": _orders(rankings.eligible_projects),
+        "eligible_projects": _orders(lambda a: rankings.eligible_projects(a, MIN_SCANS, MAX_PROJECTS)),
         # series
         "series_hourly": _events(series.hourly_series),
         "series_by_year": _orders(lambda a: series.hourly_series(a, ["year"])),
         "series_by_project": _orders(_projects_series(series.hourly_series, ["projectName"], K.STATUSES)),
         "series_by_year_project": _orders(_projects_series(series.hourly_series, ["year", "projectName"], ["all"])),
-        "series_by_file": _events(lambda a: series.hourly_series(a, points=series.FILE_POINTS, **files)),
+        "series_by_file": _events(lambda a: series.hourly_series(a, **files)),
         "evolution_global": _orders(series.scan_type_evolution),
         "evolution_by_year": _orders(lambda a: series.scan_type_evolution(a, ["year"])),
         "evolution_by_project": _orders(_projects_series(series.scan_type_evolution, ["projectName"], K.STATUSES)),
         "evolution_by_year_project": _orders(
             _projects_series(series.scan_type_evolution, ["year", "projectName"], ["all"])
         ),
-        "evolution_by_file": _events(lambda a: series.scan_type_evolution(a, points=series.FILE_TYPE_POINTS, **files)),
-        "daily_rollup": _orders(series.daily_rollup),
+        "evolution_by_file": _events(lambda a: series.scan_type_evolution(a, **files)),
+        "series_sampled": _orders(lambda a: stride_sample(series.hourly_series(a, ["year"]), ["year", "status"], POINTS)),
+        "series_eligible_projects": _orders(_eligible_series),
+        "daily_series": _orders(series.daily_series),
         "column_trends": _numbered_events(series.column_trends),
         # capacity
         "sph_hourly": _events(capacity.hourly_sph),
@@ -266,7 +275,8 @@ def queries() -> dict[str, Query]:
         "sph_flagged_hours": _orders(lambda a: capacity.flagged_hours(a, CAPACITY)),
         "sph_contributors": _events(lambda a: capacity.contributors(a, CAPACITY)),
         "sph_flagged_report": _events(_flagged_report),
-        "sph_display_series": _orders(lambda a: capacity.display_series(a, CAPACITY)),
+        "sph_classified_hours": _orders(lambda a: capacity.display_series(a, CAPACITY)),
+        "sph_display_series": _orders(lambda a: capacity.display_series(a, CAPACITY, points=SPH_POINTS)),
         # project-scan report
         "project_scans_daily": _orders(scan_report.daily_counts),
         "project_scans_breakdown": _orders(_breakdown),

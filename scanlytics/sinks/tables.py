@@ -2,23 +2,21 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_KEYS = ["grain", "source_file", "year", "projectName"]
-
+from scanlytics.functions.columns import NOT_IN_NAMES
 
-def safe_group(name: str) -> str:
-    """Letters, digits, - and _ stay; everything else becomes _."""
-    return "".join(c if c.isalnum() or c in "-_" else "_" for c in name)
+_KEYS = ["grain", "source_file", "year", "projectName"]
 
 
 def report_name(at: datetime, group: str | None = None, project_scans: bool = False) -> str:
     parts = ["report", f"{at:%Y%m%d_%H%M%S}"]
     if group:
-        parts.append(safe_group(group))
+        parts.append(re.sub(NOT_IN_NAMES, "_", group))
     if project_scans:
         parts.append("project_scans")
     return "_".join(parts)
@@ -29,8 +27,8 @@ def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) ->
 
 
 def write_series(df: DataFrame, path: str) -> None:
-    """Chart series, one folder per grain and metric."""
-    df.write.mode("overwrite").partitionBy("grain", "metric").parquet(path)
+    """Chart series, one folder per grain and metric; rebalanced, so that a folder has few files."""
+    df.hint("rebalance", "grain", "metric").write.mode("overwrite").partitionBy("grain", "metric").parquet(path)
 
 
 def write_csv(df: DataFrame, path: str, compress: bool = False) -> None:

@@ -135,7 +135,7 @@ def test_display_series_has_every_flagged_hour(spark, folder):
 
     a = order_activity(spark, folder)
     flagged = capacity.flagged_hours(a, 60)
-    shown = capacity.display_series(a, 60)
+    shown = capacity.display_series(a, 60, points=500)
     assert flagged.count() > 0
     assert flagged.join(shown, "hour_ts", "left_anti").count() == 0
 
@@ -157,23 +157,23 @@ def test_series_per_status(spark):
 
 def test_file_series_count_rows(spark):
     a = activity(spark, [row(scans=5), row(scans=6)])
-    got = series.hourly_series(a, ["source_file"], ["all"], series.FILE_POINTS, "rows")
+    got = series.hourly_series(a, ["source_file"], ["all"], "rows")
     assert values(got, "count") == [(2,)]
 
 
 def test_eligible_projects(spark):
     a = activity(spark, [row(project=p, scans=n) for p, n in [("a", 9), ("b", 10), ("d", 30), ("c", 30), ("e", 40)]])
     names = lambda **how: [r.projectName for r in rankings.eligible_projects(a, **how).collect()]
-    assert sorted(names(max_projects=0)) == ["b", "c", "d", "e"]
+    assert sorted(names()) == ["a", "b", "c", "d", "e"]
+    assert sorted(names(min_scans=10)) == ["b", "c", "d", "e"]
     assert names(max_projects=2) == ["e", "c"]
     assert names(min_scans=1000) == []
 
 
-@pytest.mark.parametrize("threshold, points", [(2, 2), (4, 4)])
-def test_daily_rollup(spark, threshold, points):
+def test_daily_series(spark):
     a = activity(spark, [row(hour=h, scans=2) for h in ("2024-01-01 03", "2024-01-01 05", "2024-01-02 00", "2024-01-02 01")])
-    got = series.daily_rollup(a, threshold).orderBy("hour_ts").collect()
-    assert len(got) == points and got[0].hour_ts.hour == 3
+    got = series.daily_series(a).orderBy("hour_ts").collect()
+    assert len(got) == 2 and got[0].hour_ts.hour == 3
     assert sum(r["count"] for r in got) == 8
 
 
@@ -241,7 +241,7 @@ def test_quality_counts(spark):
     [
         totals.summary_totals, totals.totals_by_grain, totals.scan_types, totals.scan_types_by_grain, totals.scan_type_rows,
         totals.distinct_lists, blocks.time_blocks, blocks.busiest_quietest, rankings.top_projects, rankings.eligible_projects,
-        series.hourly_series, series.scan_type_evolution, series.daily_rollup, scan_report.daily_counts,
+        series.hourly_series, series.scan_type_evolution, series.daily_series, scan_report.daily_counts,
         lambda a: rankings.top_projects(a, ["time_block"]),
         lambda a: capacity.sph_summary(a, 60), lambda a: capacity.flagged_hours(a, 60),
         lambda a: capacity.contributors(a, 60), lambda a: capacity.display_series(a, 60),

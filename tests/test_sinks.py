@@ -6,7 +6,6 @@ from datetime import datetime
 from logs import activity, row, values
 from scanlytics import ReportOptions, analyse, chart_series, write_report
 from scanlytics.plans import scan_report, totals
-from scanlytics.plans.report import has_many_files
 from scanlytics.sinks import tables as S
 
 LOG = [
@@ -83,12 +82,10 @@ def test_options_leave_tables_out(spark):
     assert values(tables["totals"], "grain") == [("global",)]
 
 
-def test_one_file_has_no_per_file_tables(spark):
+def test_one_file_has_per_file_tables_too(spark):
     a = activity(spark, LOG[:2])
-    assert not has_many_files(a)
-    tables = analyse(a, many_files=False)
-    assert tables["totals"].where("grain like 'file%'").count() == 0
-    assert "series_file" not in chart_series(a, many_files=False)
+    assert analyse(a)["totals"].where("grain like 'file%'").count() > 0
+    assert chart_series(a)["series_file"].count() > 0
 
 
 def test_trends_renumber_the_rows_left(spark):
