@@ -7,13 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanlytics.llm import segments as S
-from scanlytics.llm.common import stored, words_of
+from scanlytics.llm.common import stored
 
 _MOST = 1 << 20
+_RUN_BITS = 20
 _CELLS = "id bigint, first bigint, n int, core bigint, whole bigint"
 
 
@@ -38,6 +39,16 @@ def cell_table(docs: DataFrame, shape: S.Shape, units) -> DataFrame:
     return docs.where("text <> ''").mapInPandas(task, _CELLS)
 
 
+def pack(first: Column, n: Column) -> Column:
+    """A run of n windows from ``first`` on as one number; lists of numbers reach numpy without objects."""
+    return F.shiftleft(first, _RUN_BITS) + n
+
+
+def unpack(runs: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    runs = np.asarray([] if runs is None else runs, np.int64)
+    return runs >> _RUN_BITS, runs & ((1 << _RUN_BITS) - 1)
+
+
 def merged(starts: np.ndarray, ends: np.ndarray, size: int) -> list[tuple[int, int]]:
     """Maximal runs covered by the stretches [start, end)."""
     steps = np.zeros(size + 1, np.int64)
@@ -69,62 +80,60 @@ def factor_documents(
     known = base.where("id IS NOT NULL")
     cells = cell_table(known, shape, S.word_units)
     indexed = cells.groupBy("core").agg(F.min("id").alias("core_first"), F.max("id").alias("core_last"))
-    indexed = indexed.where("core_first < core_last").select("core", "core_first")
+    # written first, so that both sides of the join are shuffled and a core with very many cells can be split
+    indexed = stored(indexed.where("core_first < core_last").select("core"), "cores")
     repeated = stored(cells.join(indexed, "core"), "cells")
-    wholes = repeated.groupBy("core", "whole").agg(F.min("id").alias("whole_first"))
+    wholes = stored(repeated.groupBy("core", "whole").agg(F.min("id").alias("whole_first")), "wholes")
     several = wholes.groupBy("core").agg(F.count("*").alias("wholes")).where("wholes > 1")
-    edges = wholes.join(several.select("core"), "core", "left_semi").withColumn("edge", F.lit(True))
+    edges = wholes.join(several.select("core"), "core", "left_semi").select("core", "whole")
     marked = repeated.join(wholes, ["core", "whole"]).select(
-        "id", "first", "n", "core", "whole", (F.col("whole_first") < F.col("id")).alias("inside")
-    )
-    open_cells = marked.where("NOT inside").join(edges.select("core", "whole", "edge"), ["core", "whole"], "left_semi")
-    listed = marked.where("inside").select("id", "first", "n", "core", "inside").unionByName(
-        open_cells.select("id", "first", "n", "core", "inside")
+        "id", "core", "whole", (F.col("whole_first") < F.col("id")).alias("inside"), pack(F.col("first"), F.col("n")).alias("run")
     )
-    by_doc = listed.groupBy("id").agg(F.collect_list(F.struct("first", "n", "core", "inside")).alias("cells"))
-    by_doc = stored(by_doc, "cell-lists")
-    opened = known.join(by_doc.where(F.exists("cells", lambda c: ~c["inside"])), "id")
+    inside = marked.where("inside").groupBy("id").agg(F.collect_list("run").alias("inside"))
+    open_cells = marked.where("NOT inside").join(edges, ["core", "whole"], "left_semi")
+    to_check = open_cells.groupBy("id").agg(F.collect_list("run").alias("open"))
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for key, value, found in zip(batch["id"], batch["text"], batch["cells"]):
+            made = []
+            for key, value, runs in zip(batch["id"], batch["text"], batch["open"]):
                 rolling = S.Rolling(S.word_units(value.encode("utf-8", "surrogatepass")))
-                cells = [c for c in found if not c["inside"]]
-                n = np.array([c["n"] for c in cells], np.int64)
-                place = np.repeat(np.array([c["first"] for c in cells], np.int64) - np.cumsum(n) + n, n) + np.arange(n.sum())
-                core = np.repeat(np.array([c["core"] for c in cells], np.int64), n)
-                hashed = rolling.of(place, place + window).view(np.int64)
-                yield pd.DataFrame({"id": np.full(len(place), key, np.int64), "place": place, "core": core, "words": hashed})
-
-    checked = opened.mapInPandas(windows, "id bigint, place bigint, core bigint, words bigint")
-    earliest = checked.groupBy("core", "words").agg(F.min("id").alias("earliest"))
-    hits = checked.join(earliest, ["core", "words"]).where("earliest < id")
+                first, n = unpack(runs)
+                place = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+                middle = place + window // 2
+                made.append((np.full(len(place), key), place, rolling.of(place, middle), rolling.of(middle, place + window)))
+            columns = [np.concatenate(c) for c in zip(*made)]
+            yield pd.DataFrame(dict(zip(["id", "place"], columns)) | {"head": columns[2].view(np.int64), "tail": columns[3].view(np.int64)})
+
+    checked = known.join(to_check, "id").mapInPandas(windows, "id bigint, place bigint, head bigint, tail bigint")
+    earliest = checked.groupBy("head", "tail").agg(F.min("id").alias("earliest"))
+    hits = checked.join(earliest, ["head", "tail"]).where("earliest < id")
     hits = hits.groupBy("id").agg(F.collect_list("place").alias("places"))
-    parsed = known.join(by_doc, "id", "left").join(hits, "id", "left")
-    rest = base.where("id IS NULL").withColumns({"cells": F.lit(None).cast(by_doc.schema["cells"].dataType), "places": F.lit(None).cast("array<bigint>")})
+    parsed = known.join(inside, "id", "left").join(hits, "id", "left")
+    rest = base.where("id IS NULL").withColumns({c: F.lit(None).cast("array<bigint>") for c in ("inside", "places")})
     outputs = f"{doc_id} bigint, n_words bigint, n_removed bigint, kept_sha256 string, factors array<array<bigint>>"
     names = ["n_words", "n_removed", "kept_sha256", "factors"] + ["kept_text"] * with_text
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for value, found, places in zip(batch["text"], batch["cells"], batch["places"]):
-                words = words_of(value)
-                runs = [(c["first"], c["first"] + c["n"] - 1 + window) for c in found if c["inside"]] if found is not None else []
-                runs += [(p, p + window) for p in places] if places is not None else []
+            for value, runs, places in zip(batch["text"], batch["inside"], batch["places"]):
+                words = value.encode("utf-8", "surrogatepass").split()  # bytes part at exactly these six blanks
+                starts, n = unpack(runs)
+                if places is not None:
+                    starts, n = np.r_[starts, places], np.r_[n, np.ones(len(places), np.int64)]
                 factors, kept = [], words
-                if runs:
-                    pairs = np.array(runs, np.int64)
-                    factors = merged(pairs[:, 0], pairs[:, 1], len(words))
+                if len(starts):
+                    factors = merged(starts, starts + n - 1 + window, len(words))
                     bounds = [0, *[x for f in factors for x in f], len(words)]
                     kept = [w for a, b in zip(bounds[::2], bounds[1::2]) for w in words[a:b]]
-                joined = " ".join(kept)
-                digest = hashlib.sha256(joined.encode("utf-8", "surrogatepass")).hexdigest()
+                joined = b" ".join(kept)
+                digest = hashlib.sha256(joined).hexdigest()
                 row = [len(words), len(words) - len(kept), digest, [list(f) for f in factors]]
-                rows.append(row + [joined] * with_text)
+                rows.append(row + [joined.decode("utf-8", "surrogatepass")] * with_text)
             made = pd.DataFrame(rows, columns=names, index=batch.index)
             yield pd.concat([batch["id"].rename(doc_id), made], axis=1)
 
-    columns = ["id", "text", "cells", "places"]
+    columns = ["id", "text", "inside", "places"]
     return parsed.select(columns).unionByName(rest.select(columns)).mapInPandas(finish, outputs + ", kept_text string" * with_text)
 
