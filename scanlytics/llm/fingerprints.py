@@ -48,9 +48,11 @@ def shared(a: Column, b: Column) -> Column:
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Estimated share of the smaller document's shingles that the other has too; 1 for two empty ones, 0 for one."""
-    least = F.least(F.size(a), F.size(b))
-    return F.when(least > 0, shared(a, b) / least).otherwise(F.when(F.size(a) == F.size(b), 1.0).otherwise(0.0))
+    """Estimated share of the first document's shingles that the second has too, however much longer that is.
+
+    1 for two documents without words, 0 if only the first has none.
+    """
+    return F.when(F.size(a) > 0, shared(a, b) / F.size(a)).otherwise(F.when(F.size(b) == 0, 1.0).otherwise(0.0))
 
 
 def resemblance(a: Column, b: Column) -> Column:
@@ -103,7 +105,8 @@ def fingerprint_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     The edited text ends in the first floor(n_chars / 4) code points of the next document by id instead of as many of
     its own; after the last document comes the first. Returns doc_id, n_chars, edited_sha256, fingerprint,
-    edited_fingerprint, near_edited, near_next (containments) and resemblance_edited. A null text counts as empty. Rows
+    edited_fingerprint, near_edited and near_next (how much of the
+    document the edited text and the next document contain) and resemblance_edited. A null text counts as empty. Rows
     that repeat an id follow each other by text. Other columns are dropped.
     """
     rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
