@@ -116,7 +116,7 @@ def _lexicon(counted: DataFrame, mark: str, marked: int, total: int) -> dict[str
     rest = max(total - marked, 1)
     odds = F.log((F.col(mark) + 0.5) / (marked + 1)) - F.log((F.col("n") - F.col(mark) + 0.5) / (rest + 1))
     error = F.sqrt(1 / (F.col(mark) + 0.5) + 1 / (F.col("n") - F.col(mark) + 0.5))
-    best = counted.where(f"{mark} >= 3").select("word", odds.alias("odds"), (odds / error).alias("z")).where("z > 4")
+    best = counted.where(f"{mark} >= 3").select("word", odds.alias("odds"), (odds / error).alias("z")).where("z > 3.2")
     return {r.word: r.odds for r in best.orderBy(F.desc("z"), "word").limit(LEXICON_WORDS).collect()}
 
 
