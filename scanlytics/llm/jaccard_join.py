@@ -136,8 +136,14 @@ def near_duplicates(
     sets = stored(sets, "sets")
     keyed = sets.select("rep", F.explode("bands").alias("key"))
     leads = keyed.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("reps")).where("reps > 1")
-    candidates = keyed.join(leads, "key").where("rep <> lead").selectExpr("rep AS a", "lead AS b").distinct()
-    together = components(candidates)
+    # every set takes its least lead; then only the few different labels of a key have to be brought together
+    hits = stored(keyed.join(leads, "key").select("rep", "key", "lead"), "band-hits")
+    first = stored(hits.groupBy("rep").agg(F.min("lead").alias("label")), "first-labels")
+    labels = stored(hits.join(first, "rep").select("key", "label").distinct(), "key-labels")
+    least = labels.groupBy("key").agg(F.min("label").alias("least"), F.count("*").alias("n")).where("n > 1")
+    linked_labels = components(labels.join(least, "key").where("label <> least").selectExpr("label AS a", "least AS b").distinct())
+    together = first.join(linked_labels, first["label"] == linked_labels["id"], "left")
+    together = stored(together.select(F.col("rep").alias("id"), F.coalesce("component", "label").alias("component")), "candidates")
     sizes = together.groupBy("component").agg(F.count("*").alias("members"))
     placed = together.join(sizes, "component").withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
     placed = placed.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
