@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scanlytics.llm import bpe, decontamination, fingerprints, html, jaccard_join, masked_lm, quality, relative_parse, secrets_scan, suffix_dedup
+from scanlytics.llm import bpe, decontamination, fingerprints, html, jaccard_join, masked_lm, oracles, quality, relative_parse, secrets_scan, suffix_dedup
 from scanlytics.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -47,7 +47,7 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relative_parse.factor_documents(table(spark, sf_dir, "documents"))
+    return relative_parse.factor_documents(table(spark, sf_dir, "documents")).drop("factors")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
