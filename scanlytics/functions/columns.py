@@ -25,6 +25,12 @@ def integer_div(a: Column, b: Column) -> Column:
     return F.call_function("div", a, b)
 
 
+_ISO_DATE = r"\d{4}-\d{1,2}-\d{1,2}"
+_ISO_TIME = r"[T ]\d{1,2}(?::\d{1,2}(?::\d{1,2}(?:\.\d+)?)?)?"
+_OFFSET = r"Z|[+-]\d{2}:?\d{2}"
+_TIMED_OFFSET = rf"({_ISO_TIME})(?:{_OFFSET})$"
+
+
 def is_success(state: Column) -> Column:
     return F.coalesce(F.upper(state).isin(SUCCESS_STATES), F.lit(False))
 
@@ -42,11 +48,18 @@ def project_label(project: Column, version: Column) -> Column:
 
 
 def parse_hour(text: Column, formats: Sequence[str] = ()) -> Column:
-    """Text to a zone-free timestamp; null where neither ISO nor any given format fits.
+    """Text to a zone-free timestamp in UTC; null where neither ISO nor any given format fits.
 
-    Formats are read through the session zone, so keep that at UTC when giving any.
+    ISO means a full date, with or without a time; a bare number is no date. An offset such as ``+02:00`` or ``Z``
+    is taken into account. Formats are read through the session zone, so keep that at UTC when giving any.
     """
-    parsed = [text.try_cast("timestamp_ntz")]
+    text = F.trim(text)
+    offset = F.regexp_extract(text, f"^{_ISO_DATE}{_ISO_TIME}({_OFFSET})$", 1)
+    local = F.when(text.rlike(f"^{_ISO_DATE}({_ISO_TIME})?({_OFFSET})?$"), F.regexp_replace(text, f"{_TIMED_OFFSET}", "$1"))
+    hours = F.regexp_extract(offset, r"(\d{2}):?\d{2}$", 1).try_cast("int")
+    minutes = F.regexp_extract(offset, r"\d{2}:?(\d{2})$", 1).try_cast("int")
+    ahead = F.coalesce(hours * 60 + minutes, F.lit(0)) * F.when(F.startswith(offset, F.lit("-")), -1).otherwise(1)
+    parsed = [local.try_cast("timestamp_ntz") - F.make_dt_interval(mins=ahead)]
     parsed += [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats]
     return F.coalesce(*parsed)
 
@@ -67,6 +80,11 @@ def whole_number(text: Column) -> Column:
     return F.coalesce(text.try_cast("bigint"), text.try_cast("double").try_cast("bigint"))
 
 
+def is_whole(text: Column) -> Column:
+    """Whether text reads as a whole number, ``3.0`` included and ``3.7`` not."""
+    return F.coalesce(text.try_cast("double") == whole_number(text), F.lit(False))
+
+
 def percent(part: Column, whole: Column) -> Column:
     """100 * part / whole to one decimal, half up, in integer arithmetic; null when whole is 0."""
     whole = F.nullif(whole, F.lit(0))

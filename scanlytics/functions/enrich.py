@@ -14,14 +14,14 @@ _TEXT = ["codeLocationName", "versionName", "projectName", "state", "transitionR
 _SIZES = ["totalScanSize", "maxScanSize"]
 
 
-def enrich(df: DataFrame, hour_formats: Sequence[str] = (), bucket: str | None = "hour") -> DataFrame:
+def enrich(df: DataFrame, hour_formats: Sequence[str] = ()) -> DataFrame:
     """Add the columns every plan works on.
 
     Accepts reader output (text columns, ``header``), typed rows that carry ``hour_ts``, or a landed
     snapshot (``year`` present, left alone so that partition pruning still works).
 
-    ``bucket="hour"`` cuts the parsed hour to the full hour. A log row is one hour bucket by contract,
-    so this changes nothing for conforming logs; it bounds every series to 24 points a day.
+    Hours are cut to the full hour, parsed and typed ones alike. A log row is one hour bucket by contract, so this
+    changes nothing for conforming logs; it bounds every series to 24 points a day.
     """
     names = set(df.columns)
     has_header = "header" in names
@@ -33,9 +33,13 @@ def enrich(df: DataFrame, hour_formats: Sequence[str] = (), bucket: str | None =
         return F.array_contains("header", column) if has_header else F.lit(True)
 
     typed = {}
-    if "hour_ts" not in names:
-        hour = C.parse_hour(F.col("hour"), hour_formats) if "hour" in names else F.lit(None).cast("timestamp_ntz")
-        typed["hour_ts"] = C.floor_hour(hour) if bucket == "hour" else hour
+    if "hour_ts" in names:
+        hour = F.col("hour_ts").cast("timestamp_ntz")
+    elif "hour" in names:
+        hour = C.parse_hour(F.col("hour"), hour_formats)
+    else:
+        hour = F.lit(None).cast("timestamp_ntz")
+    typed["hour_ts"] = C.floor_hour(hour)
     for name in _TEXT:
         if name not in names:
             typed[name] = F.lit(None).cast("string")
@@ -62,6 +66,7 @@ def enrich(df: DataFrame, hour_formats: Sequence[str] = (), bucket: str | None =
         "is_failure": C.is_failure(F.col("state")),
         "scan_date": F.to_date("hour_ts"),
         "has_project_column": in_file("projectName"),
+        "has_hour_column": F.col("hour_ts").isNotNull() | (in_file("hour") if has_header or "hour_ts" not in names else F.lit(True)),
     }
     if "year" not in names:
         derived["year"] = F.year("hour_ts")
@@ -93,18 +98,18 @@ def with_measures(df: DataFrame) -> DataFrame:
 
 
 def quality_counts(raw: DataFrame, hour_formats: Sequence[str] = ()) -> DataFrame:
-    """Per file: rows, and rows whose hour or numbers are present but unreadable."""
+    """Per file: rows, and rows whose hour or numbers are present but unreadable; a fraction is no whole number."""
     names = set(raw.columns)
 
-    def bad(column, parsed):
+    def bad(column, readable):
         if column not in names:
             return F.lit(0).cast("bigint")
-        return F.count_if(F.col(column).isNotNull() & parsed.isNull())
+        return F.count_if(F.col(column).isNotNull() & ~readable)
 
     return raw.groupBy("source_file").agg(
         F.count(F.lit(1)).alias("total_rows"),
-        bad("hour", C.parse_hour(F.col("hour"), hour_formats)).alias("bad_hour_rows"),
-        bad("scanCount", C.whole_number(F.col("scanCount"))).alias("bad_scan_count_rows"),
-        bad("totalScanSize", C.whole_number(F.col("totalScanSize"))).alias("bad_total_size_rows"),
-        bad("maxScanSize", C.whole_number(F.col("maxScanSize"))).alias("bad_max_size_rows"),
+        bad("hour", C.parse_hour(F.col("hour"), hour_formats).isNotNull()).alias("bad_hour_rows"),
+        bad("scanCount", C.is_whole(F.col("scanCount"))).alias("bad_scan_count_rows"),
+        bad("totalScanSize", C.is_whole(F.col("totalScanSize"))).alias("bad_total_size_rows"),
+        bad("maxScanSize", C.is_whole(F.col("maxScanSize"))).alias("bad_max_size_rows"),
     )

@@ -17,6 +17,7 @@ CUBE_KEYS = [
     "hour_ts",
     "projectName",
     "has_project_column",
+    "has_hour_column",
     "project_label",
     "scanType",
 ]

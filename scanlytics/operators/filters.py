@@ -92,11 +92,12 @@ def filter_scan_type(df: DataFrame, scan_type: str | None) -> DataFrame:
 
 
 def filter_dates(df: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Inclusive ISO dates on scan_date."""
+    """Inclusive ISO dates on scan_date; a date that is unknown is in no range."""
+    date = F.col("scan_date").try_cast("date")
     if start is not None:
-        df = df.where(F.col("scan_date") >= F.lit(start).cast("date"))
+        df = df.where(date >= F.lit(start).cast("date"))
     if end is not None:
-        df = df.where(F.col("scan_date") <= F.lit(end).cast("date"))
+        df = df.where(date <= F.lit(end).cast("date"))
     return df
 
 

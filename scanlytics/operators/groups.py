@@ -5,34 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanlytics.session import shared_folder
+from scanlytics.session import scratch_path
 
 
 def projects_in_group(tree: DataFrame, group: str, contains: bool = False) -> DataFrame:
     """Distinct project names below every group named ``group``.
 
-    ``tree`` has one row per child link: ``id, pid, name, isProject``. The walk goes down one level at a
-    time; each level is one join of the tree with the groups found last and is checkpointed, so lineage
-    stays short and a lost executor costs one level. A group met before is not entered again, so the walk
-    ends on cyclic input too. ``contains`` matches the name as a substring. A node that does not say
+    ``tree`` has one row per child link: ``id, pid, name, isProject``. The links between groups are written once
+    to the shared folder; the walk goes down over them one level at a time, each level one join and one write, so a
+    lost executor costs one level. Projects are joined once, at the end. A group met before is not entered again,
+    so the walk ends on cyclic input too. ``contains`` matches the name as a substring. A node that does not say
     whether it is a project is one.
     """
-    shared_folder(tree.sparkSession)
+    spark, folder = tree.sparkSession, scratch_path(tree.sparkSession, "groups")
     tree = tree.withColumn("isProject", F.coalesce("isProject", F.lit(True)))
+    kind = tree.schema["id"].dataType.simpleString()
     name = F.col("name")
     named = F.contains(name, F.lit(group)) if contains else name == group
-    groups = tree.where(~F.col("isProject") & named).select("id").distinct().checkpoint()
-    seen = groups
-    found = None
-    while not groups.isEmpty():
-        children = tree.join(groups.withColumnRenamed("id", "pid"), "pid", "left_semi")
-        children = children.select("id", "name", "isProject").checkpoint()
-        projects = children.where("isProject").select(F.col("name").alias("projectName"))
-        found = projects if found is None else found.unionByName(projects)
-        groups = (
-            children.where(~F.col("isProject")).select("id").distinct().join(seen, "id", "left_anti").checkpoint()
-        )
-        seen = seen.unionByName(groups)
-    if found is None:
-        found = tree.where(F.lit(False)).select(F.col("name").alias("projectName"))
+    groups = tree.where(~F.col("isProject"))
+    groups.select("id", "pid").distinct().write.parquet(f"{folder}/links")
+    links = spark.read.schema(f"id {kind}, pid {kind}").parquet(f"{folder}/links")
+    groups.where(named).select("id").distinct().write.parquet(f"{folder}/seen/level=0")
+    level = 0
+    while True:
+        seen = spark.read.schema(f"id {kind}, level int").parquet(f"{folder}/seen")
+        last = seen.where(F.col("level") == level).select(F.col("id").alias("pid"))
+        if last.isEmpty():
+            break
+        level += 1
+        below = links.join(last, "pid", "left_semi").select("id").distinct()
+        below.join(seen.select("id"), "id", "left_anti").write.parquet(f"{folder}/seen/level={level}")
+    projects = tree.where("isProject").select("pid", F.col("name").alias("projectName"))
+    found = projects.join(seen.select(F.col("id").alias("pid")), "pid", "left_semi").select("projectName")
     return found.where(F.col("projectName").isNotNull()).distinct()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from scanlytics.operators.cube import not_null
 
 _BUCKETS_PER_OCTAVE = 256
+_CELLS = 4096
 
 
 def _bucket(value: Column) -> Column:
@@ -23,8 +24,9 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, fractions: S
     """``keys, fraction, quantile`` with linear interpolation between neighbours.
 
     The built-in exact percentile keeps every distinct value of a group in one buffer. Here equal values
-    are counted first, a small table of bucket counts tells which buckets hold the wanted positions, and
-    only those few buckets are ranked.
+    are counted first, a small table of bucket counts tells which buckets hold the wanted positions, those
+    few buckets are split evenly between their least and greatest value into cells, and only the cells that
+    hold the positions are ranked. Close values far from zero share a bucket, but not a cell.
     """
     counted = (
         not_null(df, *keys, value)
@@ -34,7 +36,9 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, fractions: S
     )
     # the join below would add this to one of its sides only, and the count would then run twice
     counted = not_null(counted, "_bucket")
-    buckets = counted.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_in_bucket"))
+    buckets = counted.groupBy(*keys, "_bucket").agg(
+        F.sum("_n").alias("_in_bucket"), F.min("_value").alias("_least"), F.max("_value").alias("_most")
+    )
     whole = W.partitionBy(*keys)
     until = whole.orderBy("_bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
     placed = buckets.withColumns(
@@ -49,19 +53,28 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, fractions: S
         place = F.lit(float(fraction)) * (F.col("_total") - 1)
         return F.struct(F.lit(float(fraction)).alias("fraction"), place.alias("place"), side(place).alias("index"))
 
-    def in_bucket(t: Column) -> Column:
-        return (t["index"] >= F.col("_before")) & (t["index"] < F.col("_before") + F.col("_in_bucket"))
+    def held(targets, before: str, size: str) -> Column:
+        inside = lambda t: (t["index"] >= F.col(before)) & (t["index"] < F.col(before) + F.col(size))
+        return F.filter(targets, inside)
 
     targets = F.array(*[target(f, side) for f in fractions for side in (F.floor, F.ceil)])
-    wanted = (
-        placed.withColumn("_targets", F.filter(targets, in_bucket))
-        .where(F.size("_targets") > 0)
-        .select(*keys, "_bucket", "_before", "_targets")
+    wanted = placed.withColumn("_targets", held(targets, "_before", "_in_bucket")).where(F.size("_targets") > 0)
+    share = (F.col("_value") - F.col("_least")) / (F.col("_most") - F.col("_least"))
+    cell = F.when(F.col("_most") > F.col("_least"), F.floor(share * (_CELLS - 1))).otherwise(0).cast("int")
+    split = counted.join(wanted.select(*keys, "_bucket", "_least", "_most", "_before", "_targets"), [*keys, "_bucket"])
+    split = split.withColumn("_cell", cell).drop("_least", "_most")
+    cells = split.groupBy(*keys, "_bucket", "_cell").agg(
+        F.sum("_n").alias("_in_cell"), F.min("_before").alias("_before"), F.first("_targets").alias("_targets")
     )
-    rising = W.partitionBy(*keys, "_bucket").orderBy("_value").rowsBetween(W.unboundedPreceding, W.currentRow)
+    along = W.partitionBy(*keys, "_bucket").orderBy("_cell").rowsBetween(W.unboundedPreceding, W.currentRow)
+    cells = cells.withColumn("_start", F.col("_before") + F.sum("_in_cell").over(along) - F.col("_in_cell"))
+    cells = cells.withColumn("_targets", held(F.col("_targets"), "_start", "_in_cell")).where(F.size("_targets") > 0)
+    place = [*keys, "_bucket", "_cell"]
+    rising = W.partitionBy(*place).orderBy("_value").rowsBetween(W.unboundedPreceding, W.currentRow)
     ranked = (
-        counted.join(wanted, [*keys, "_bucket"])
-        .withColumn("_upto", F.col("_before") + F.sum("_n").over(rising))
+        split.drop("_before", "_targets")
+        .join(cells.select(*place, "_start", "_targets"), place)
+        .withColumn("_upto", F.col("_start") + F.sum("_n").over(rising))
         .select(*keys, "_value", (F.col("_upto") - F.col("_n")).alias("_from"), "_upto", F.inline("_targets"))
     )
     picked = (

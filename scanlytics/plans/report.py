@@ -61,9 +61,11 @@ def analyse(
     rows: DataFrame,
     options: ReportOptions = ReportOptions(),
     cube: DataFrame | None = None,
+    files: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """All analysis tables, lazily. ``cube`` is a landed activity cube of the same rows, if there is one;
-    all but four tables then never touch the rows again.
+    all but four tables then never touch the rows again. ``files`` lists the files read (``source_file``), those
+    without rows too.
 
     The year range applies to everything but the per-file tables and the profiles.
     """
@@ -97,7 +99,7 @@ def analyse(
         tops.append(ranked("file_year", ["source_file", "year"], everything))
 
     out = {
-        "summary": totals.summary_totals(kept),
+        "summary": totals.summary_totals(kept, everything if files is None else files),
         "totals": both(totals.totals_by_grain, grains),
         "scan_types": both(totals.scan_types_by_grain, grains),
         "time_blocks": both(blocks.time_blocks, block_grains),
@@ -110,7 +112,7 @@ def analyse(
         "scan_type_rows": totals.scan_type_rows(kept),
         "states": totals.state_distribution(kept_rows),
         "project_summary": totals.project_summary(kept_rows),
-        "lists": totals.distinct_lists(kept),
+        "lists": totals.distinct_lists(kept, everything),
         "file_profile": profile.file_profile(rows),
         "file_numeric_stats": profile.numeric_stats(rows),
         "file_top_values": profile.top_values(rows),

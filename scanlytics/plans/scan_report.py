@@ -7,12 +7,17 @@ from pyspark.sql import functions as F
 
 from scanlytics.operators import cube as K
 from scanlytics.operators import filters as P
+from scanlytics.schema import UNKNOWN
 
 
 def daily_counts(activity: DataFrame) -> DataFrame:
-    """``projectName, scanType, scan_date, scans``; rows with a null in any of the keys drop out."""
+    """``projectName, scanType, scan_date, scans``; rows with a null in any of the keys drop out.
+
+    The date is ISO text, or ``Unknown`` for logs that have no hour column at all.
+    """
     keys = ["projectName", "scanType", "scan_date"]
-    return K.not_null(activity, *keys).groupBy(*keys).agg(F.sum("scans_all").alias("scans"))
+    date = F.coalesce(F.col("scan_date").cast("string"), F.when(~F.col("has_hour_column"), F.lit(UNKNOWN)))
+    return K.not_null(activity.withColumn("scan_date", date), *keys).groupBy(*keys).agg(F.sum("scans_all").alias("scans"))
 
 
 def type_breakdown(activity: DataFrame) -> DataFrame:
@@ -35,7 +40,7 @@ def report_records(activity: DataFrame) -> DataFrame:
 
 def date_range(activity: DataFrame) -> DataFrame:
     """First and last date of the report's records."""
-    dated = K.not_null(activity, "projectName", "scanType", "scan_date")
+    dated = K.not_null(activity, "projectName", "scanType", "scan_date")  # unknown dates are in no range
     return dated.agg(F.min("scan_date").alias("min_date"), F.max("scan_date").alias("max_date"))
 
 

@@ -31,7 +31,8 @@ def summary_totals(activity: DataFrame, files: DataFrame | None = None) -> DataF
     """One row: files, rows, distinct projects, scans by outcome and the success rate.
 
     Rows are first folded to (file, project), so the two distinct counts see a small table. ``files``
-    lists the files read, for counting those without rows too.
+    lists the files read (``source_file``), for counting those without rows too; pass the files of all years when
+    ``activity`` covers some only.
     """
     reduced = K.roll_up(activity, ["source_file", "projectName"], "rows", "scans")
     totals = reduced.agg(
@@ -40,16 +41,18 @@ def summary_totals(activity: DataFrame, files: DataFrame | None = None) -> DataF
         *_totals(),
     )
     if files is not None:
-        totals = totals.withColumn("total_files", files.agg(F.count(F.lit(1))).scalar())
+        totals = totals.withColumn("total_files", files.agg(F.count_distinct("source_file")).scalar())
     return _with_rate(totals)
 
 
 def totals_by_grain(activity: DataFrame, grains: Sequence[str] = tuple(K.GRAINS)) -> DataFrame:
-    """Totals at every combination of file, year and project in one pass."""
+    """Totals at every combination of file, year and project in one pass; ``total_files`` is 1 for a grain with a file."""
     keys = list(dict.fromkeys([*K.finest_keys(grains), "projectName"]))
     reduced = K.roll_up(activity, keys, "rows", "scans").withColumn("_project", F.col("projectName"))
     unique = F.count_distinct("_project").alias("unique_projects")
-    return _with_rate(K.by_grains(reduced, grains, [*_totals(), unique]))
+    return _with_rate(K.by_grains(reduced, grains, [*_totals(), unique])).withColumn(
+        "total_files", F.when(F.col("source_file").isNotNull(), F.lit(1).cast("bigint"))
+    )
 
 
 def scan_types(activity: DataFrame) -> DataFrame:
@@ -91,9 +94,15 @@ def _list_entry(name: str, value: Column, owner: Column | None = None) -> Column
     return F.struct(F.lit(name).alias("list"), owner.alias("owner"), value.alias("value"))
 
 
-def distinct_lists(activity: DataFrame) -> DataFrame:
+def distinct_lists(activity: DataFrame, everything: DataFrame | None = None) -> DataFrame:
     """The values a report offers for selection: years, dates, projects and files, and per file the
-    years and projects. ``owner`` is the file a list belongs to, empty for the overall lists."""
+    years and projects. ``owner`` is the file a list belongs to, empty for the overall lists.
+
+    Files and their lists come from ``everything`` if that is given: a year range does not shorten them.
+    """
+    if everything is not None:
+        of_files = F.col("list").isin("files", "file_years", "file_projects")
+        return distinct_lists(activity).where(~of_files).unionByName(distinct_lists(everything).where(of_files))
     reduced = activity.groupBy("source_file", "year", "scan_date", "projectName").agg(F.first(F.lit(1)).alias("_one"))
     year = F.col("year").cast("string")
     entries = F.array(

@@ -126,7 +126,8 @@ def _by_grain(source: str, aggregates: str, grains=None, also: str = "", where:
 
 
 def _totals(source: str, grains=None) -> str:
-    return f"SELECT *, {_RATE} FROM ({_by_grain(source, _COUNTS, grains)})"
+    one = "CASE WHEN source_file IS NOT NULL THEN CAST(1 AS BIGINT) END AS total_files"
+    return f"SELECT *, {_RATE}, {one} FROM ({_by_grain(source, _COUNTS, grains)})"
 
 
 def _scan_types(grains=None) -> str:
@@ -337,7 +338,7 @@ def _cube() -> str:
         sums.append(_sum("scanCount", f"scans_{status}", where))
         sums.append(_sum("totalScanSize", f"size_{status}", where))
     return (
-        f"SELECT source_file, year, scan_date, {_ISO}, projectName, true AS has_project_column, project_label, scanType, {', '.join(sums)} FROM "
+        f"SELECT source_file, year, scan_date, {_ISO}, projectName, true AS has_project_column, true AS has_hour_column, project_label, scanType, {', '.join(sums)} FROM "
         "(SELECT *, coalesce(projectName, versionName, '(Unknown project)') AS project_label FROM act) "
         "GROUP BY source_file, year, scan_date, hour_ts, projectName, project_label, scanType"
     )
@@ -472,6 +473,14 @@ def oracle_sql() -> dict[str, str]:
         ),
         "profile_numeric": _events(_numeric()),
         "profile_top_values": _events(_top_values()),
+        "year_bounded_summary": _orders(
+            f"SELECT *, {_RATE} FROM (SELECT (SELECT count(DISTINCT source_file) FROM act) AS total_files, {_COUNTS} FROM kept)", kept
+        ),
+        "year_bounded_lists": _orders(
+            f"SELECT * FROM ({_LISTS.replace('FROM act', 'FROM kept')}) WHERE list NOT LIKE 'file%'"
+            f" UNION ALL SELECT * FROM ({_LISTS}) WHERE list LIKE 'file%'",
+            kept,
+        ),
         "year_range": _orders(_totals("kept", ["global", "year", "file"]), kept),
         "year_retention": _orders(
             f"SELECT *, {_pct('rows_after', 'rows_before')} AS kept_pct FROM (SELECT source_file, count(*) AS rows_before,"

@@ -209,7 +209,7 @@ def _slice(a: DataFrame) -> DataFrame:
 
 def _documents(a: DataFrame) -> DataFrame:
     parts = {
-        "totals": totals.totals_by_grain(a, ["global", "file", "project"]).drop("success_rate"),
+        "totals": totals.totals_by_grain(a, ["global", "file", "project"]).drop("success_rate", "total_files"),
         "scan_types": totals.scan_types_by_grain(a, ["global", "file", "project"]),
     }
     return S.documents(parts)
@@ -292,6 +292,8 @@ def queries() -> dict[str, Query]:
         # filters and groups
         "year_range": _orders(_filtered_years),
         "year_retention": _orders(_year_retention),
+        "year_bounded_summary": _orders(lambda a: totals.summary_totals(filter_years(a, *YEARS), a)),
+        "year_bounded_lists": _orders(lambda a: totals.distinct_lists(filter_years(a, *YEARS), a)),
         "group_closure": group_closure,
         "group_filtered_totals": group_filtered_totals,
         "group_retention": group_retention,

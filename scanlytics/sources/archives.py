@@ -1,12 +1,13 @@
 """ZIP archives of CSV logs.
 
-A ZIP entry cannot be split, so the unit of work is an archive (default reader) or an entry
-(``split_entries``). Either way an entry is decompressed and parsed in chunks, never as a whole. Land the
-rows once (see ``landing``) and run the metrics on the landed table.
+A ZIP entry cannot be split (deflate has no entry points), so the unit of work is an entry: one task each. It is
+decompressed and parsed in chunks, never as a whole. Land the rows once (see ``landing``) and run the metrics on the
+landed table.
 """
 
 from __future__ import annotations
 
+import posixpath
 import zipfile
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -33,7 +34,8 @@ def csv_entries(archive: zipfile.ZipFile, path: str) -> list[str]:
     return entries
 
 
-def _entry_batches(archive: zipfile.ZipFile, path: str, entry: str) -> Iterator[pa.RecordBatch]:
+def _entry_batches(archive: zipfile.ZipFile, path: str, entry: str, name: str | None = None) -> Iterator[pa.RecordBatch]:
+    """``name`` is what the rows give as their file, the entry's own by default."""
     names = [f.name for f in RAW_SCHEMA]
     with archive.open(entry) as stream:
         first = 0
@@ -47,7 +49,7 @@ def _entry_batches(archive: zipfile.ZipFile, path: str, entry: str) -> Iterator[
             ]
             origin = [
                 pa.array([path] * n, pa.string()),
-                pa.array([entry] * n, pa.string()),
+                pa.array([name or entry] * n, pa.string()),
                 pa.array(range(first, first + n), pa.int64()),
                 pa.array([header] * n, _HEADER_TYPE),
             ]
@@ -83,9 +85,10 @@ def archive_entries(contents: DataFrame) -> DataFrame:
 
 
 class _Entry(InputPartition):
-    def __init__(self, path: str, entry: str):
+    def __init__(self, path: str, entry: str, name: str):
         self.path = path
         self.entry = entry
+        self.name = name
 
 
 class _ZipReader(DataSourceReader):
@@ -93,22 +96,28 @@ class _ZipReader(DataSourceReader):
         self.path = path
 
     def partitions(self) -> list[InputPartition]:
-        """One partition per entry; only the archives' directories are read here."""
+        """One partition per entry; only the archives' directories are read here.
+
+        Files of several archives are told apart by the archive's place below the common folder.
+        """
+        paths = list_files(self.path, ".zip")
+        folder = posixpath.commonpath([posixpath.dirname(p) for p in paths]) if paths else ""
 
         def entries(path: str) -> list[InputPartition]:
+            prefix = f"{posixpath.relpath(path, folder)}/" if len(paths) > 1 else ""
             with open_file(path) as raw, zipfile.ZipFile(raw) as archive:
-                return [_Entry(path, entry) for entry in csv_entries(archive, path)]
+                return [_Entry(path, entry, prefix + entry) for entry in csv_entries(archive, path)]
 
         with ThreadPoolExecutor(_LISTING_THREADS) as pool:
-            return [e for found in pool.map(entries, list_files(self.path, ".zip")) for e in found]
+            return [e for found in pool.map(entries, paths) for e in found]
 
     def read(self, partition: Any) -> Iterator[pa.RecordBatch]:
         with open_file(partition.path) as raw, zipfile.ZipFile(raw) as archive:
-            yield from _entry_batches(archive, partition.path, partition.entry)
+            yield from _entry_batches(archive, partition.path, partition.entry, partition.name)
 
 
 class ZipCsvSource(DataSource):
-    """``spark.read.format("zipcsv").load(path)`` after registration; for archives too big for one cell."""
+    """``spark.read.format("zipcsv").load(path)`` after registration."""
 
     @classmethod
     def name(cls) -> str:
@@ -129,14 +138,12 @@ def archive_contents(spark: SparkSession, path: str) -> DataFrame:
     return files.load(path).select("path", "content")
 
 
-def read_archives(spark: SparkSession, path: str, split_entries: bool = False) -> DataFrame:
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """All CSV entries of one archive, a glob or a folder of archives, as raw rows with their origin.
 
-    By default Spark hands each archive (under 2 GB) to one task, from any Hadoop file system.
-    ``split_entries`` makes every entry a task of its own and streams it from storage; ``path`` is then a
-    file or a folder that pyarrow can open.
+    Every entry is a task of its own and is streamed from storage, whatever the archive's size. ``source_file`` is the
+    entry's name, with the archive's before it when there are several, so that equal entries stay apart. ``path`` is
+    what pyarrow can open; ``unpack_archives(archive_contents(...))`` serves other stores, for archives under 2 GB.
     """
-    if split_entries:
-        spark.dataSource.register(ZipCsvSource)
-        return spark.read.format("zipcsv").load(path)
-    return unpack_archives(archive_contents(spark, path))
+    spark.dataSource.register(ZipCsvSource)
+    return spark.read.format("zipcsv").load(path)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import csv
 import io
+import posixpath
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +34,7 @@ def _headers(paths: DataFrame) -> DataFrame:
     return paths.mapInPandas(first_lines, "path string, header string")
 
 
-def _log_rows(spark: SparkSession, files: list[str], line: str, multi_line: bool) -> DataFrame:
+def _log_rows(spark: SparkSession, files: list[str], line: str, multi_line: bool, root: str) -> DataFrame:
     header = [c.strip() for c in next(csv.reader([line]))]
     # position keeps repeated or empty names apart
     schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(header))])
@@ -51,7 +53,7 @@ def _log_rows(spark: SparkSession, files: list[str], line: str, multi_line: bool
 
     return rows.select(
         F.regexp_replace(decoded("file_path"), "/[^/]*$", "").alias("archive"),
-        decoded("file_name").alias("source_file"),
+        F.substr(decoded("file_path"), F.lit(len(root) + 1)).alias("source_file"),
         F.lit(None).cast("bigint").alias("row_no"),
         F.array(*[F.lit(c) for c in header]).alias("header"),
         *[log_column(c) for c in LOG_COLUMNS],
@@ -65,6 +67,8 @@ def read_csv_files(
 ) -> DataFrame:
     """Raw rows of all CSV files under ``path``. Files with the same header are read together.
 
+    ``source_file`` is the place below the folder that holds all of them.
+
     Large files are read in splits; ``multi_line`` (quoted line breaks) gives that up. ``number_rows``
     fills ``row_no``, which preview and column trends need, at the cost of one shuffle.
     """
@@ -75,7 +79,9 @@ def read_csv_files(
             files[row.header].append(row.path)
     if not files:
         raise ValueError(f"no CSV files in {path}")
-    parts = [_log_rows(spark, sorted(same), line, multi_line) for line, same in sorted(files.items())]
+    folders = {p.rpartition("/")[0] for same in files.values() for p in same}
+    root = posixpath.commonprefix([f"{f}/" for f in folders]).rpartition("/")[0] + "/"
+    parts = [_log_rows(spark, sorted(same), line, multi_line, unquote(root)) for line, same in sorted(files.items())]
     rows = reduce(DataFrame.unionByName, parts)
     if number_rows:
         rows = row_positions(rows.drop("row_no"), ["archive", "source_file"], "_order", F.col("_block"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import posixpath
+from fnmatch import fnmatch
+
 from pyarrow import fs
 
 
@@ -18,7 +21,11 @@ def open_file(path: str):
 
 
 def list_files(path: str, suffix: str) -> list[str]:
-    """``path`` itself if it is a file, else the files below it that end in ``suffix``."""
+    """``path`` itself if it is a file, the files that match it if it is a glob, else those below it that end in
+    ``suffix``."""
+    if any(c in posixpath.basename(path) for c in "*?["):
+        folder, pattern = posixpath.split(path)
+        return [f for f in list_files(folder, suffix) if posixpath.dirname(f).endswith(_resolve(folder)[1]) and fnmatch(posixpath.basename(f), pattern)]
     system, inner = _resolve(path)
     if system.get_file_info(inner).type == fs.FileType.File:
         return [path]

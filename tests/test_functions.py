@@ -56,6 +56,18 @@ def test_parse_hour(spark):
     assert got == ["2024-03-10 02:00:00"] * 3 + [None] * 3
 
 
+def test_hours_are_whole_dates_with_offsets(spark):
+    texts = ["12345", "2024", "2024-03", "2024-03-10", "2024-03-10T02:30:00+02:00", "2024-03-10 22:15:00.5-0330", "2024-03-10 02", "2024-13-10 00:00:00"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, h string")
+    got = [r[0] for r in df.orderBy("i").select(C.iso_hour(C.parse_hour(F.col("h")))).collect()]
+    assert got == [None, None, None, "2024-03-10 00:00:00", "2024-03-10 00:30:00", "2024-03-11 01:45:00", "2024-03-10 02:00:00", None]
+
+
+@pytest.mark.parametrize("text, whole", [("3", True), ("3.0", True), ("3.7", False), ("x", False), (None, False)])
+def test_is_whole(spark, text, whole):
+    assert one(spark, a=C.is_whole(F.lit(text).cast("string"))).a is whole
+
+
 def test_floor_hour_ignores_session_zone(spark):
     zone = spark.conf.get("spark.sql.session.timeZone")
     spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")

@@ -86,6 +86,13 @@ def test_quantiles_on_skewed_group(spark):
     assert got == want
 
 
+def test_quantiles_of_close_values_far_from_zero(spark):
+    """One logarithmic bucket holds them all; its cells keep what is ranked small."""
+    df = spark.range(200_000).select(F.lit("k").alias("k"), (F.col("id") + 10**12).alias("v"))
+    got = {r.fraction: r.quantile for r in exact_quantiles(df, ["k"], "v", [0.25, 0.5]).collect()}
+    assert got == {0.25: 10**12 + 49_999.75, 0.5: 10**12 + 99_999.5}
+
+
 TREE = [
     ("bu", None, "Business Unit A", False),
     ("t1", "bu", "Team 1", False), ("a", "t1", "Project A", True), ("b", "t1", "Project B", True),
@@ -107,6 +114,17 @@ def test_group_includes_nested_projects_once(spark):
     assert closure(spark, TREE, "Nobody") == []
 
 
+def test_deep_groups_take_few_jobs(spark):
+    chain = [(f"g{i}", f"g{i - 1}" if i else None, f"G{i}", False) for i in range(12)] + [("p", "g11", "Deep", True)]
+    spark.sparkContext.setJobGroup("closure", "closure")
+    try:
+        assert closure(spark, chain, "G0") == ["Deep"]
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("closure")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) <= 12 * 6
+
+
 def test_group_with_a_cycle_ends(spark):
     assert closure(spark, [*TREE, ("bu", "s", "Business Unit A", False)], "Team 2") == [f"Project {x}" for x in "ABCDE"]
 

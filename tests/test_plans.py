@@ -177,6 +177,28 @@ def test_daily_series(spark):
     assert sum(r["count"] for r in got) == 8
 
 
+def test_log_without_hours_has_an_unknown_date(spark):
+    rows = spark.createDataFrame([("p", "3"), ("p", "4"), ("q", None)], "projectName string, scanCount string")
+    a = enrich(rows.withColumn("source_file", F.lit("a.csv")))
+    assert values(scan_report.daily_counts(a), "projectName", "scan_date", "scanType", "scans") == [("p", "Unknown", "Unknown", 7), ("q", "Unknown", "Unknown", 0)]
+    assert scan_report.project_totals(scan_report.daily_counts(a), start="2024-01-01").count() == 0
+    assert scan_report.daily_counts(K.activity_cube(a)).count() == 2
+
+
+def test_typed_hours_are_floored(spark):
+    minutes = spark.sql("SELECT 'a.csv' AS source_file, timestamp_ntz'2024-01-01 03:05:00' + make_dt_interval(0, 0, CAST(id AS INT)) AS hour_ts FROM range(5)")
+    assert values(capacity.hourly_sph(enrich(minutes)), "sph") == [(5,)]
+
+
+def test_run_tables_of_a_year_range(spark):
+    a = activity(spark, [row("a.csv", "2023-01-01 00"), row("b.csv", "2024-01-01 00", project="q")])
+    kept, files = a.where("year = 2024"), spark.createDataFrame([("a.csv",), ("b.csv",), ("empty.csv",)], "source_file string")
+    assert totals.summary_totals(kept, files).first().total_files == 3
+    lists = values(totals.distinct_lists(kept, a), "list", "owner", "value")
+    assert ("file_years", "a.csv", "2023") in lists and ("years", "", "2023") not in lists and ("files", "", "a.csv") in lists
+    assert values(totals.totals_by_grain(a, ["file", "year"]).where("grain = 'file'"), "total_files") == [(1,), (1,)]
+
+
 def test_scan_report(spark):
     a = activity(
         spark,

@@ -24,9 +24,8 @@ def archive(tmp_path):
     return path
 
 
-@pytest.mark.parametrize("split_entries", [False, True])
-def test_archives(spark, archive, split_entries):
-    raw = read_archives(spark, str(archive), split_entries)
+def test_archives(spark, archive):
+    raw = read_archives(spark, str(archive))
     got = values(raw, "source_file", "row_no", "hour", "projectName", "scanCount", "state")
     assert got[:2] == [
         ("prod.csv", 0, "2024-01-01 00:00:00", "Web, shop", "3", "COMPLETED"),
@@ -45,20 +44,23 @@ def test_archives(spark, archive, split_entries):
     assert profile.preview(a).count() == 5
 
 
-@pytest.mark.parametrize("split_entries", [False, True])
-def test_folder_of_archives(spark, archive, tmp_path, split_entries):
+def test_folder_of_archives(spark, archive, tmp_path):
     with zipfile.ZipFile(tmp_path / "second.zip", "w") as z:
         z.writestr("prod.csv", PROD)
-    raw = read_archives(spark, str(tmp_path), split_entries)
+    raw = read_archives(spark, str(tmp_path))
     assert raw.count() == 7 and raw.select("archive").distinct().count() == 2
+    # equal entries of two archives are two files
+    assert values(raw.groupBy("source_file").count(), "source_file", "count") == [
+        ("export.zip/prod.csv", 2), ("export.zip/x/stg.csv", 3), ("second.zip/prod.csv", 2),
+    ]
+    assert values(read_archives(spark, f"{tmp_path}/sec*.zip"), "source_file", "row_no") == [("prod.csv", 0), ("prod.csv", 1)]
 
 
-@pytest.mark.parametrize("split_entries", [False, True])
-def test_archive_without_csv_is_an_error(spark, tmp_path, split_entries):
+def test_archive_without_csv_is_an_error(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "empty.zip", "w") as z:
         z.writestr("readme.txt", "x")
     with pytest.raises(Exception, match="no CSV files"):
-        read_archives(spark, str(tmp_path / "empty.zip"), split_entries).count()
+        read_archives(spark, str(tmp_path / "empty.zip")).count()
 
 
 def test_entry_larger_than_a_chunk(spark, tmp_path, monkeypatch):
@@ -82,6 +84,17 @@ def test_csv_files_with_different_headers(spark, tmp_path):
     assert values(totals.scan_type_rows(enrich(raw)), "scanType", "rows") == [("SIGNATURE", 2), ("SNIPPET", 2), ("Unknown", 1)]
 
 
+def test_csv_files_of_one_name_stay_apart(spark, tmp_path):
+    for folder in ("a", "b/c"):
+        (tmp_path / folder).mkdir(parents=True)
+        (tmp_path / folder / "prod.csv").write_text(PROD)
+    got = read_csv_files(spark, str(tmp_path / "*"))
+    assert values(got, "source_file") == [("prod.csv",)] * 2
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "prod.csv").write_text(PROD)
+    assert values(read_csv_files(spark, str(tmp_path / "[ad]")).select("source_file").distinct(), "source_file") == [("a/prod.csv",), ("d/prod.csv",)]
+
+
 def test_csv_rows_are_numbered_across_splits(spark, tmp_path):
     lines = "\n".join(f"2024-01-01 00:00:00,{i}" for i in range(5000))
     (tmp_path / "long.csv").write_text("hour,scanCount\n" + lines + "\n")
