@@ -9,10 +9,6 @@ Typical use::
     tables["top_projects"].show()
 """
 
-import sys
-
-from pyspark import cloudpickle
-
 from scanlytics.functions.enrich import enrich, quality_counts
 from scanlytics.operators.cube import activity_cube
 from scanlytics.operators.filters import filter_projects, filter_years, project_retention, retention, slice_metrics
@@ -26,9 +22,6 @@ from scanlytics.sources.landing import land, read_landed
 
 __version__ = "0.1.0"
 
-# the readers' task code travels with the job, so executors need not have the package installed
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 __all__ = [
     "ReportOptions",
     "activity_cube",

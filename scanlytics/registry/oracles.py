@@ -487,6 +487,7 @@ def oracle_sql() -> dict[str, str]:
             f" count(*) FILTER (WHERE {years}) AS rows_after FROM act GROUP BY source_file)"
         ),
         "group_closure": "WITH RECURSIVE" + _TREE + "\nSELECT projectName FROM closure",
+        "stored_group_closure": "WITH RECURSIVE" + _TREE + "\nSELECT projectName FROM closure",
         "group_filtered_totals": "WITH RECURSIVE" + _TREE + "," + _ORDERS + _COMMON
         + ",\nmine AS (SELECT * FROM act WHERE projectName IN (SELECT projectName FROM closure))\n"
         + _totals("mine", ["global", "year"]),
@@ -507,6 +508,18 @@ def oracle_sql() -> dict[str, str]:
             + ", ".join(f"CAST(0 AS BIGINT) AS bad_{n}_rows" for n in ("hour", "scan_count", "total_size", "max_size"))
             + " FROM act GROUP BY source_file"
         ),
+        "zip_storage_roundtrip": _events(
+            "SELECT 'archive-' || CAST(codeLocationId // 400 AS VARCHAR) || '.zip/logs/' || source_file AS source_file, count(*) AS total_rows,"
+            " CAST(sum(scanCount) AS BIGINT) AS total_scans, count(*) - 1 AS last_row, first_location FROM (SELECT *,"
+            " first_value(codeLocationId) OVER (PARTITION BY codeLocationId // 400, source_file ORDER BY codeLocationId) AS first_location FROM act)"
+            " GROUP BY codeLocationId // 400, source_file, first_location"
+        ),
+        "csv_storage_roundtrip": _events(
+            "SELECT 'Unknown' AS scanType, projectName, count(*) FILTER (WHERE won) AS won, CAST(sum(scanCount) AS BIGINT) AS scans FROM act GROUP BY projectName"
+        ),
+        "bare_log_report": _events(
+            "SELECT projectName, 'Unknown' AS scanType, 'Unknown' AS scan_date, count(*) AS scans FROM act WHERE projectName IS NOT NULL GROUP BY projectName"
+        ),
         "landed_roundtrip": _orders(_totals("kept", ["year", "file_year"]), kept),
         "series_sink": _orders(
             f"SELECT *, 'year' AS grain, 'series' AS metric FROM ({_series('year')})"

@@ -26,8 +26,11 @@ from scanlytics.plans import blocks, capacity, profile, rankings, scan_report, s
 from scanlytics.session import scratch_path
 from scanlytics.sinks import tables as S
 from scanlytics.sources import views as V
-from scanlytics.sources.archives import unpack_archives
+from scanlytics.sources.archives import read_archives, unpack_archives
+from scanlytics.sources.csv_files import read_csv_files
+from scanlytics.sources.group_tree import read_group_tree
 from scanlytics.sources.landing import land, read_landed
+from scanlytics.sources.remote import create_file, ship_code
 
 CAPACITY = 60
 MIN_SCANS, MAX_PROJECTS = 10, 1000
@@ -149,19 +152,26 @@ def _flagged_report(a: DataFrame) -> DataFrame:
     return capacity.flagged_report(a, CAPACITY).withColumn("projects", listed)
 
 
-def _archives(rows: DataFrame) -> DataFrame:
-    """The rows as ZIP archives of at most 20,000 rows, one CSV per source file, headers padded."""
+def _archives(rows: DataFrame, size: int = _ROWS_PER_ARCHIVE, to: str | None = None) -> DataFrame:
+    """The rows as ZIP archives of at most ``size`` rows, one CSV per source file, headers padded; in the folder
+    ``to``, if that is given."""
     names = ["hour", *[c for c in V.VIEW_COLUMNS if c != "hour_ts"]]
 
     def pack(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         buffer = io.BytesIO()
         with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
             for entry, part in frame.groupby("source_file"):
-                log = part[names].drop(columns=["source_file"]).add_prefix(" ").add_suffix(" ")
+                log = part[names].sort_values("codeLocationId").drop(columns=["source_file"]).add_prefix(" ").add_suffix(" ")
                 archive.writestr(f"logs/{entry}", log.to_csv(index=False))
-        return pd.DataFrame({"path": [f"archive-{key[0]}.zip"], "content": [buffer.getvalue()]})
-
-    number = C.integer_div(F.col("codeLocationId"), F.lit(_ROWS_PER_ARCHIVE))
+        name, content = f"archive-{key[0]}.zip", buffer.getvalue()
+        if to is not None:
+            with create_file(f"{to}/{name}") as file:
+                file.write(content)
+            content = b""
+        return pd.DataFrame({"path": [name], "content": [content]})
+
+    ship_code()
+    number = C.integer_div(F.col("codeLocationId"), F.lit(size))
     numbered = rows.withColumns({"hour": C.iso_hour(F.col("hour_ts")), "_archive": number}).drop("hour_ts")
     return numbered.groupBy("_archive").applyInPandas(pack, "path string, content binary")
 
@@ -178,6 +188,44 @@ def zip_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def zip_storage_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """The events as many archives with equal entry names in the shared folder, read by the archive reader: totals by
+    file, and the first row of each file."""
+    path = scratch_path(spark, "archives")
+    _archives(V.event_rows(spark, folder), 400, path).select("path").write.format("noop").mode("overwrite").save()
+    a = enrich(read_archives(spark, path)).withColumn("codeLocationId", C.whole_number(F.col("codeLocationId")))
+    return flat(
+        a.groupBy("source_file").agg(
+            F.sum("rows_all").alias("total_rows"),
+            F.sum("scans_all").alias("total_scans"),
+            F.max("row_no").alias("last_row"),
+            F.min_by("codeLocationId", "row_no").alias("first_location"),
+        )
+    )
+
+
+def csv_storage_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """The events as CSV files without scan types in the shared folder, read by the CSV reader."""
+    path = scratch_path(spark, "csv")
+    rows = V.event_rows(spark, folder).withColumn("hour", C.iso_hour(F.col("hour_ts")))
+    rows.select("hour", "projectName", "codeLocationId", "state", "scanCount").write.option("header", True).csv(path)
+    a = enrich(read_csv_files(spark, path))
+    return flat(a.groupBy("scanType", "projectName").agg(F.sum("rows_success").alias("won"), F.sum("scans_all").alias("scans")))
+
+
+def bare_log_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Daily counts of a log that has projects only: unknown dates and types, one scan per row."""
+    path = scratch_path(spark, "bare")
+    V.event_rows(spark, folder).select("projectName", "codeLocationName").write.option("header", True).csv(path)
+    return flat(scan_report.daily_counts(enrich(read_csv_files(spark, path))))
+
+
+def stored_group_closure(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "tree")
+    V.group_tree(spark, folder).write.json(path)
+    return projects_in_group(read_group_tree(spark, path, "json"), GROUP)
+
+
 def zip_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality_counts(unpack_archives(_archives(V.event_rows(spark, folder))))
 
@@ -302,6 +350,10 @@ def queries() -> dict[str, Query]:
         # sources and sinks
         "zip_roundtrip": zip_roundtrip,
         "zip_quality": zip_quality,
+        "zip_storage_roundtrip": zip_storage_roundtrip,
+        "csv_storage_roundtrip": csv_storage_roundtrip,
+        "bare_log_report": bare_log_report,
+        "stored_group_closure": stored_group_closure,
         "landed_roundtrip": landed_roundtrip,
         "series_sink": series_sink,
         "export_sink": export_sink,

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from scanlytics.schema import LOG_COLUMNS, RAW_SCHEMA
-from scanlytics.sources.remote import list_files, open_file
+from scanlytics.sources.remote import list_files, open_file, ship_code
 
 _CHUNK_ROWS = 50_000
 _LISTING_THREADS = 32
@@ -67,6 +67,7 @@ def unpack_archives(contents: DataFrame) -> DataFrame:
                     for entry in csv_entries(archive, path.as_py()):
                         yield from _entry_batches(archive, path.as_py(), entry)
 
+    ship_code()
     return contents.select("path", "content").mapInArrow(unpack, RAW_SCHEMA)
 
 
@@ -81,6 +82,7 @@ def archive_entries(contents: DataFrame) -> DataFrame:
                 columns = [pa.array([path.as_py()] * len(found)), pa.array(found)]
                 yield pa.RecordBatch.from_arrays(columns, names=["archive", "source_file"])
 
+    ship_code()
     return contents.select("path", "content").mapInArrow(names, "archive string, source_file string")
 
 
@@ -145,5 +147,6 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     entry's name, with the archive's before it when there are several, so that equal entries stay apart. ``path`` is
     what pyarrow can open; ``unpack_archives(archive_contents(...))`` serves other stores, for archives under 2 GB.
     """
+    ship_code()
     spark.dataSource.register(ZipCsvSource)
     return spark.read.format("zipcsv").load(path)

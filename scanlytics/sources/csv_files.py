@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from scanlytics.operators.ranking import row_positions
 from scanlytics.schema import LOG_COLUMNS, NULL_TOKENS, RAW_SCHEMA
-from scanlytics.sources.remote import open_file
+from scanlytics.sources.remote import open_file, ship_code
 
 
 def _headers(paths: DataFrame) -> DataFrame:
@@ -31,6 +31,7 @@ def _headers(paths: DataFrame) -> DataFrame:
                     lines.append(io.TextIOWrapper(raw, "utf-8-sig").readline().rstrip("\r\n"))
             yield pd.DataFrame({"path": frame["path"], "header": lines})
 
+    ship_code()
     return paths.mapInPandas(first_lines, "path string, header string")
 
 

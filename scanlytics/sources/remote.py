@@ -3,9 +3,22 @@
 from __future__ import annotations
 
 import posixpath
+import sys
 from fnmatch import fnmatch
 
 from pyarrow import fs
+from pyspark import cloudpickle
+
+
+def ship_code() -> None:
+    """Task code of this package travels with the job, so executors need not have it installed."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__.partition(".")[0]])
+
+
+def create_file(path: str):
+    system, inner = _resolve(path)
+    system.create_dir(posixpath.dirname(inner), recursive=True)
+    return system.open_output_stream(inner)
 
 
 def _resolve(path: str) -> tuple[fs.FileSystem, str]:

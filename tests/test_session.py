@@ -39,8 +39,9 @@ def test_local_session_gets_one_folder():
 
 
 def test_cluster_without_a_shared_folder_is_an_error():
-    with pytest.raises(ValueError):
-        shared_folder(session("spark://x"))
+    for master in ("spark://x", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            shared_folder(session(master))
 
 
 def test_real_session(spark):
