@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from scanlytics.functions import columns as C
 
-# Stands for the project of a row whose file has no project column; no name contains a line break.
+# With a number from 0 to 63 behind it stands for the project of a row whose file has no project column; no name
+# contains a line break.
+_PARTS = 64
 _NO_COLUMN = "\n(no project column)"
 
 
@@ -27,12 +29,18 @@ def filter_years(df: DataFrame, start_year: int | None = None, end_year: int | N
 
 
 def _keyed(df: DataFrame, projects: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows and the wanted projects under a common ``_key``, with files lacking a project column in."""
+    """The rows and the wanted projects under a common ``_key``, with files lacking a project column in.
+
+    Those rows have no project to join on; they are dealt out over many keys, so that none is hot.
+    """
     wanted = projects.select(F.col("projectName").alias("_key")).where(F.col("_key").isNotNull())
     key = F.col("projectName")
     if "has_project_column" in df.columns:
-        key = F.when(F.col("has_project_column"), key).otherwise(_NO_COLUMN)
-        wanted = wanted.unionByName(wanted.limit(1).select(F.lit(_NO_COLUMN).alias("_key")))
+        spread = [c for c in ("source_file", "hour_ts", "scanType", "codeLocationId") if c in df.columns]
+        part = F.pmod(F.xxhash64(F.lit(0), *spread), F.lit(_PARTS)).cast("string")
+        key = F.when(F.col("has_project_column"), key).otherwise(F.concat(F.lit(_NO_COLUMN), part))
+        parts = F.array(*[F.lit(f"{_NO_COLUMN}{i}") for i in range(_PARTS)])
+        wanted = wanted.unionByName(wanted.limit(1).select(F.explode(parts).alias("_key")))
     return df.withColumn("_key", key), wanted
 
 

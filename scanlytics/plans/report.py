@@ -16,7 +16,7 @@ from scanlytics.operators.groups import projects_in_group
 from scanlytics.operators.ranking import row_positions
 from scanlytics.plans import blocks, capacity, profile, rankings, scan_report, series, totals
 from scanlytics.sinks import tables as S
-from scanlytics.sources.landing import land_cube, read_cube
+from scanlytics.sources.landing import land, land_cube, read_cube, read_landed
 
 _FILE_GRAINS = [g for g in K.GRAINS if g.startswith("file")]
 _OTHER_GRAINS = [g for g in K.GRAINS if not g.startswith("file")]
@@ -191,19 +191,20 @@ def write_report(
     group: str | None = None,
     project_scans: bool = False,
 ) -> str:
-    """Write a run below ``folder``: the activity cube first, then every table from it.
+    """Write a run below ``folder``: its rows and the activity cube first, then every table from them.
 
-    The cube is a written table, so a lost executor repeats no work before it. State counts, project
-    summary, profiles and trends need the rows themselves: pass landed rows, so that archives are
-    unpacked once. ``tree`` and ``group`` keep only the projects below a project group. With
-    ``project_scans`` only the project-scan report is written.
+    Both are written tables, so the source is read once, whatever it takes to read it, and a lost executor repeats no
+    work before them. State counts, project summary, profiles and trends come from the rows, all else from the cube.
+    ``tree`` and ``group`` keep only the projects below a project group. With ``project_scans`` only the project-scan
+    report is written, straight from the source.
     """
     folder = folder.rstrip("/")
-    cube = K.activity_cube(rows)
     if group is not None:
-        projects = projects_in_group(tree, group)
-        rows, cube = filter_projects(rows, projects), filter_projects(cube, projects)
-    land_cube(cube, f"{folder}/cube")
+        rows = filter_projects(rows, projects_in_group(tree, group))
+    if not project_scans:
+        land(rows, f"{folder}/rows")
+        rows = read_landed(rows.sparkSession, f"{folder}/rows")
+    land_cube(K.activity_cube(rows), f"{folder}/cube")
     cube = read_cube(rows.sparkSession, f"{folder}/cube")
     if project_scans:
         kept = filter_years(cube, options.start_year, options.end_year)
