@@ -19,7 +19,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanlytics.llm.common import text_or_empty
+from scanlytics.llm.common import stored, text_or_empty
 
 # Fixed value: the split pattern of this vocabulary's file, with white space as Unicode defines it.
 PIECES = regex.compile(
@@ -274,10 +274,21 @@ class Encoder:
 
 
 def frequent_words(docs: DataFrame, limit: int, text: str = "text") -> list[str]:
-    """The ``limit`` most frequent white-space words of all documents, in lower case; ties by word."""
+    """About the ``limit`` most frequent white-space words of all documents, in lower case.
+
+    Words are cut at the count at which the histogram of counts passes the limit, so that tasks send the driver
+    only words above that, never ``limit`` words each.
+    """
     words = docs.select(F.explode(F.split(F.lower(text_or_empty(text)), r"[^\p{L}]+")).alias("w"))
     counted = words.where("w <> '' AND length(w) <= 64").groupBy("w").agg(F.count("*").alias("n"))
-    return [r.w for r in counted.orderBy(F.desc("n"), "w").limit(limit).select("w").collect()]
+    counted = stored(counted.where("n > 1"), "word-counts")
+    steps = counted.groupBy(F.floor(F.log2("n") * 4).cast("int").alias("step")).agg(F.count("*").alias("words")).collect()
+    total, lowest = 0, 1 << 30
+    for row in sorted(steps, key=lambda r: -r.step):
+        if total + row.words > limit:
+            break
+        total, lowest = total + row.words, row.step
+    return [r.w for r in counted.where(F.floor(F.log2("n") * 4) >= lowest).select("w").collect()]
 
 
 def published(spark: SparkSession, arrays: dict[str, np.ndarray], spec_path: str) -> tuple[str, str]:
@@ -300,9 +311,9 @@ def encode_documents(
     """Adds ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and, if asked, ``ids`` and ``decoded`` to every document.
 
     ``vocabulary`` is the path of a tokenizers JSON file with word ends. Words are counted over all documents and the
-    ``lexicon_words`` most frequent (a bound on the lexicon, not on what is encoded) are compiled into the transducer;
-    every other word is merged exactly. A null text counts as empty: no token. Repeated rows stay, extra columns are
-    kept, and a column named like an output is replaced.
+    most frequent, at most ``lexicon_words`` (a bound on the lexicon, not on what is encoded), are compiled into the
+    transducer; every other word is merged exactly. A null text counts as empty: no token. Repeated rows stay, extra
+    columns are kept, and a column named like an output is replaced.
     """
     spark = docs.sparkSession
     with open(vocabulary, encoding="utf-8") as file:

@@ -105,9 +105,9 @@ def fingerprint_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     The edited text ends in the first floor(n_chars / 4) code points of the next document by id instead of as many of
     its own; after the last document comes the first. Returns doc_id, n_chars, edited_sha256, fingerprint,
-    edited_fingerprint, near_edited and near_next (how much of the
-    document the edited text and the next document contain) and resemblance_edited. A null text counts as empty. Rows
-    that repeat an id follow each other by text. Other columns are dropped.
+    edited_fingerprint, near_edited and near_next (how much of the document the edited text and the next document
+    contain) and resemblance_edited. A null text counts as empty. Rows that repeat an id follow each other by text.
+    Other columns are dropped.
     """
     rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     rows = with_next(rows, "id", "text")
