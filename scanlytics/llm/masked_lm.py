@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -14,6 +16,12 @@ from pyspark.sql import functions as F
 from scanlytics.llm.common import stored, text_or_empty
 
 _CHUNK = 16_384
+#: Weights that a task sends for averaging in one row.
+_WEIGHTS = 4_096
+#: What Python's str.split() takes for white space, so that words counted in the JVM are those met in tasks.
+_SPACE = r"[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
+#: The count that a word gets which the counted documents do not have.
+_UNSEEN = 0.5
 
 
 @dataclass(frozen=True)
@@ -27,6 +35,15 @@ class Shape:
     width: int = 16
     hidden: int = 32
 
+    @classmethod
+    def of_vocabulary(cls, different: int) -> Shape:
+        """Ids grow with the square root of how many different words there are: 4 * sqrt of them, 1,024 at least.
+
+        A task holds the whole network, so it cannot grow as fast as the vocabulary; the counts of words do.
+        """
+        side = max(32, math.ceil(2 * different**0.25))
+        return cls(classes=side, members=side, unknown=side * side // 16)
+
     @property
     def ids(self) -> int:
         return self.classes * self.members
@@ -75,6 +92,9 @@ class Network:
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
         """Of each row of ids around a place."""
+        if len(around) < self.shape.ids:
+            inner = self.at["inner"].reshape(-1, self.shape.hidden)
+            return np.maximum(self.at["embed"][around].reshape(len(around), len(inner)) @ inner + self.at["bias"], 0)
         total = np.repeat(self.at["bias"][None, :], len(around), axis=0)
         for k in range(2 * self.shape.side):
             total += (self.at["embed"] @ self.at["inner"][k])[around[:, k]]
@@ -85,47 +105,59 @@ class Network:
         x = x - x.max(axis=1, keepdims=True)
         return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
 
+    def _by_class(self, h: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]], np.ndarray]:
+        """The order of rows by class, (class, first, end) of each class met, and the members' logits in that order."""
+        order = np.argsort(own, kind="stable")
+        bounds = np.searchsorted(own[order], np.arange(self.shape.classes + 1)).tolist()
+        runs = [(c, a, b) for c, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])) if b > a]
+        sorted_h = h[order]
+        logits = self.at["member_bias"][own[order]]
+        for c, a, b in runs:
+            logits[a:b] += sorted_h[a:b] @ self.at["members"][c]
+        return order, runs, logits
+
     def log_probabilities(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
         h = self.hidden(around)
         own, member = target % self.shape.classes, target // self.shape.classes
-        out = self._log_softmax(h @ self.at["classes"] + self.at["class_bias"])[np.arange(len(target)), own]
-        order = np.argsort(own, kind="stable")
-        bounds = np.searchsorted(own[order], np.arange(self.shape.classes + 1))
-        for c in range(self.shape.classes):
-            rows = order[bounds[c] : bounds[c + 1]]
-            if len(rows):
-                logits = h[rows] @ self.at["members"][c] + self.at["member_bias"][c]
-                out[rows] += self._log_softmax(logits)[np.arange(len(rows)), member[rows]]
+        at = np.arange(len(target))
+        out = self._log_softmax(h @ self.at["classes"] + self.at["class_bias"])[at, own]
+        order, _, logits = self._by_class(h, own)
+        out[order] += self._log_softmax(logits)[at, member[order]]
         return out
 
     def gradient(self, around: np.ndarray, target: np.ndarray) -> Network:
         """Of the mean loss."""
         n, shape = len(target), self.shape
+        at = np.arange(n)
         g = Network(shape, np.zeros_like(self.weights))
         h = self.hidden(around)
         own, member = target % shape.classes, target // shape.classes
         d = np.exp(self._log_softmax(h @ self.at["classes"] + self.at["class_bias"]))
-        d[np.arange(n), own] -= 1
+        d[at, own] -= 1
         d /= n
         g.at["classes"][...] = h.T @ d
         g.at["class_bias"][...] = d.sum(axis=0)
         dh = d @ self.at["classes"].T
-        order = np.argsort(own, kind="stable")
-        bounds = np.searchsorted(own[order], np.arange(shape.classes + 1))
-        for c in range(shape.classes):
-            rows = order[bounds[c] : bounds[c + 1]]
-            if len(rows):
-                d = np.exp(self._log_softmax(h[rows] @ self.at["members"][c] + self.at["member_bias"][c]))
-                d[np.arange(len(rows)), member[rows]] -= 1
-                d /= n
-                g.at["members"][c] = h[rows].T @ d
-                g.at["member_bias"][c] = d.sum(axis=0)
-                dh[rows] += d @ self.at["members"][c].T
+        order, runs, logits = self._by_class(h, own)
+        d = np.exp(self._log_softmax(logits))
+        d[at, member[order]] -= 1
+        d /= n
+        sorted_h, sorted_dh = h[order], dh[order]
+        for c, a, b in runs:
+            g.at["members"][c] = sorted_h[a:b].T @ d[a:b]
+            g.at["member_bias"][c] = d[a:b].sum(axis=0)
+            sorted_dh[a:b] += d[a:b] @ self.at["members"][c].T
+        dh[order] = sorted_dh
         dh[h <= 0] = 0
         g.at["bias"][...] = dh.sum(axis=0)
-        for k in range(2 * shape.side):
-            g.at["inner"][k] = self.at["embed"][around[:, k]].T @ dh
-            np.add.at(g.at["embed"], around[:, k], dh @ self.at["inner"][k].T)
+        inner = self.at["inner"].reshape(-1, shape.hidden)
+        g.at["inner"][...] = (self.at["embed"][around].reshape(n, len(inner)).T @ dh).reshape(self.at["inner"].shape)
+        back = (dh @ inner.T).reshape(-1, shape.width)
+        flat = around.ravel()
+        order = np.argsort(flat, kind="stable")
+        heads = np.flatnonzero(np.r_[True, flat[order][1:] != flat[order][:-1]]) if n else order
+        if n:
+            g.at["embed"][flat[order][heads]] = np.add.reduceat(back[order], heads, axis=0)
         return g
 
 
@@ -136,10 +168,13 @@ class Words:
         self.shape = shape
         self.ids = {w: i for i, w in enumerate(frequent)}
 
+    def shared(self, word: str) -> int:
+        """The id of a word that has none of its own."""
+        return self.shape.known + zlib.crc32(word.encode("utf-8", "surrogatepass")) % self.shape.unknown
+
     def of(self, text: str) -> np.ndarray:
-        words = text.lower().split()
-        get, known, unknown = self.ids.get, self.shape.known, self.shape.unknown
-        return np.array([i if (i := get(w)) is not None else known + zlib.crc32(w.encode("utf-8", "surrogatepass")) % unknown for w in words], np.int64)
+        get, shared = self.ids.get, self.shared
+        return np.array([i if (i := get(w)) is not None else shared(w) for w in text.lower().split()], np.int64)
 
     def around(self, ids: np.ndarray) -> np.ndarray:
         side = self.shape.side
@@ -149,10 +184,15 @@ class Words:
         return np.stack([padded[k : k + len(ids)] for k in offsets], axis=1)
 
 
-def corpus_words(docs: DataFrame, shape: Shape, text: str = "text") -> tuple[list[str], np.ndarray]:
+def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """w, n: how often each word occurs in all documents."""
+    words = docs.select(F.explode(F.split(F.lower(text_or_empty(text)), _SPACE)).alias("w")).where("w <> ''")
+    return stored(words.groupBy("w").agg(F.count("*").alias("n")), "word-counts")
+
+
+def corpus_words(docs: DataFrame, shape: Shape, text: str = "text", counted: DataFrame | None = None) -> tuple[list[str], np.ndarray]:
     """The most frequent words of all documents (ties by word), and every id's share of all words."""
-    words = docs.select(F.explode(F.split(F.lower(text_or_empty(text)), r"\s+")).alias("w")).where("w <> ''")
-    counted = stored(words.groupBy("w").agg(F.count("*").alias("n")), "word-counts")
+    counted = word_counts(docs, text) if counted is None else counted
     best = counted.orderBy(F.desc("n"), "w").limit(shape.known).collect()
     total = counted.agg(F.sum("n")).first()[0] or 0
     counts = np.full(shape.ids, 1.0)
@@ -161,11 +201,28 @@ def corpus_words(docs: DataFrame, shape: Shape, text: str = "text") -> tuple[lis
     return [r.w for r in best], counts / counts.sum()
 
 
+def shared_totals(counted: DataFrame, words: Words) -> np.ndarray:
+    """For each shared id: how often the words under it occur, and the share of a word that was not counted."""
+    shape = words.shape
+    bucket = (F.crc32(F.col("w").cast("binary")) % shape.unknown).cast("int").alias("bucket")
+    totals = np.full(shape.unknown, _UNSEEN)
+    for r in counted.groupBy(bucket).agg(F.sum("n").alias("n")).collect():
+        totals[r.bucket] += r.n
+    for r in counted.orderBy(F.desc("n"), "w").limit(len(words.ids)).collect():
+        totals[words.shared(r.w) - shape.known] -= r.n
+    return totals
+
+
+def learnt(text: str, words: int, phase: int, every: int) -> np.ndarray:
+    """The places of a text of so many words that a round learns; the phases 0 to ``every`` - 1 have each place once."""
+    return np.arange((phase + zlib.crc32(text[:64].encode("utf-8", "surrogatepass"))) % every, words, every)
+
+
 def train_round(docs: DataFrame, words: Words, network: Network, phase: int, text: str = "text", every: int = 16, batch: int = 1_024, rate: float = 0.05) -> Network:
     """One pass: in every document each ``every``-th place is masked and learnt, by one local model for each partition.
 
     The local models are averaged in Spark, weighted by how many places each has learnt; only one number for each
-    weight of the network comes back.
+    weight of the network comes back. With ``every`` = 1 each place of each document is learnt once.
     """
     shape, start = network.shape, network.weights
 
@@ -188,7 +245,7 @@ def train_round(docs: DataFrame, words: Words, network: Network, phase: int, tex
                 ids = words.of(value or "")
                 if not len(ids):
                     continue
-                places = np.arange((phase + zlib.crc32(value[:64].encode("utf-8", "surrogatepass"))) % every, len(ids), every)
+                places = learnt(value, len(ids), phase, every)
                 if len(places):
                     held.append((words.around(ids)[places], ids[places]))
                     size += len(places)
@@ -197,27 +254,38 @@ def train_round(docs: DataFrame, words: Words, network: Network, phase: int, tex
                     held, size = [], 0
         if held:
             learn()
-        if seen:
-            yield pd.DataFrame({"seen": [seen], "weights": [local.weights]})
+        for chunk, low in enumerate(range(0, len(start), _WEIGHTS) if seen else ()):
+            yield pd.DataFrame({"chunk": [chunk], "seen": [seen], "weights": [local.weights[low : low + _WEIGHTS].tobytes()]})
 
-    made = docs.select(text).mapInPandas(task, "seen bigint, weights array<float>")
-    places = made.select("seen", F.posexplode("weights").alias("place", "weight"))
-    mean = places.groupBy("place").agg((F.sum(F.col("weight").cast("double") * F.col("seen")) / F.sum("seen")).alias("weight"))
-    rows = mean.collect()
+    def average(rows: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(w, start.dtype).astype(np.float64) * n for w, n in zip(rows["weights"], rows["seen"]))
+        mean = (total / rows["seen"].sum()).astype(start.dtype)
+        return pd.DataFrame({"chunk": rows["chunk"][:1], "weights": [mean.tobytes()]})
+
+    made = docs.select(text).mapInPandas(task, "chunk int, seen bigint, weights binary")
+    rows = made.groupBy("chunk").applyInPandas(average, "chunk int, weights binary").collect()
     if not rows:
         return network
-    new = np.empty_like(start)
-    new[[r.place for r in rows]] = [r.weight for r in rows]
-    return Network(shape, new)
+    return Network(shape, np.frombuffer(b"".join(r.weights for r in sorted(rows)), start.dtype).copy())
+
 
+def score(
+    docs: DataFrame, words: Words, network: Network, doc_id: str = "doc_id", text: str = "text", counted: DataFrame | None = None
+) -> DataFrame:
+    """Per document: doc_id, n_words, log_likelihood (sum of all words' log probabilities), mean_log_likelihood.
 
-def score(docs: DataFrame, words: Words, network: Network, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: doc_id, n_words, log_likelihood (sum of all words' log probabilities), mean_log_likelihood."""
+    With ``counted`` (of ``word_counts``) a word without an id of its own has its shared id's probability times its
+    share of all counted words under that id; one that was not counted is taken to occur half a time. Without
+    ``counted`` only the shared id's is taken.
+    """
+    shares = None if counted is None else np.log(shared_totals(counted, words))
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             sums = np.zeros(len(rows))
             lengths = np.zeros(len(rows), np.int64)
+            rare: list[list[str]] = []
+            times: list[list[int]] = []
             held: list[tuple[int, np.ndarray, np.ndarray]] = []
             size = 0
 
@@ -225,7 +293,7 @@ def score(docs: DataFrame, words: Words, network: Network, doc_id: str = "doc_id
                 if held:
                     around, target = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
                     owner = np.repeat([h[0] for h in held], [len(h[2]) for h in held])
-                    np.add.at(sums, owner, network.log_probabilities(around, target))
+                    sums[:] += np.bincount(owner, network.log_probabilities(around, target), len(sums))
 
             for k, value in enumerate(rows["text"]):
                 ids = words.of(value)
@@ -237,27 +305,46 @@ def score(docs: DataFrame, words: Words, network: Network, doc_id: str = "doc_id
                     if size >= _CHUNK:
                         flush()
                         held, size = [], 0
+                seldom = Counter()
+                if shares is not None:
+                    shared = ids[ids >= words.shape.known]
+                    sums[k] -= shares[shared - words.shape.known].sum()
+                    seldom = Counter(w for w in value.lower().split() if w not in words.ids)
+                rare.append(list(seldom))
+                times.append(list(seldom.values()))
             flush()
-            mean = [s / n if n else None for s, n in zip(sums, lengths)]
-            yield pd.DataFrame({doc_id: rows["id"], "n_words": lengths, "log_likelihood": sums, "mean_log_likelihood": pd.array(mean, "Float64")})
+            yield pd.DataFrame({"id": rows["id"], "n_words": lengths, "log_likelihood": sums, "rare": rare, "times": times})
 
     source = docs.select(F.col(f"`{doc_id}`").alias("id"), text_or_empty(text).alias("text"))
     kind = dict(source.dtypes)["id"]
-    return source.mapInPandas(task, f"{doc_id} {kind}, n_words bigint, log_likelihood double, mean_log_likelihood double")
-
-
-def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shape: Shape = Shape(), rounds: int = 2, every: int = 16) -> DataFrame:
+    made = source.mapInPandas(task, f"id {kind}, n_words bigint, log_likelihood double, rare array<string>, times array<int>")
+    if counted is not None:
+        # written once, so that a row keeps its number
+        made = stored(made.withColumn("row", F.monotonically_increasing_id()), "scored")
+        seldom = made.select("row", F.inline(F.arrays_zip(F.col("rare").alias("w"), F.col("times").alias("times"))))
+        known = seldom.join(counted, "w", "left").select("row", (F.col("times") * F.log(F.coalesce(F.col("n").cast("double"), F.lit(_UNSEEN)))).alias("more"))
+        made = made.join(known.groupBy("row").agg(F.sum("more").alias("more")), "row", "left")
+        made = made.withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("more", F.lit(0.0)))
+    mean = F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words"))
+    return made.select(F.col("id").alias(doc_id), "n_words", "log_likelihood", mean.alias("mean_log_likelihood"))
+
+
+def score_documents(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shape: Shape | None = None, rounds: int = 2, every: int = 16
+) -> DataFrame:
     """Trains the network on the documents and scores each of them by its pseudo-likelihood.
 
-    Words are white-space words in lower case. They are counted over all documents; the ``shape.known`` most frequent
-    have ids of their own and all others share ``shape.unknown`` ids by a hash, so the score of a rare word is that of
-    its shared id. Every document takes part in each of the ``rounds`` of training with one in ``every`` of its places,
-    and every word of every document is scored. A null or empty text has no words, the sum 0 and a null mean; if no
-    document has words nothing is learnt. Repeated rows are learnt from and scored one by one; other columns are
-    dropped.
+    Words are white-space words in lower case, counted over all documents. Unless a ``shape`` is given its ids grow with
+    how many different words there are; the ``shape.known`` most frequent words have ids of their own, all others share
+    ``shape.unknown`` ids by a hash, and the score of such a word is its shared id's times its own share under that id,
+    from the counts of all words. The ``rounds`` of training learn one in ``every`` places each, and
+    every word of every document is scored. A null or empty text has no words, the sum 0 and a null mean; if no document has words nothing is learnt. Repeated rows
+    are learnt from and scored one by one; other columns are dropped.
     """
-    frequent, shares = corpus_words(docs, shape, text)
+    counted = word_counts(docs, text)
+    shape = Shape.of_vocabulary(counted.count()) if shape is None else shape
+    frequent, shares = corpus_words(docs, shape, text, counted)
     words, network = Words(shape, frequent), Network.start(shape, shares)
-    for phase in range(rounds):
-        network = train_round(docs, words, network, phase * (every // max(rounds, 1)), text, every)
-    return score(docs, words, network, doc_id, text)
+    for turn in range(rounds):
+        network = train_round(docs, words, network, turn * max(1, every // max(rounds, 1)), text, every)
+    return score(docs, words, network, doc_id, text, counted)
