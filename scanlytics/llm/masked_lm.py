@@ -218,7 +218,7 @@ def learnt(text: str, words: int, phase: int, every: int) -> np.ndarray:
     return np.arange((phase + zlib.crc32(text[:64].encode("utf-8", "surrogatepass"))) % every, words, every)
 
 
-def train_round(docs: DataFrame, words: Words, network: Network, phase: int, text: str = "text", every: int = 16, batch: int = 1_024, rate: float = 0.05) -> Network:
+def train_round(docs: DataFrame, words: Words, network: Network, phase: int, text: str = "text", every: int = 1, batch: int = 1_024, rate: float = 0.05) -> Network:
     """One pass: in every document each ``every``-th place is masked and learnt, by one local model for each partition.
 
     The local models are averaged in Spark, weighted by how many places each has learnt; only one number for each
@@ -330,19 +330,21 @@ def score(
 
 
 def score_documents(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shape: Shape | None = None, rounds: int = 2, every: int = 16
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shape: Shape | None = None, rounds: int | None = None, every: int = 1
 ) -> DataFrame:
     """Trains the network on the documents and scores each of them by its pseudo-likelihood.
 
     Words are white-space words in lower case, counted over all documents. Unless a ``shape`` is given its ids grow with
     how many different words there are; the ``shape.known`` most frequent words have ids of their own, all others share
     ``shape.unknown`` ids by a hash, and the score of such a word is its shared id's times its own share under that id,
-    from the counts of all words. The ``rounds`` of training learn one in ``every`` places each, and
-    every word of every document is scored. A null or empty text has no words, the sum 0 and a null mean; if no document has words nothing is learnt. Repeated rows
+    from the counts of all words. The ``rounds`` of training learn one in ``every`` places each; by default there are as
+    many as ``every``, so that each place of each document is learnt once, and every word of every document is scored. A
+    null or empty text has no words, the sum 0 and a null mean; if no document has words nothing is learnt. Repeated rows
     are learnt from and scored one by one; other columns are dropped.
     """
     counted = word_counts(docs, text)
     shape = Shape.of_vocabulary(counted.count()) if shape is None else shape
+    rounds = every if rounds is None else rounds
     frequent, shares = corpus_words(docs, shape, text, counted)
     words, network = Words(shape, frequent), Network.start(shape, shares)
     for turn in range(rounds):

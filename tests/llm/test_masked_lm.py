@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from scanlytics.llm import masked_lm
 
@@ -36,3 +37,28 @@ def test_rare_words_are_told_apart(spark):
     every = [r.w for r in counted.collect()]
     total = sum(np.exp(x) for x in scores(masked_lm.score(table(spark, list(enumerate(every))), words, network, counted=counted)).values())
     assert 0.9 < total < 1
+
+
+@pytest.mark.parametrize("asked", [{}, {"every": 6}])
+def test_each_place_is_learnt_once(spark, monkeypatch, asked):
+    texts = ["one", "a b c", "d e f g h i j k", " ".join("w%d" % i for i in range(100))]
+    rounds = []
+
+    def recorded(docs, words, network, phase, text="text", every=1, **more):
+        rounds.append((phase, every))
+        return network
+
+    monkeypatch.setattr(masked_lm, "train_round", recorded)
+    masked_lm.score_documents(table(spark, list(enumerate(texts))), **asked)
+    for t in texts:
+        n = len(t.split())
+        assert sorted(p for phase, every in rounds for p in masked_lm.learnt(t, n, phase, every)) == list(range(n))
+
+
+def test_defaults_learn_order(spark):
+    rng = random.Random(5)
+    cycle = ["w%d" % i for i in range(30)]
+    rows = [(d, " ".join(cycle[(d + k) % 30] for k in range(300))) for d in range(1_500)]
+    mixed = [(10_000 + d, " ".join(rng.sample(t.split(), 300))) for d, t in rows[:20]]
+    got = scores(masked_lm.score_documents(table(spark, rows + mixed)))
+    assert min(got[d] for d in range(20)) > max(got[d] for d, _ in mixed) + 1
