@@ -12,22 +12,38 @@ from scanlytics.llm.native import gram_hashes, plain_words, word_hashes
 #: Seed tables of up to this many benchmark words are sent to every executor; larger ones are joined by shuffles.
 BROADCAST_WORDS = 300_000
 
-# 1 marks a word that counts, 0 one that is ignored. All span 11 words and count seven. A passage of 13
-# words with one substitution anywhere keeps a seed, and with two it does for 97 of 100 places.
-MASKS = ("11101001101", "10011101011", "10110111001")
+# 1 marks a word that counts, 0 one that is ignored. Every passage of 11 words or more of which a share of
+# 0.8 agrees keeps a seed: its agreeing words come in so few runs that one has four words, or, with 11 or 15 words, all
+# have three with one changed word between them.
+MASKS = ("1111", "1110111")
+#: Items of fewer words match nothing.
+LEAST_ITEM = 11
 
 
 @dataclass(frozen=True)
 class Overlap:
-    """What counts as a leak: a stretch of ``words`` words (of all, if the item is shorter) of which ``share`` agree."""
+    """What counts as a leak: a stretch of ``words`` words (of all, if the item is shorter) of which ``share`` agree.
+
+    With ``any_stretch`` every such stretch counts, as in the registered queries; without it only the one on a diagonal
+    that agrees best, which ends before changed words near a passage's ends and may then be too short.
+    """
 
     words: int = 13
     share: float = 0.8
+    any_stretch: bool = False
+
+
+#: What the registered queries and the pipeline look for.
+WHOLE = Overlap(any_stretch=True)
 
 
 def seeds(hashes: Column) -> Column:
-    """Hashes of every mask at every place; place i under mask k is element k * (number of places) + i."""
-    each = [gram_hashes(hashes, [i for i, c in enumerate(m) if c == "1"], len(m), k) for k, m in enumerate(MASKS)]
+    """Hashes of every mask at every place; place i under mask k is element k * (number of places) + i.
+
+    There are as many places for each mask as for the shortest; a longer one hashes what is left at a text's end.
+    """
+    span = min(map(len, MASKS))
+    each = [gram_hashes(hashes, [i for i, c in enumerate(m) if c == "1"], span, k) for k, m in enumerate(MASKS)]
     return F.concat(*each)
 
 
@@ -63,6 +79,35 @@ def _best_stretch(equal: Column) -> Column:
     return F.aggregate(equal, start, step)
 
 
+def _whole_stretch(equal: Column, need: Column, share: float) -> Column:
+    """Of the stretches of at least ``need`` places of which ``share`` are 1, the one with the most above the share.
+
+    From prefix sums of (equal - share): each end meets the least sum that lies ``need`` places or more before it.
+    ``end`` is 0 if there is none.
+    """
+    tiny = 1e-9
+    start = F.struct(
+        F.lit(0).alias("at"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("behind"), F.lit(0.0).alias("low"), F.lit(0).alias("low_at"),
+        F.lit(-2 * tiny).alias("top"), F.lit(0).alias("first"), F.lit(0).alias("end"),
+    )
+
+    def step(s: Column, e: Column) -> Column:
+        at, total = s["at"] + 1, s["sum"] + e - F.lit(share)
+        behind = F.when(at > need, s["behind"] + F.get(equal, at - need - 1) - F.lit(share)).otherwise(F.lit(0.0))
+        lower = (at > need) & (behind < s["low"] - tiny)
+        low, low_at = F.when(lower, behind).otherwise(s["low"]), F.when(lower, at - need).otherwise(s["low_at"])
+        better = (at >= need) & (total - low > s["top"] + tiny)
+        return F.struct(
+            at.cast("int").alias("at"), total.cast("double").alias("sum"), behind.cast("double").alias("behind"),
+            low.cast("double").alias("low"), low_at.cast("int").alias("low_at"),
+            F.when(better, total - low).otherwise(s["top"]).cast("double").alias("top"),
+            F.when(better, low_at).otherwise(s["first"]).cast("int").alias("first"),
+            F.when(better, at).otherwise(s["end"]).cast("int").alias("end"),
+        )
+
+    return F.aggregate(equal, start, step)
+
+
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", overlap: Overlap = Overlap()
 ) -> DataFrame:
@@ -70,16 +115,18 @@ def find_leaks(
 
     Words are runs of letters and digits in lower case. Every place of a document under every mask is hashed and joined
     with those of the benchmark; along each hit's diagonal the words are compared one by one, and the stretch that
-    agrees best counts if it is long enough and enough of its words agree. ``first`` and ``length`` give the longest
-    such stretch in the document (in words; the first among equals).
+    agrees best counts if it is long enough and enough of its words agree. Where it does not, and ``overlap`` takes any
+    stretch, the long enough one with the most words above the share counts, if there is one; ``first``
+    and ``length`` give the longest of them in the document (in words; the first among equals). With a ``share`` below
+    0.8 seeds may miss passages.
 
-    Items of fewer words than a mask spans cannot be told from chance and match nothing; nor do null or empty texts and
+    Items of fewer than ``LEAST_ITEM`` words cannot be told from chance and match nothing; nor do null or empty texts and
     rows with a null id. Repeated rows give their pair once. Other columns are dropped. The benchmark's seeds are
     broadcast only after a count of its words; beyond ``BROADCAST_WORDS`` both joins shuffle.
     """
     items = benchmark.where(F.col(f"`{item_id}`").isNotNull()).select(
         F.col(f"`{item_id}`").alias("item"), word_hashes(plain_words(F.col(f"`{text}`"))).alias("words")
-    )
+    ).where(F.size("words") >= LEAST_ITEM)
     small = (items.agg(F.sum(F.size("words"))).first()[0] or 0) <= BROADCAST_WORDS
     hint = F.broadcast if small else (lambda df: df)
     sought = _seeded(items).select("seed", "item", F.col("place").alias("item_place"), F.col("words").alias("item_words"))
@@ -102,11 +149,25 @@ def find_leaks(
     )
     # exploded so that the conditions below read its fields instead of computing it again
     found = hits.select("*", F.explode_outer(F.array(_best_stretch(F.col("equal")))).alias("best"))
+
+    def matched(stretch: str) -> Column:
+        inside = F.slice("equal", F.col(f"{stretch}.first") + 1, F.col(f"{stretch}.end") - F.col(f"{stretch}.first"))
+        return F.aggregate(inside, F.lit(0), lambda a, e: a + e)
+
+    need = F.least(F.lit(overlap.words), F.col("item_size"))
     length = F.col("best.end") - F.col("best.first")
-    matched = F.aggregate(F.slice("equal", F.col("best.first") + 1, length), F.lit(0), lambda a, e: a + e)
-    found = found.select("doc", "item", "item_size", (F.col("begin") + F.col("best.first")).alias("first"), length.alias("length"), matched.alias("matched"))
-    enough = F.least(F.lit(overlap.words), F.col("item_size"))
-    found = found.where((F.col("length") >= enough) & (F.col("matched") >= F.ceil(F.col("length") * F.lit(overlap.share))))
+    good = (length >= need) & (matched("best") >= F.ceil(length * F.lit(overlap.share)))
+    others = ~good if overlap.any_stretch else F.lit(False)
+    # a stretch can only be whole if so many words of the diagonal agree
+    agreeing = F.aggregate("equal", F.lit(0), lambda a, e: a + e)
+    best = F.struct(F.col("best.first").alias("first"), F.col("best.end").alias("end"))
+    whole = F.when(others & (agreeing >= need * F.lit(overlap.share) - 1e-9), _whole_stretch(F.col("equal"), need, overlap.share))
+    whole = F.struct(whole["first"].alias("first"), whole["end"].alias("end"))
+    found = found.select("*", F.explode_outer(F.array(F.when(good, best).otherwise(whole))).alias("kept")).where("kept.end > 0")
+    found = found.select(
+        "doc", "item", "item_size", (F.col("begin") + F.col("kept.first")).alias("first"),
+        (F.col("kept.end") - F.col("kept.first")).alias("length"), matched("kept").alias("matched"),
+    )
     best = found.groupBy("doc", "item").agg(F.max(F.struct("length", "matched", (-F.col("first")).alias("back"), "item_size")).alias("best"))
     return best.select(
         F.col("doc").alias(doc_id),
