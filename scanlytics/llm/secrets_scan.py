@@ -184,12 +184,14 @@ def scan(
 def redact(docs: DataFrame, mark: str = "[SECRET]", threshold: float = 0.5) -> DataFrame:
     """The documents with every secret replaced by ``mark`` and n_chars (if there) set anew; columns and rows as given.
 
-    Rows that repeat an id must repeat its text. Rows with a null id are scanned like others.
+    Spans are looked up by id, source and a hash of the text, so rows with a null id or an id that other text has too
+    are replaced by their own secrets only.
     """
-    found = scan(docs, threshold=threshold).select("doc_id", "start", "length").distinct()
-    spans = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("_spans"))
-    spans = spans.withColumnRenamed("doc_id", "_id")
-    joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    own = [F.sha2(F.coalesce("text", F.lit("")), 256), F.coalesce(F.col("doc_id").cast("string"), F.lit("\u0000")), F.coalesce("source", F.lit(""))]
+    keyed = docs.withColumn("_key", F.concat_ws(" ", *own))
+    found = scan(keyed, doc_id="_key", threshold=threshold).select("_key", "start", "length").distinct()
+    spans = found.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("_spans"))
+    joined = keyed.join(spans, "_key", "left")
     start = F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at"))
 
     def step(s: Column, x: Column) -> Column:
