@@ -4,14 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scanlytics.functions import columns as C
 from scanlytics.schema import UNKNOWN
 
 _TEXT = ["codeLocationName", "versionName", "projectName", "state", "transitionReason"]
 _SIZES = ["totalScanSize", "maxScanSize"]
+#: Mark in a column's metadata: typed, and cut to the full hour.
+_FULL_HOUR = {"scanlytics.full_hour": True}
+
+
+def full_hour(hour: Column) -> Column:
+    """``hour_ts``, cut to the full hour and marked so, for storing."""
+    return C.floor_hour(hour).alias("hour_ts", metadata=_FULL_HOUR)
+
+
+def is_full_hour(field: T.StructField) -> bool:
+    return field.metadata.items() >= _FULL_HOUR.items() and isinstance(field.dataType, T.TimestampNTZType)
 
 
 def enrich(df: DataFrame, hour_formats: Sequence[str] = ()) -> DataFrame:
@@ -21,7 +33,8 @@ def enrich(df: DataFrame, hour_formats: Sequence[str] = ()) -> DataFrame:
     snapshot (``year`` present, left alone so that partition pruning still works).
 
     Hours are cut to the full hour, parsed and typed ones alike. A log row is one hour bucket by contract, so this
-    changes nothing for conforming logs; it bounds every series to 24 points a day.
+    changes nothing for conforming logs; it bounds every series to 24 points a day. Hours marked as cut (a landed
+    snapshot's) are taken as they are, so that filters on them reach the scan.
     """
     names = set(df.columns)
     has_header = "header" in names
@@ -39,7 +52,8 @@ def enrich(df: DataFrame, hour_formats: Sequence[str] = ()) -> DataFrame:
         hour = C.parse_hour(F.col("hour"), hour_formats)
     else:
         hour = F.lit(None).cast("timestamp_ntz")
-    typed["hour_ts"] = C.floor_hour(hour)
+    if "hour_ts" not in names or not is_full_hour(df.schema["hour_ts"]):
+        typed["hour_ts"] = C.floor_hour(hour)
     for name in _TEXT:
         if name not in names:
             typed[name] = F.lit(None).cast("string")

@@ -364,6 +364,14 @@ def oracle_sql() -> dict[str, str]:
         "scan_types_by_grain": _orders(_scan_types()),
         "scan_type_rows": _events('SELECT scanType, count(*) AS "rows" FROM act WHERE scanType IS NOT NULL GROUP BY scanType'),
         "state_distribution": _events('SELECT state, count(*) AS "rows" FROM act WHERE state IS NOT NULL GROUP BY state'),
+        "unique_projects_slice": _orders(
+            "SELECT year, count(DISTINCT projectName) AS unique_projects FROM act WHERE source_file IN ('america.csv', 'asia.csv')"
+            " AND year BETWEEN '1994' AND '1996' GROUP BY GROUPING SETS ((), (year))"
+        ),
+        "unique_projects_by_grain": _events(
+            "SELECT source_file, year, count(DISTINCT projectName) AS unique_projects FROM act WHERE projectName IS NOT NULL"
+            " GROUP BY GROUPING SETS ((), (source_file), (source_file, year))"
+        ),
         "project_summary": _orders(
             "SELECT projectName, CAST(sum(scanCount) AS BIGINT) AS scanCount, CAST(sum(totalScanSize) AS BIGINT) AS totalScanSize,"
             " count(codeLocationName) AS codeLocationName FROM act WHERE projectName IS NOT NULL GROUP BY projectName"
@@ -514,6 +522,12 @@ def oracle_sql() -> dict[str, str]:
             " first_value(codeLocationId) OVER (PARTITION BY codeLocationId // 400, source_file ORDER BY codeLocationId) AS first_location FROM act)"
             " GROUP BY codeLocationId // 400, source_file, first_location"
         ),
+        "zip_incremental_landing": _events(
+            "SELECT source_file, landed_rows, landed_scans, landed_size, landed_rows AS cube_rows, landed_scans AS cube_scans, landed_size AS cube_size FROM ("
+            "SELECT 'archive-' || CAST(codeLocationId // 400 AS VARCHAR) || '.zip/logs/' || source_file AS source_file, count(*) AS landed_rows,"
+            " CAST(sum(scanCount) AS BIGINT) AS landed_scans, CAST(sum(CASE WHEN lost THEN totalScanSize ELSE 0 END) AS BIGINT) AS landed_size"
+            " FROM act WHERE codeLocationId >= 400 OR codeLocationId % 2 = 0 GROUP BY codeLocationId // 400, source_file)"
+        ),
         "csv_storage_roundtrip": _events(
             "SELECT 'Unknown' AS scanType, projectName, count(*) FILTER (WHERE won) AS won, CAST(sum(scanCount) AS BIGINT) AS scans FROM act GROUP BY projectName"
         ),

@@ -22,15 +22,16 @@ from scanlytics.operators.filters import (
 )
 from scanlytics.operators.groups import projects_in_group
 from scanlytics.operators.ranking import stride_sample
-from scanlytics.plans import blocks, capacity, profile, rankings, scan_report, series, totals
+from scanlytics.plans import blocks, capacity, profile, project_bitmaps, rankings, scan_report, series, totals
 from scanlytics.session import scratch_path
 from scanlytics.sinks import tables as S
 from scanlytics.sources import views as V
 from scanlytics.sources.archives import read_archives, unpack_archives
 from scanlytics.sources.csv_files import read_csv_files
 from scanlytics.sources.group_tree import read_group_tree
+from scanlytics.sources.incremental import read_snapshot, read_snapshot_cube, refresh
 from scanlytics.sources.landing import land, read_landed
-from scanlytics.sources.remote import create_file, ship_code
+from scanlytics.sources.remote import create_file, create_folder, ship_code
 
 CAPACITY = 60
 MIN_SCANS, MAX_PROJECTS = 10, 1000
@@ -39,6 +40,7 @@ GROUP = "AMERICA"
 YEARS = (1997, 1998)
 _BLOCK_GRAINS = ["global", "year", "file", "file_year", "file_project", "file_year_project"]
 _ROWS_PER_ARCHIVE = 20_000
+_ROWS_PER_STORED_ARCHIVE = 400
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -176,6 +178,11 @@ def _archives(rows: DataFrame, size: int = _ROWS_PER_ARCHIVE, to: str | None = N
     return numbered.groupBy("_archive").applyInPandas(pack, "path string, content binary")
 
 
+def _store_archives(rows: DataFrame, path: str) -> None:
+    create_folder(path)
+    _archives(rows, _ROWS_PER_STORED_ARCHIVE, path).select("path").write.format("noop").mode("overwrite").save()
+
+
 def zip_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     raw = unpack_archives(_archives(V.event_rows(spark, folder)))
     columns = [c for c in V.VIEW_COLUMNS if c not in ("source_file", "codeLocationId")]
@@ -192,7 +199,7 @@ def zip_storage_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """The events as many archives with equal entry names in the shared folder, read by the archive reader: totals by
     file, and the first row of each file."""
     path = scratch_path(spark, "archives")
-    _archives(V.event_rows(spark, folder), 400, path).select("path").write.format("noop").mode("overwrite").save()
+    _store_archives(V.event_rows(spark, folder), path)
     a = enrich(read_archives(spark, path)).withColumn("codeLocationId", C.whole_number(F.col("codeLocationId")))
     return flat(
         a.groupBy("source_file").agg(
@@ -226,6 +233,45 @@ def stored_group_closure(spark: SparkSession, folder: str) -> DataFrame:
     return projects_in_group(read_group_tree(spark, path, "json"), GROUP)
 
 
+def zip_incremental_landing(spark: SparkSession, folder: str) -> DataFrame:
+    """Three in four archives land; then one of them is replaced by half its rows, the others arrive, and the snapshot
+    is brought up to date: totals by file from its rows, and the same from its cube of deltas."""
+    archives, snapshot = scratch_path(spark, "archives"), scratch_path(spark, "snapshot")
+    rows = V.event_rows(spark, folder)
+    number = C.integer_div(F.col("codeLocationId"), F.lit(_ROWS_PER_STORED_ARCHIVE))
+    _store_archives(rows.where(number % 4 != 3), archives)
+    refresh(spark, archives, snapshot)
+    _store_archives(rows.where((number % 4 == 3) | ((number == 0) & (F.col("codeLocationId") % 2 == 0))), archives)
+    refresh(spark, archives, snapshot)
+
+    def sums(activity, prefix):
+        kinds = {"rows": "rows_all", "scans": "scans_all", "size": "size_failed"}
+        return activity.groupBy("source_file").agg(*[F.sum(m).alias(f"{prefix}_{k}") for k, m in kinds.items()])
+
+    landed, cube = read_snapshot(spark, snapshot), read_snapshot_cube(spark, snapshot)
+    return flat(sums(landed, "landed").join(sums(cube, "cube"), "source_file", "full"))
+
+
+def unique_projects_slice(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct projects of two files in a year range, whole and by year, from stored bitmaps alone."""
+    path = scratch_path(spark, "bitmaps")
+    project_bitmaps.land_bitmaps(V.order_activity(spark, folder), path)
+    stored = project_bitmaps.read_bitmaps(spark, path)
+    sliced = project_bitmaps.slice_bitmaps(stored, files=["america.csv", "asia.csv"], start_year=1994, end_year=1996)
+    whole = project_bitmaps.unique_projects(sliced).withColumn("year", F.lit(None).cast("int"))
+    return flat(whole.unionByName(project_bitmaps.unique_projects(sliced, ["year"])))
+
+
+def unique_projects_by_grain(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct projects of every file, of every file and year and overall, from stored bitmaps."""
+    path = scratch_path(spark, "bitmaps")
+    project_bitmaps.land_bitmaps(V.event_activity(spark, folder), path)
+    stored = project_bitmaps.read_bitmaps(spark, path)
+    missing = {"source_file": F.lit(None).cast("string"), "year": F.lit(None).cast("int")}
+    parts = [project_bitmaps.unique_projects(stored, by).withColumns({k: v for k, v in missing.items() if k not in by}) for by in ([], ["source_file"], ["source_file", "year"])]
+    return flat(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+
+
 def zip_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality_counts(unpack_archives(_archives(V.event_rows(spark, folder))))
 
@@ -278,6 +324,8 @@ def queries() -> dict[str, Query]:
         "scan_types_by_grain": _orders(totals.scan_types_by_grain),
         "scan_type_rows": _events(totals.scan_type_rows),
         "state_distribution": _events(totals.state_distribution),
+        "unique_projects_slice": unique_projects_slice,
+        "unique_projects_by_grain": unique_projects_by_grain,
         "project_summary": _orders(totals.project_summary),
         "distinct_lists": _orders(totals.distinct_lists),
         "available_dates": _events(totals.available_dates),
@@ -351,6 +399,7 @@ def queries() -> dict[str, Query]:
         "zip_roundtrip": zip_roundtrip,
         "zip_quality": zip_quality,
         "zip_storage_roundtrip": zip_storage_roundtrip,
+        "zip_incremental_landing": zip_incremental_landing,
         "csv_storage_roundtrip": csv_storage_roundtrip,
         "bare_log_report": bare_log_report,
         "stored_group_closure": stored_group_closure,

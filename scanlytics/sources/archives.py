@@ -1,7 +1,7 @@
 """ZIP archives of CSV logs.
 
-A ZIP entry cannot be split (deflate has no entry points), so the unit of work is an entry: one task each. It is
-decompressed and parsed in chunks, never as a whole. Land the rows once (see ``landing``) and run the metrics on the
+A ZIP entry cannot be split (deflate has no entry points), so the unit of work is an entry; entries are dealt out to
+tasks by size. An entry is decompressed and parsed in chunks, never as a whole. Land the rows once (see ``landing``) and run the metrics on the
 landed table.
 """
 
@@ -10,19 +10,25 @@ from __future__ import annotations
 import posixpath
 import zipfile
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
-from typing import Any
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
+from scanlytics.functions import columns as C
 from scanlytics.schema import LOG_COLUMNS, RAW_SCHEMA
-from scanlytics.sources.remote import list_files, open_file, ship_code
+from scanlytics.session import scratch_path
+from scanlytics.sources.remote import open_file, ship_code
 
 _CHUNK_ROWS = 50_000
-_LISTING_THREADS = 32
+#: Tasks that read archives' directories.
+_LISTING_PARTS = 64
+#: Packed bytes that one task unpacks, unless an entry has more.
+_TASK_BYTES = 32 << 20
+#: What opening an entry costs, as bytes.
+_ENTRY_BYTES = 64 << 10
 _HEADER_TYPE = pa.list_(pa.string())
 
 
@@ -86,67 +92,107 @@ def archive_entries(contents: DataFrame) -> DataFrame:
     return contents.select("path", "content").mapInArrow(names, "archive string, source_file string")
 
 
-class _Entry(InputPartition):
-    def __init__(self, path: str, entry: str, name: str):
-        self.path = path
-        self.entry = entry
-        self.name = name
-
+def archive_contents(spark: SparkSession, path: str) -> DataFrame:
+    """``path, content`` of one archive, a glob or a folder of archives."""
+    files = spark.read.format("binaryFile")
+    if not path.endswith(".zip"):
+        files = files.option("pathGlobFilter", "*.zip")
+    return files.load(path).select("path", "content")
 
-class _ZipReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
 
-    def partitions(self) -> list[InputPartition]:
-        """One partition per entry; only the archives' directories are read here.
+def archive_files(spark: SparkSession, path: str) -> DataFrame:
+    """``path, modificationTime, length`` of one archive, a glob or a folder of archives; no content is read."""
+    files = spark.read.format("binaryFile")
+    if not path.endswith(".zip"):
+        files = files.option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true")
+    return files.load(path).select("path", "modificationTime", "length")
 
-        Files of several archives are told apart by the archive's place below the common folder.
-        """
-        paths = list_files(self.path, ".zip")
-        folder = posixpath.commonpath([posixpath.dirname(p) for p in paths]) if paths else ""
 
-        def entries(path: str) -> list[InputPartition]:
-            prefix = f"{posixpath.relpath(path, folder)}/" if len(paths) > 1 else ""
-            with open_file(path) as raw, zipfile.ZipFile(raw) as archive:
-                return [_Entry(path, entry, prefix + entry) for entry in csv_entries(archive, path)]
+def plan_entries(files: DataFrame) -> DataFrame:
+    """``archive, entry, packed_bytes`` of every CSV entry. Tasks read the directories at the archives' ends, no entry."""
 
-        with ThreadPoolExecutor(_LISTING_THREADS) as pool:
-            return [e for found in pool.map(entries, paths) for e in found]
+    def directories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                with open_file(path) as raw, zipfile.ZipFile(raw) as archive:
+                    found = csv_entries(archive, path)
+                    sizes = [archive.getinfo(name).compress_size for name in found]
+                columns = [pa.array([path] * len(found), pa.string()), pa.array(found, pa.string()), pa.array(sizes, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["archive", "entry", "packed_bytes"])
 
-    def read(self, partition: Any) -> Iterator[pa.RecordBatch]:
-        with open_file(partition.path) as raw, zipfile.ZipFile(raw) as archive:
-            yield from _entry_batches(archive, partition.path, partition.entry, partition.name)
+    ship_code()
+    spread = files.select("path").repartition(_LISTING_PARTS, F.xxhash64("path"))
+    return spread.mapInArrow(directories, "archive string, entry string, packed_bytes bigint")
 
 
-class ZipCsvSource(DataSource):
-    """``spark.read.format("zipcsv").load(path)`` after registration."""
+def dealt_entries(planned: DataFrame, task_bytes: int = _TASK_BYTES) -> tuple[DataFrame, int]:
+    """The entries with ``task``, a number from 0 on, so that each task has about ``task_bytes`` packed bytes or one
+    larger entry; and how many tasks there are.
 
-    @classmethod
-    def name(cls) -> str:
-        return "zipcsv"
+    Entries are laid end to end, archive by archive, and cut every ``task_bytes``: running sums inside the archives,
+    on top of sums of whole archives in buckets. The driver sees one sum a bucket.
+    """
+    bucket = F.pmod(F.xxhash64("archive"), F.lit(_LISTING_PARTS))
+    weighed = planned.withColumns({"bucket": bucket, "weight": F.col("packed_bytes") + _ENTRY_BYTES})
+    sums = {r.bucket: r.total for r in weighed.groupBy("bucket").agg(F.sum("weight").alias("total")).collect()}
+    before, total = [], 0
+    for number in range(_LISTING_PARTS):
+        before.append(total)
+        total += sums.get(number, 0)
+    running = F.sum("weight").over(W.partitionBy("bucket").orderBy("archive", "entry").rowsBetween(W.unboundedPreceding, -1))
+    start = F.get(F.array(*[F.lit(b) for b in before]), F.col("bucket").cast("int")) + F.coalesce(running, F.lit(0))
+    task = C.integer_div(start, F.lit(task_bytes)).cast("int")
+    return weighed.withColumn("task", task).drop("bucket", "weight"), total // task_bytes + 1
+
+
+def common_folder(files: DataFrame) -> tuple[str, int]:
+    """The folder that all archives lie below, and how many there are."""
+    found = files.agg(F.min("path").alias("low"), F.max("path").alias("high"), F.count("path").alias("n")).first()
+    shared = posixpath.commonprefix([found.low, found.high]) if found.n else ""
+    return shared[: shared.rfind("/") + 1], found.n
+
+
+def entry_rows(entries: DataFrame, folder: str, tasks: int) -> DataFrame:
+    """Raw log rows of ``archive, entry, task``; ``folder`` is cut from the archive's path in ``source_file``, and with
+    an empty one the file has the entry's name alone."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, entry in zip(batch.column("archive").to_pylist(), batch.column("entry").to_pylist()):
+                name = f"{path.removeprefix(folder)}/{entry}" if folder else entry
+                with open_file(path) as raw, zipfile.ZipFile(raw) as archive:
+                    yield from _entry_batches(archive, path, entry, name)
 
-    def schema(self):
-        return RAW_SCHEMA
+    ship_code()
+    dealt = entries.select("archive", "entry", "task").repartitionById(tasks, "task").select("archive", "entry")
+    return dealt.mapInArrow(read, RAW_SCHEMA)
 
-    def reader(self, schema) -> DataSourceReader:
-        return _ZipReader(self.options["path"])
 
+def read_files(files: DataFrame, folder: str | None = None, task_bytes: int = _TASK_BYTES) -> DataFrame:
+    """Raw log rows of the archives listed in ``files`` (``path``), their entries dealt out by size.
 
-def archive_contents(spark: SparkSession, path: str) -> DataFrame:
-    """``path, content`` of one archive, a glob or a folder of archives."""
-    files = spark.read.format("binaryFile")
-    if not path.endswith(".zip"):
-        files = files.option("pathGlobFilter", "*.zip")
-    return files.load(path).select("path", "content")
+    The plan of entries is written to the shared folder once, by a job that runs here; what is read from it later does
+    not depend on the archives' directories again. ``folder`` fixes the names of files; by default it follows from
+    the list: empty for a lone archive, else the folder common to all.
+    """
+    spark = files.sparkSession
+    if folder is None:
+        folder, archives = common_folder(files)
+        folder = folder if archives > 1 else ""
+    path = scratch_path(spark, "entries")
+    plan_entries(files).write.parquet(path)
+    planned = spark.read.schema("archive string, entry string, packed_bytes bigint").parquet(path)
+    entries, tasks = dealt_entries(planned, task_bytes)
+    return entry_rows(entries, folder, tasks)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """All CSV entries of one archive, a glob or a folder of archives, as raw rows with their origin.
 
-    Every entry is a task of its own and is streamed from storage, whatever the archive's size. ``source_file`` is the
-    entry's name, with the archive's before it when there are several, so that equal entries stay apart. ``path`` is
-    what pyarrow can open; ``unpack_archives(archive_contents(...))`` serves other stores, for archives under 2 GB.
+    Two stages: tasks read the directories of the archives, then entries are dealt out so that tasks have equal packed
+    bytes, and are streamed from storage, whatever the archive's size. ``source_file`` is the entry's name, with the
+    archive's before it when there are several, so that equal entries stay apart. A folder without archives has no
+    rows. Spark lists the archives; pyarrow must be able to open them. ``unpack_archives(archive_contents(...))``
+    serves other stores, for archives under 2 GB.
     """
-    ship_code()
-    spark.dataSource.register(ZipCsvSource)
-    return spark.read.format("zipcsv").load(path)
+    return read_files(archive_files(spark, path))

@@ -1,10 +1,9 @@
-"""Opening and listing files from inside tasks."""
+"""Opening and creating files from inside tasks."""
 
 from __future__ import annotations
 
 import posixpath
 import sys
-from fnmatch import fnmatch
 
 from pyarrow import fs
 from pyspark import cloudpickle
@@ -21,6 +20,11 @@ def create_file(path: str):
     return system.open_output_stream(inner)
 
 
+def create_folder(path: str) -> None:
+    system, inner = _resolve(path)
+    system.create_dir(inner, recursive=True)
+
+
 def _resolve(path: str) -> tuple[fs.FileSystem, str]:
     # Hadoop writes local paths as file:/x, which is not a URI pyarrow takes
     if path.startswith("file:"):
@@ -31,17 +35,3 @@ def _resolve(path: str) -> tuple[fs.FileSystem, str]:
 def open_file(path: str):
     system, inner = _resolve(path)
     return system.open_input_file(inner)
-
-
-def list_files(path: str, suffix: str) -> list[str]:
-    """``path`` itself if it is a file, the files that match it if it is a glob, else those below it that end in
-    ``suffix``."""
-    if any(c in posixpath.basename(path) for c in "*?["):
-        folder, pattern = posixpath.split(path)
-        return [f for f in list_files(folder, suffix) if posixpath.dirname(f).endswith(_resolve(folder)[1]) and fnmatch(posixpath.basename(f), pattern)]
-    system, inner = _resolve(path)
-    if system.get_file_info(inner).type == fs.FileType.File:
-        return [path]
-    scheme = path.split("://", 1)[0] + "://" if "://" in path and not path.startswith("file:") else ""
-    below = system.get_file_info(fs.FileSelector(inner, recursive=True))
-    return sorted(scheme + f.path for f in below if f.type == fs.FileType.File and f.path.endswith(suffix))

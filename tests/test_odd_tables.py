@@ -3,11 +3,11 @@
 import duckdb
 import pytest
 
-import __spark_entry__ as contract
 from compare import differences
+from scanlytics.registry import oracles, queries as registered
 
-QUERIES = contract.queries()
-ORACLES = contract.oracle_sql()
+QUERIES = registered.queries()
+ORACLES = oracles.oracle_sql()
 NAMES = sorted(n for n in QUERIES if "FROM events" in ORACLES[n])
 
 # a third of the rows in one project and hour, the others spread out; some values are null

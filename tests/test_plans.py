@@ -287,3 +287,33 @@ def test_outcomes_add_up(spark, folder):
     assert got.successful_scans + got.failed_scans + other == got.total_scans
     in_blocks = blocks.time_blocks(a).where("status = 'all'").agg(F.sum("count")).first()[0]
     assert in_blocks == got.total_rows
+
+
+def test_project_bitmaps(spark):
+    from scanlytics.plans import project_bitmaps as B
+
+    a = activity(spark, [row(file=f, hour=f"{y}-01-01 00", project=f"p{i}") for f, y, n in (("a", 2021, 5), ("b", 2021, 8), ("b", 2022, 3)) for i in range(n)] + [row(file="c", project=None), row(file="c", hour=None, project="q")])
+    dictionary = B.project_dictionary(a)
+    assert sorted(r.project_no for r in dictionary.collect()) == list(range(9))
+    maps = B.project_bitmaps(a, dictionary)
+    count = lambda **where: B.unique_projects(B.slice_bitmaps(maps, **where)).first()[0]
+    assert count() == 9 and count(files=["a", "b"]) == 8 and count(files=["a"]) == 5 and count(files=["c"]) == 1
+    assert count(start_year=2022) == 3 and count(start_year=2021, end_year=2021) == 8 and count(files=["none"]) == 0
+    assert values(B.unique_projects(maps, ["source_file"]), "source_file", "unique_projects") == [("a", 5), ("b", 8), ("c", 1)]
+    more = activity(spark, [row(file="d", project=p) for p in ("p1", "z1", "z2")])
+    grown = B.project_dictionary(more, dictionary)
+    assert grown.count() == 11 and dictionary.exceptAll(grown).isEmpty() and grown.agg(F.max("project_no")).first()[0] == 10
+    assert B.unique_projects(maps.unionByName(B.project_bitmaps(more, grown))).first()[0] == 11
+
+
+def test_project_bitmaps_of_many_projects(spark, tmp_path):
+    from scanlytics.plans import project_bitmaps as B
+
+    rows = spark.range(100_000).selectExpr("concat('f', id % 3) AS source_file", "cast(2020 + id % 2 as int) AS year", "concat('p', id) AS projectName")
+    B.land_bitmaps(rows.unionByName(rows), str(tmp_path))
+    maps = B.read_bitmaps(spark, str(tmp_path))
+    assert B.unique_projects(maps).first()[0] == 100_000
+    assert maps.agg(F.count_distinct("part")).first()[0] == 4
+    sliced = B.slice_bitmaps(maps, ["f0", "f1"], 2021, 2021)
+    assert B.unique_projects(sliced).first()[0] == rows.where("source_file < 'f2' AND year = 2021").count()
+    assert "PartitionFilters: [isnotnull(year" in sliced._jdf.queryExecution().executedPlan().toString()

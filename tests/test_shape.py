@@ -5,6 +5,7 @@ import re
 import pytest
 
 import __spark_entry__ as contract
+from scanlytics.registry import queries as registered
 from scanlytics.plans import blocks, capacity, profile, rankings, totals
 from scanlytics.sources.views import event_activity, numbered_event_activity
 
@@ -70,7 +71,7 @@ def test_page_is_a_top_k(spark, folder):
 
 
 def test_python_runs_in_the_archive_reader_only(spark, folder):
-    for name, query in contract.queries().items():
+    for name, query in registered.queries().items():
         if not name.startswith("zip_"):
             plan = query(spark, folder)._jdf.queryExecution().executedPlan().toString()
             assert count("Python|Pandas|InArrow", plan) == 0, name

@@ -168,3 +168,101 @@ def test_group_tree(spark, tmp_path, format):
     tree.write.format(format).option("header", True).save(path)
     back = read_group_tree(spark, path, format)
     assert values(projects_in_group(back, "Team"), "projectName") == [("x",), ("y",)]
+
+
+def test_entries_are_dealt_out_by_size(spark, tmp_path):
+    from scanlytics.sources import archives as A
+
+    for k in range(30):
+        with zipfile.ZipFile(tmp_path / f"a{k:02d}.zip", "w") as z:
+            for e in range(3):
+                z.writestr(f"{e}.csv", "hour,scanCount\n" + "2024-01-01 00:00:00,1\n" * (5000 if k == e == 0 else 20))
+    planned = A.plan_entries(A.archive_files(spark, str(tmp_path)))
+    entries, tasks = A.dealt_entries(planned, task_bytes=1 << 20)
+    found = entries.collect()
+    assert len(found) == 90 and {r.task for r in found} <= set(range(tasks))
+    per_task = {}
+    for r in found:
+        per_task[r.task] = per_task.get(r.task, 0) + r.packed_bytes + A._ENTRY_BYTES
+    assert max(per_task.values()) < (1 << 20) + 200_000 and len(per_task) == tasks > 4
+    raw = A.read_files(A.archive_files(spark, str(tmp_path)), task_bytes=1 << 20)
+    assert raw.count() == 89 * 20 + 5000 and raw.select("source_file").distinct().count() == 90
+    # planning reads names and sizes in tasks; nothing but sums per bucket reaches the driver
+    plan = entries._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "content" not in plan
+
+
+def test_folder_without_archives_has_no_rows(spark, tmp_path):
+    assert read_archives(spark, str(tmp_path)).isEmpty()
+
+
+def test_landed_hours_are_filtered_by_the_scan(spark, tmp_path):
+    path = str(tmp_path / "landed")
+    rows = spark.range(200_000).selectExpr("make_timestamp_ntz(2024, 1, 1, 0, 30, 0) + make_dt_interval(0, cast(id % 8000 as int)) AS hour_ts", "id AS scanCount", "'s' AS scanType")
+    land(enrich(rows.withColumn("source_file", F.lit("a.csv"))).coalesce(1), path)
+    back = read_landed(spark, path).where("hour_ts >= timestamp_ntz'2024-11-20 00:00:00'")
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(hour_ts" in plan
+    assert back.agg(F.min("hour_ts")).first()[0].minute == 0
+    with pytest.raises(ValueError, match="full hours"):
+        rows.withColumn("year", F.lit(2024)).write.partitionBy("year").parquet(str(tmp_path / "old"))
+        land(enrich(rows.withColumn("source_file", F.lit("a.csv"))), str(tmp_path / "old"), only_years=True)
+
+
+def write_log(path, rows, stamp=None):
+    import os
+
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("log.csv", "hour,projectName,scanCount,state\n" + "".join(f"{r}\n" for r in rows))
+    if stamp:
+        os.utime(path, (stamp, stamp))
+
+
+def same_rows(left, right):
+    columns = [c for c in right.columns if c not in ("archive", "load")]
+    assert left.select(*columns).exceptAll(right.select(*columns)).isEmpty() and left.count() == right.count()
+
+
+def test_refresh_reads_changed_archives_only(spark, tmp_path):
+    from scanlytics.sources.incremental import manifest, read_snapshot, read_snapshot_cube, refresh
+
+    logs, path = tmp_path / "logs", str(tmp_path / "snapshot")
+    logs.mkdir()
+
+    def as_landed_whole():
+        whole = enrich(read_archives(spark, str(logs)))
+        back = read_snapshot(spark, path)
+        same_rows(back, whole)
+        same_rows(read_snapshot_cube(spark, path), activity_cube(whole))
+
+    assert refresh(spark, str(logs), path)["read"] == 0
+    assert read_snapshot(spark, path).isEmpty() and read_snapshot_cube(spark, path).isEmpty()
+    for k in range(4):
+        write_log(logs / f"{k}.zip", [f"202{k}-01-01 0{h}:00:00,p{h % 3},{h},COMPLETED" for h in range(9)], 1_700_000_000)
+    assert refresh(spark, str(logs), path) == {"load": 0, "read": 4, "unchanged": 0, "taken_back": 0}
+    as_landed_whole()
+    assert refresh(spark, str(logs), path) == {"load": 0, "read": 0, "unchanged": 4, "taken_back": 0}
+
+    # an unchanged archive is not even opened: it could be anything of the same size and time
+    good = (logs / "3.zip").read_bytes()
+    (logs / "3.zip").write_bytes(b"x" * len(good))
+    import os
+
+    os.utime(logs / "3.zip", (1_700_000_000, 1_700_000_000))
+    write_log(logs / "1.zip", ["2021-01-01 00:00:00,p0,5,FAILED", "2029-01-01 00:00:00,new,7,COMPLETED", "bad,,1,"], 1_700_000_500)
+    write_log(logs / "4.zip", ["2024-01-01 00:00:00,p9,2,COMPLETED"], 1_700_000_500)
+    assert refresh(spark, str(logs), path) == {"load": 1, "read": 2, "unchanged": 3, "taken_back": 1}
+    (logs / "3.zip").write_bytes(good)
+    os.utime(logs / "3.zip", (1_700_000_000, 1_700_000_000))
+    as_landed_whole()
+
+    # replaced twice and removed; a refresh that broke off before its manifest counts for nothing
+    write_log(logs / "1.zip", ["2021-01-01 00:00:00,p0,6,FAILED"], 1_700_000_900)
+    (logs / "0.zip").rename(tmp_path / "0.zip")
+    read_snapshot(spark, path).limit(3).select("archive", "hour_ts").write.parquet(f"{path}/rows/load=2/year=2020")
+    as_before = read_snapshot(spark, path).count()
+    assert refresh(spark, str(logs), path) == {"load": 2, "read": 1, "unchanged": 3, "taken_back": 2}
+    as_landed_whole()
+    assert as_before == 31 and manifest(spark, path).where("live").count() == 4
+    kept = filter_years(read_snapshot(spark, path), 2021, 2021)
+    assert "GreaterThanOrEqual(hour_ts" in kept._jdf.queryExecution().executedPlan().toString()
