@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scanlytics.llm import bpe, decontamination, fingerprints, html, jaccard_join, masked_lm, oracles, quality, relative_parse, secrets_scan, suffix_dedup
+from scanlytics.llm import bpe, decontamination, fingerprints, html, jaccard_join, masked_lm, merkle, oracles, quality, relative_parse
+from scanlytics.llm import resampling, secrets_scan, sharding, suffix_dedup
 from scanlytics.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -55,6 +56,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, WORD_BPE)
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), carry=["doc_id"])
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprints": op1_fingerprints,
@@ -67,6 +80,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_jaccard_join": op8_jaccard_join,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_bpe": op10_bpe,
+        "op11_sharding": op11_sharding,
+        "op12_resampling": op12_resampling,
+        "op13_manifest": op13_manifest,
     }
 
 
