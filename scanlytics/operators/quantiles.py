@@ -1,4 +1,4 @@
-"""Exact interpolated quantiles per group, without holding a group in one task."""
+"""Exact interpolated quantiles per group by radix selection, without holding or sorting a group in one task."""
 
 from __future__ import annotations
 
@@ -10,75 +10,84 @@ from pyspark.sql import functions as F
 
 from scanlytics.operators.cube import not_null
 
-_BUCKETS_PER_OCTAVE = 256
-_CELLS = 4096
+#: A code has 64 bits; each pass settles as many of them.
+_DIGIT = 16
+_PASSES = 64 // _DIGIT
+_FRACTION_BITS = 52
+_LEAST_EXPONENT, _MOST_EXPONENT = -1022, 1023
 
 
-def _bucket(value: Column) -> Column:
-    """A coarse code that grows with the value: its sign and logarithm in steps of 1/256 octave."""
-    size = F.floor(F.log2(F.abs(value) + 1) * _BUCKETS_PER_OCTAVE)
-    return F.when(value < 0, -size).otherwise(size)
+def with_code(df: DataFrame, value: str, code: str) -> DataFrame:
+    """Adds a bigint in the order of the double ``value``: its bits, negative for a negative value; both zeros are 0,
+    NaN comes last and a null first.
+
+    Spark has no function for the bits, so they are put together from exponent and fraction; the logarithm may be one
+    off next to a power of two, which the quotient tells. Steps are columns of their own, so that none is computed twice.
+    """
+    size, guess, exponent, fraction = (F.col(f"_{name}") for name in ("size", "guess", "exponent", "fraction"))
+    one = F.lit(1 << _FRACTION_BITS)
+    infinite = F.lit(2047 << _FRACTION_BITS)
+    tiny = fraction < 1  # a number below the least exponent has no leading one
+    lead = exponent - F.when(tiny, _LEAST_EXPONENT).otherwise(_LEAST_EXPONENT - 1)
+    part = F.when(tiny, fraction).otherwise(fraction - 1) * one.cast("double")
+    bits = lead.cast("bigint") * one + part.cast("bigint")
+    rounded = F.when(size == 0, F.lit(0).cast("bigint")).when(size == float("inf"), infinite).otherwise(bits)
+    steps = {
+        "_size": F.abs(F.col(value)),
+        "_guess": F.least(F.greatest(F.floor(F.log2(size)), F.lit(_LEAST_EXPONENT)), F.lit(_MOST_EXPONENT)),
+        "_rest": size / F.pow(F.lit(2.0), guess),
+        "_exponent": guess + F.when(F.col("_rest") >= 2, 1).when((F.col("_rest") < 1) & (guess > _LEAST_EXPONENT), -1).otherwise(0),
+        "_fraction": size / F.pow(F.lit(2.0), exponent),
+        "_bits": F.when(F.isnan(F.col(value)), infinite + 1).otherwise(rounded),
+        # never null, so that no join asks for that again on one of its sides only
+        code: F.coalesce(F.when(F.col(value) < 0, -F.col("_bits")).otherwise(F.col("_bits")), F.lit(-(1 << 63))),
+    }
+    for name, step in steps.items():
+        df = df.withColumn(name, step)
+    return df.drop(*[name for name in steps if name != code])
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, fractions: Sequence[float]) -> DataFrame:
     """``keys, fraction, quantile`` with linear interpolation between neighbours.
 
-    The built-in exact percentile keeps every distinct value of a group in one buffer. Here equal values
-    are counted first, a small table of bucket counts tells which buckets hold the wanted positions, those
-    few buckets are split evenly between their least and greatest value into cells, and only the cells that
-    hold the positions are ranked. Close values far from zero share a bucket, but not a cell.
+    The built-in exact percentile keeps every distinct value of a group in one buffer. Here equal values are counted
+    first, and the counts are added up for ever shorter prefixes of the values' codes: 48, 32 and 16 bits. Then the
+    wanted positions are looked for from the shortest prefix down, each pass among the at most 65,536 cells that share
+    the prefix found before. However values lie, close together or far apart, no task gets more of them than that for
+    one position, beyond its share of the counts.
     """
     counted = (
         not_null(df, *keys, value)
         .groupBy(*keys, F.col(value).cast("double").alias("_value"))
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_bucket", _bucket(F.col("_value")))
-    )
-    # the join below would add this to one of its sides only, and the count would then run twice
-    counted = not_null(counted, "_bucket")
-    buckets = counted.groupBy(*keys, "_bucket").agg(
-        F.sum("_n").alias("_in_bucket"), F.min("_value").alias("_least"), F.max("_value").alias("_most")
-    )
-    whole = W.partitionBy(*keys)
-    until = whole.orderBy("_bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
-    placed = buckets.withColumns(
-        {
-            "_before": F.sum("_in_bucket").over(until) - F.col("_in_bucket"),
-            "_total": F.sum("_in_bucket").over(whole),
-        }
     )
+    layers = [with_code(counted, "_value", "_prefix")]
+    for _ in range(_PASSES - 1):
+        shorter = F.shiftright("_prefix", _DIGIT).alias("_prefix")
+        layers.append(layers[-1].groupBy(*keys, shorter).agg(F.sum("_n").alias("_n")))
 
     # every fraction needs the values at floor and ceil of its position
     def target(fraction: float, side) -> Column:
         place = F.lit(float(fraction)) * (F.col("_total") - 1)
         return F.struct(F.lit(float(fraction)).alias("fraction"), place.alias("place"), side(place).alias("index"))
 
-    def held(targets, before: str, size: str) -> Column:
-        inside = lambda t: (t["index"] >= F.col(before)) & (t["index"] < F.col(before) + F.col(size))
-        return F.filter(targets, inside)
+    def holding(cells: DataFrame, within: Sequence[str]) -> DataFrame:
+        """Cells that hold a target, with the count before them."""
+        until = W.partitionBy(*within).orderBy("_prefix").rowsBetween(W.unboundedPreceding, W.currentRow)
+        placed = cells.withColumn("_from", F.col("_before") + F.sum("_n").over(until) - F.col("_n"))
+        inside = lambda t: (t["index"] >= F.col("_from")) & (t["index"] < F.col("_from") + F.col("_n"))
+        held = placed.withColumn("_targets", F.filter("_targets", inside)).where(F.size("_targets") > 0)
+        return held.withColumn("_before", F.col("_from")).drop("_from")
 
     targets = F.array(*[target(f, side) for f in fractions for side in (F.floor, F.ceil)])
-    wanted = placed.withColumn("_targets", held(targets, "_before", "_in_bucket")).where(F.size("_targets") > 0)
-    share = (F.col("_value") - F.col("_least")) / (F.col("_most") - F.col("_least"))
-    cell = F.when(F.col("_most") > F.col("_least"), F.floor(share * (_CELLS - 1))).otherwise(0).cast("int")
-    split = counted.join(wanted.select(*keys, "_bucket", "_least", "_most", "_before", "_targets"), [*keys, "_bucket"])
-    split = split.withColumn("_cell", cell).drop("_least", "_most")
-    cells = split.groupBy(*keys, "_bucket", "_cell").agg(
-        F.sum("_n").alias("_in_cell"), F.min("_before").alias("_before"), F.first("_targets").alias("_targets")
-    )
-    along = W.partitionBy(*keys, "_bucket").orderBy("_cell").rowsBetween(W.unboundedPreceding, W.currentRow)
-    cells = cells.withColumn("_start", F.col("_before") + F.sum("_in_cell").over(along) - F.col("_in_cell"))
-    cells = cells.withColumn("_targets", held(F.col("_targets"), "_start", "_in_cell")).where(F.size("_targets") > 0)
-    place = [*keys, "_bucket", "_cell"]
-    rising = W.partitionBy(*place).orderBy("_value").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = (
-        split.drop("_before", "_targets")
-        .join(cells.select(*place, "_start", "_targets"), place)
-        .withColumn("_upto", F.col("_start") + F.sum("_n").over(rising))
-        .select(*keys, "_value", (F.col("_upto") - F.col("_n")).alias("_from"), "_upto", F.inline("_targets"))
-    )
+    top = layers[-1].withColumn("_total", F.sum("_n").over(W.partitionBy(*keys)))
+    found = holding(top.withColumns({"_before": F.lit(0).cast("bigint"), "_targets": targets}).drop("_total"), keys)
+    for layer in layers[-2::-1]:
+        wanted = found.select(*keys, F.col("_prefix").alias("_parent"), "_before", "_targets")
+        children = layer.withColumn("_parent", F.shiftright("_prefix", _DIGIT))
+        found = holding(children.join(wanted, [*keys, "_parent"]), [*keys, "_parent"])
     picked = (
-        ranked.where((F.col("index") >= F.col("_from")) & (F.col("index") < F.col("_upto")))
+        found.select(*keys, "_value", F.inline("_targets"))
         .groupBy(*keys, F.col("fraction").alias("_fraction"), F.col("place").alias("_place"))
         .agg(F.min_by("_value", "index").alias("_low"), F.max_by("_value", "index").alias("_high"))
     )

@@ -18,7 +18,7 @@ from scanlytics.operators.filters import (
     slice_metrics,
 )
 from scanlytics.operators.groups import projects_in_group
-from scanlytics.operators.quantiles import exact_quantiles
+from scanlytics.operators.quantiles import exact_quantiles, with_code
 from scanlytics.operators.ranking import row_positions, stride_sample, top_k
 from scanlytics.plans import totals
 
@@ -86,8 +86,39 @@ def test_quantiles_on_skewed_group(spark):
     assert got == want
 
 
+def test_codes_are_the_bits_of_doubles(spark):
+    import struct
+
+    rng = random.Random(9)
+    edges = [0.0, -0.0, 5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308, float("inf"), float("-inf")]
+    edges += [sign * 2.0**e * (1 + d) for e in range(-1070, 1024, 7) for d in (-1.1e-16, 0, 2.3e-16, 0.5) for sign in (1, -1)]
+    edges += [struct.unpack("<d", struct.pack("<Q", rng.getrandbits(64)))[0] for _ in range(3000)]
+    edges = [v for v in edges if v == v]
+    table = spark.createDataFrame([(v,) for v in edges], "v double")
+    bits = lambda v: struct.unpack("<q", struct.pack("<d", abs(v)))[0] * (-1 if v < 0 else 1)
+    assert all(r.code == bits(r.v) for r in with_code(table, "v", "code").collect())
+    nan = with_code(spark.createDataFrame([(float("nan"),), (float("inf"),)], "v double"), "v", "code").collect()
+    assert nan[0].code > nan[1].code
+
+
+def test_quantiles_with_one_value_far_out(spark):
+    """A million close values and one far away: no window sees more than the cells of one prefix."""
+    close = spark.range(1_000_000).select(F.lit("g").alias("g"), (F.lit(1e9) + F.col("id") / 1e4).alias("v"))
+    rows = close.unionByName(spark.createDataFrame([("g", 1e300), ("g", -1e300)], "g string, v double"))
+    got = {r.fraction: r.quantile for r in exact_quantiles(rows, ["g"], "v", [0.0, 0.25, 0.5, 1.0]).collect()}
+    whole = sorted([-1e300, 1e300, *[1e9 + i / 1e4 for i in range(1_000_000)]])
+    assert got[0.0] == -1e300 and got[1.0] == 1e300 and got[0.5] == (whole[500_000] + whole[500_001]) / 2
+    place = 0.25 * (len(whole) - 1)
+    low = int(place)
+    assert got[0.25] == whole[low] + (whole[low + 1] - whole[low]) * (place - low)
+    cells = with_code(close, "v", "c")
+    for digits in (16, 32, 48):
+        parents = cells.groupBy(F.shiftright("c", digits).alias("p"), F.shiftright("c", digits - 16).alias("k")).count().groupBy("p").count()
+        assert parents.agg(F.max("count")).first()[0] <= 65_536
+
+
 def test_quantiles_of_close_values_far_from_zero(spark):
-    """One logarithmic bucket holds them all; its cells keep what is ranked small."""
+    """They share the first bits of their codes; the last passes tell them apart."""
     df = spark.range(200_000).select(F.lit("k").alias("k"), (F.col("id") + 10**12).alias("v"))
     got = {r.fraction: r.quantile for r in exact_quantiles(df, ["k"], "v", [0.25, 0.5]).collect()}
     assert got == {0.25: 10**12 + 49_999.75, 0.5: 10**12 + 99_999.5}
