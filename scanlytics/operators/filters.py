@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,6 +91,22 @@ def slice_metrics(
     return table
 
 
+def slice_of(
+    metric: Callable[..., DataFrame],
+    activity: DataFrame,
+    file: str | None = None,
+    year: int | None = None,
+    project: str | None = None,
+) -> DataFrame:
+    """What ``slice_metrics`` gives for a ``metric`` that takes rows and grains (``totals_by_grain`` and the like), from
+    the slice alone: the choice filters the rows, and the one grain is computed."""
+    chosen = {"file": ("source_file", file), "year": ("year", year), "project": ("projectName", project)}
+    given = {name: pair for name, pair in chosen.items() if pair[1] is not None}
+    for column, value in given.values():
+        activity = activity.where(F.col(column) == value)
+    return metric(activity, ["_".join(given) or "global"])
+
+
 def search_projects(df: DataFrame, text: str | None) -> DataFrame:
     """Case-insensitive substring match on the project name."""
     return df if not text else df.where(F.contains(F.lower("projectName"), F.lit(text.lower())))
@@ -112,3 +130,23 @@ def filter_dates(df: DataFrame, start: str | None = None, end: str | None = None
 def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
     """Page ``number`` (from 0) of ``size`` rows; plans as a top-k, not as a full sort."""
     return df.orderBy(*order).offset(number * size).limit(size)
+
+
+def page_after(df: DataFrame, order: Sequence[tuple[str, bool]], after: Sequence | None, size: int) -> DataFrame:
+    """The ``size`` rows that follow ``after``, the order columns' values in the last row of the page before (None: the
+    first page). ``order`` has names and whether they fall; together they must tell rows apart.
+
+    A filter takes the place of an offset: each task keeps ``size`` rows however far the page is, and on a table sorted
+    that way the scan skips what lies before. Nulls come first rising and last falling, as Spark sorts them.
+    """
+    if after is not None:
+        behind, equal = F.lit(False), F.lit(True)
+        for (name, falling), value in zip(order, after, strict=True):
+            column = F.col(name)
+            if value is None:
+                beyond = F.lit(False) if falling else column.isNotNull()
+            else:
+                beyond = (column < value) | column.isNull() if falling else column > value
+            behind, equal = behind | (equal & beyond), equal & column.eqNullSafe(value)
+        df = df.where(behind)
+    return df.orderBy(*[F.desc(n) if falling else F.asc(n) for n, falling in order]).limit(size)

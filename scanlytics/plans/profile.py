@@ -52,6 +52,34 @@ def file_profile(rows: DataFrame) -> DataFrame:
     )
 
 
+def log_types(raw: DataFrame) -> DataFrame:
+    """``source_file, column, log_type``: what a reader of the single file would take each of its columns for.
+
+    Of rows as read: ``int64`` if all values are whole numbers, ``float64`` if numbers, whole ones with gaps, or nothing
+    at all, ``bool`` if all are true or false, else ``object``. Columns that the file has not are left out.
+    """
+    present = [c for c in LOG_COLUMNS if c in raw.columns]
+    has = (lambda c: F.array_contains("header", c)) if "header" in raw.columns else (lambda c: F.lit(True))
+    texts = raw.select("source_file", *[F.when(has(c), F.struct(F.col(c).cast("string").alias("text"))).alias(c) for c in present])
+    long = texts.unpivot(["source_file"], present, "column", "cell").where(F.col("cell").isNotNull())
+    text = F.trim(F.col("cell.text"))
+    whole = text.rlike(r"^[+-]?[0-9]+$")
+    counted = long.groupBy("source_file", "column").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count(text).alias("values"),
+        F.count_if(whole).alias("whole"),
+        F.count_if(text.try_cast("double").isNotNull() & ~text.rlike("[dDfF]$")).alias("numbers"),
+        F.count_if(F.lower(text).isin("true", "false")).alias("truths"),
+    )
+    filled = F.col("values") == F.col("rows")
+    kind = (
+        F.when(F.col("numbers") == F.col("values"), F.when(filled & (F.col("whole") == F.col("rows")), "int64").otherwise("float64"))
+        .when(filled & (F.col("truths") == F.col("rows")), "bool")
+        .otherwise("object")
+    )
+    return counted.select("source_file", "column", kind.alias("log_type"))
+
+
 def preview(rows: DataFrame, n: int = PREVIEW_ROWS) -> DataFrame:
     """The first rows of each file: the five usual columns, or the first five there are."""
     view = _log_view(rows)

@@ -190,13 +190,16 @@ def write_report(
     tree: DataFrame | None = None,
     group: str | None = None,
     project_scans: bool = False,
+    files: DataFrame | None = None,
 ) -> str:
     """Write a run below ``folder``: its rows and the activity cube first, then every table from them.
 
     Both are written tables, so the source is read once, whatever it takes to read it, and a lost executor repeats no
     work before them. State counts, project summary, profiles and trends come from the rows, all else from the cube.
     ``tree`` and ``group`` keep only the projects below a project group. With ``project_scans`` only the project-scan
-    report is written, straight from the source.
+    report is written, straight from the source. ``files`` lists the files read (``source_file``), so that those without
+    rows count too (``sources.archives.entry_files``). Tables by grain are partitioned by it: a reader of one slice
+    (``slice_metrics``) opens that grain's files alone.
     """
     folder = folder.rstrip("/")
     if group is not None:
@@ -211,14 +214,15 @@ def write_report(
         for name, table in scan_report.project_scan_report(kept).items():
             S.write_csv(table, f"{folder}/project_scans/{name}", options.compress)
         return folder
-    analysis = analyse(rows, options, cube)
+    analysis = analyse(rows, options, cube, files)
     charts = chart_series(rows, options, cube)
     graded = [t for t in charts.values() if "metric" in t.columns]
     plain = {f"charts/{name}": t for name, t in charts.items() if "metric" not in t.columns}
     plain |= {f"analysis/{name}": t for name, t in analysis.items()}
 
     def table(name):
-        return lambda: S.write_table(plain[name], f"{folder}/{name}")
+        by = ("grain",) if "grain" in plain[name].columns else ()
+        return lambda: S.write_table(plain[name], f"{folder}/{name}", by)
 
     _run_all([lambda: S.write_series(_union(graded), f"{folder}/series"), *[table(name) for name in plain]])
     spark = rows.sparkSession

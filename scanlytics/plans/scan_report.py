@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from scanlytics.operators import cube as K
@@ -84,6 +84,15 @@ def sort_and_page(
     return P.page(df, sort_columns(df, by, descending), number, size)
 
 
+def sort_and_seek(
+    df: DataFrame, by: str = "count", descending: bool = True, after: Row | None = None, size: int = 10
+) -> DataFrame:
+    """The page behind the row ``after`` of the sorted view, the last one of the page before; costs the same for any page."""
+    first, *rest = [c for c in _SORTS[by] if c in df.columns]
+    order = [(first, descending), *[(c, False) for c in rest]]
+    return P.page_after(df, order, None if after is None else [after[c] for c, _ in order], size)
+
+
 def project_scan_report(activity: DataFrame) -> dict[str, DataFrame]:
     daily = daily_counts(activity)
     return {

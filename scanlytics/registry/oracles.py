@@ -6,7 +6,7 @@ rows, and positions are plain windows.
 
 from __future__ import annotations
 
-from scanlytics.registry.queries import CAPACITY, GROUP, YEARS
+from scanlytics.registry.queries import CAPACITY, GROUP, PATTERNS, YEARS
 
 _EVENTS = """
 raw AS (
@@ -304,6 +304,7 @@ def _top_values() -> str:
 
 
 _POSITION = "row_number() OVER (PARTITION BY source_file ORDER BY codeLocationId) - 1 AS row_no"
+_WHOLE = ["codeLocationId", "scanCount", "totalScanSize", "maxScanSize"]
 _ALL_COLUMNS = [
     "hour", "codeLocationId", "codeLocationName", "versionName", "projectName", "scanCount", "scanType",
     "totalScanSize", "maxScanSize", "state", "transitionReason",
@@ -466,6 +467,11 @@ def oracle_sql() -> dict[str, str]:
             " GROUP BY projectName ORDER BY scans DESC, projectName LIMIT 20 OFFSET 40",
             _DAILY,
         ),
+        "project_scans_seek": _orders(
+            "SELECT projectName, CAST(sum(scans) AS BIGINT) AS scans FROM daily WHERE scanType = 'SNIPPET'"
+            " GROUP BY projectName ORDER BY scans DESC, projectName LIMIT 20 OFFSET 40",
+            _DAILY,
+        ),
         "project_scans_per_type": _orders(
             "SELECT * FROM daily WHERE scanType = 'SIGNATURE' AND scan_date BETWEEN '1997-01-01' AND '1997-12-31'", _DAILY
         ),
@@ -507,6 +513,12 @@ def oracle_sql() -> dict[str, str]:
         "slice_dashboard": _orders(
             f"SELECT * FROM ({_scan_types(['file_year'])}) WHERE source_file = 'america.csv' AND year = '1997'"
         ),
+        "stored_slice": _orders(f"SELECT * FROM ({_totals('act', ['file_year'])}) WHERE source_file = 'america.csv' AND year = '1997'"),
+        "searched_names": _orders(
+            "SELECT DISTINCT pattern, projectName FROM act, (SELECT unnest(["
+            + ", ".join(f"'{p}'" for p in PATTERNS)
+            + "]) AS pattern) WHERE contains(lower(projectName), lower(pattern))"
+        ),
         "zip_roundtrip": _events(
             f"SELECT source_file, codeLocationId, {_ISO}, codeLocationName, versionName, projectName, scanCount, scanType,"
             " totalScanSize, maxScanSize, state, transitionReason FROM act"
@@ -522,6 +534,14 @@ def oracle_sql() -> dict[str, str]:
             " first_value(codeLocationId) OVER (PARTITION BY codeLocationId // 400, source_file ORDER BY codeLocationId) AS first_location FROM act)"
             " GROUP BY codeLocationId // 400, source_file, first_location"
         ),
+        "zip_empty_files": _events(
+            f"SELECT *, {_RATE} FROM (SELECT count(DISTINCT concat(codeLocationId // 400, source_file)) + 1 AS total_files, {_COUNTS} FROM act)"
+        ),
+        "zip_log_types": _events(
+            "SELECT DISTINCT 'logs/' || source_file AS source_file, c.name AS \"column\", c.kind AS log_type FROM act, (SELECT unnest(["
+            + ", ".join(f"{{'name': '{c}', 'kind': '{'int64' if c in _WHOLE else 'object'}'}}" for c in _ALL_COLUMNS)
+            + "]) AS c)"
+        ),
         "zip_incremental_landing": _events(
             "SELECT source_file, landed_rows, landed_scans, landed_size, landed_rows AS cube_rows, landed_scans AS cube_scans, landed_size AS cube_size FROM ("
             "SELECT 'archive-' || CAST(codeLocationId // 400 AS VARCHAR) || '.zip/logs/' || source_file AS source_file, count(*) AS landed_rows,"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import io
 import zipfile
 from collections.abc import Callable
@@ -19,14 +20,16 @@ from scanlytics.operators.filters import (
     project_retention,
     retention,
     slice_metrics,
+    slice_of,
 )
 from scanlytics.operators.groups import projects_in_group
+from scanlytics.operators.name_index import build_name_index, search_names
 from scanlytics.operators.ranking import stride_sample
 from scanlytics.plans import blocks, capacity, profile, project_bitmaps, rankings, scan_report, series, totals
 from scanlytics.session import scratch_path
 from scanlytics.sinks import tables as S
 from scanlytics.sources import views as V
-from scanlytics.sources.archives import read_archives, unpack_archives
+from scanlytics.sources.archives import entry_files, read_archives, unpack_archives
 from scanlytics.sources.csv_files import read_csv_files
 from scanlytics.sources.group_tree import read_group_tree
 from scanlytics.sources.incremental import read_snapshot, read_snapshot_cube, refresh
@@ -38,6 +41,7 @@ MIN_SCANS, MAX_PROJECTS = 10, 1000
 POINTS, SPH_POINTS = 100, 500
 GROUP = "AMERICA"
 YEARS = (1997, 1998)
+PATTERNS = ["7", "#0", "ER#", "omer#00000001", "customer#000000010 is not forty letters long"]
 _BLOCK_GRAINS = ["global", "year", "file", "file_year", "file_project", "file_year_project"]
 _ROWS_PER_ARCHIVE = 20_000
 _ROWS_PER_STORED_ARCHIVE = 400
@@ -298,7 +302,45 @@ def export_sink(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _slice(a: DataFrame) -> DataFrame:
-    return slice_metrics(totals.scan_types_by_grain(a), file="america.csv", year=1997)
+    return slice_of(totals.scan_types_by_grain, a, file="america.csv", year=1997)
+
+
+def stored_slice(spark: SparkSession, folder: str) -> DataFrame:
+    """One slice of a table of all grains that is stored by grain."""
+    path = scratch_path(spark, "totals")
+    S.write_table(totals.totals_by_grain(V.order_activity(spark, folder)), path, ("grain",))
+    return flat(slice_metrics(spark.read.parquet(path), file="america.csv", year=1997))
+
+
+def _seek(a: DataFrame) -> DataFrame:
+    """The third page of a view, reached from row to row."""
+    view = scan_report.project_totals(scan_report.daily_counts(a), scan_type="SNIPPET")
+    after = None
+    for _ in range(2):
+        rows = scan_report.sort_and_seek(view, "count", True, after, size=20).collect()
+        after = rows[-1] if rows else after
+    return scan_report.sort_and_seek(view, "count", True, after, size=20)
+
+
+def searched_names(spark: SparkSession, folder: str) -> DataFrame:
+    """Projects that contain a pattern of one, two, three, many and too many characters, from the stored index."""
+    path = scratch_path(spark, "names")
+    build_name_index(V.order_activity(spark, folder), path)
+    found = [search_names(spark, path, p).select(F.lit(p).alias("pattern"), "projectName") for p in PATTERNS]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def zip_empty_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Totals over many archives, one of which has a file without rows."""
+    path = scratch_path(spark, "archives")
+    _store_archives(V.event_rows(spark, folder), path)
+    with create_file(f"{path}/empty.zip") as file, zipfile.ZipFile(file, "w") as archive:
+        archive.writestr("nothing.csv", "hour,scanCount\n")
+    return flat(totals.summary_totals(enrich(read_archives(spark, path)), entry_files(spark, path)))
+
+
+def zip_log_types(spark: SparkSession, folder: str) -> DataFrame:
+    return profile.log_types(unpack_archives(_archives(V.event_rows(spark, folder))))
 
 
 def _documents(a: DataFrame) -> DataFrame:
@@ -378,6 +420,7 @@ def queries() -> dict[str, Query]:
         "project_scans_breakdown": _orders(_breakdown),
         "project_scans_totals": _orders(_searched_totals),
         "project_scans_page": _orders(_page),
+        "project_scans_seek": _orders(_seek),
         "project_scans_per_type": _orders(_type_view),
         "project_scans_date_range": _orders(scan_report.date_range),
         # file profile
@@ -395,10 +438,14 @@ def queries() -> dict[str, Query]:
         "group_retention": group_retention,
         "safe_group_names": safe_group_names,
         "slice_dashboard": _orders(_slice),
+        "stored_slice": stored_slice,
+        "searched_names": searched_names,
         # sources and sinks
         "zip_roundtrip": zip_roundtrip,
         "zip_quality": zip_quality,
         "zip_storage_roundtrip": zip_storage_roundtrip,
+        "zip_empty_files": zip_empty_files,
+        "zip_log_types": zip_log_types,
         "zip_incremental_landing": zip_incremental_landing,
         "csv_storage_roundtrip": csv_storage_roundtrip,
         "bare_log_report": bare_log_report,

@@ -125,6 +125,16 @@ def plan_entries(files: DataFrame) -> DataFrame:
     return spread.mapInArrow(directories, "archive string, entry string, packed_bytes bigint")
 
 
+def entry_files(spark: SparkSession, path: str) -> DataFrame:
+    """``source_file`` of every CSV entry as ``read_archives`` names it, those without rows included."""
+    files = archive_files(spark, path)
+    folder, archives = common_folder(files)
+    entries = plan_entries(files)
+    if archives < 2:
+        return entries.select(F.col("entry").alias("source_file"))
+    return entries.select(F.concat(F.substr("archive", F.lit(len(folder) + 1)), F.lit("/"), "entry").alias("source_file"))
+
+
 def dealt_entries(planned: DataFrame, task_bytes: int = _TASK_BYTES) -> tuple[DataFrame, int]:
     """The entries with ``task``, a number from 0 on, so that each task has about ``task_bytes`` packed bytes or one
     larger entry; and how many tasks there are.

@@ -13,9 +13,11 @@ from scanlytics.operators.filters import (
     filter_projects,
     filter_years,
     page,
+    page_after,
     project_retention,
     retention,
     slice_metrics,
+    slice_of,
 )
 from scanlytics.operators.groups import projects_in_group
 from scanlytics.operators.quantiles import exact_quantiles, with_code
@@ -208,6 +210,73 @@ def test_pages_cover_everything_once(spark):
     assert got == list(range(25))
 
 
+@pytest.mark.parametrize("order", [[("n", True), ("k", False)], [("k", True)], [("n", False), ("k", True)]])
+def test_seek_pages_are_the_sorted_table(spark, order):
+    rows = [(i * 7 % 50, None if i % 11 == 0 else i % 4) for i in range(50)]
+    df = spark.createDataFrame(rows, "k int, n int")
+    whole = [tuple(r) for r in df.orderBy(*[F.desc(c) if falling else F.asc(c) for c, falling in order]).collect()]
+    got, after = [], None
+    while page_rows := page_after(df, order, after, 8).collect():
+        got += [tuple(r) for r in page_rows]
+        after = [page_rows[-1][c] for c, _ in order]
+    assert got == whole
+    plan = page_after(df, order, after, 8)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "offset" not in plan.lower()
+
+
+def test_slice_computes_one_grain(spark):
+    a = activity(spark, [row(), row(file="b.csv", project="q", scans=3), row(hour="2023-01-01 00", scans=5)])
+    for choice in ({}, {"file": "b.csv"}, {"year": 2024}, {"file": "a.csv", "year": 2023, "project": "p"}, {"project": "none"}):
+        want = slice_metrics(totals.totals_by_grain(a), **choice)
+        if choice.get("project") != "none":
+            assert slice_of(totals.totals_by_grain, a, **choice).exceptAll(want).isEmpty() and not want.isEmpty()
+        got = slice_of(totals.totals_by_grain, a, **choice)
+        assert got.count() == want.count()
+    plan = slice_of(totals.totals_by_grain, a, file="a.csv", year=2024)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[source_file") >= 1 and len([x for x in plan.splitlines() if "Expand" in x and x.count("null,") > 0]) == 0
+
+
+def test_name_index(spark, tmp_path):
+    from scanlytics.operators.name_index import build_name_index, search_names
+
+    names = ["Alpha", "alphabet", "beta", "x", "", "ÄLPHA", "per%cent_", "aaaa", "a" * 60, "Alpha"]
+    build_name_index(activity(spark, [row(project=n) for n in names] + [row(project=None)]), str(tmp_path))
+    for text in ("a", "AL", "alp", "lpha", "ph", "%c", "_", "aaaaa", "a" * 40, "a" * 61, "zzz", "ä", "x", "pha alpha"):
+        want = sorted({n for n in names if text.lower() in n.lower()})
+        assert values(search_names(spark, str(tmp_path), text), "projectName") == [(n,) for n in want], text
+    assert search_names(spark, str(tmp_path), "").count() == len(set(names))
+    plan = search_names(spark, str(tmp_path), "lpha")._jdf.queryExecution().executedPlan().toString()
+    assert "In(gram" in plan
+
+
+def test_chain_of_a_thousand_groups_takes_few_rounds(spark):
+    chain = [(f"g{i}", f"g{i - 1}" if i else None, f"G{i}", False) for i in range(1000)]
+    chain += [(f"p{i}", f"g{i}", f"P{i}", True) for i in (0, 1, 499, 999)] + [("side", "g3", "Side", False), ("q", "side", "Q", True)]
+    spark.sparkContext.setJobGroup("chain", "chain")
+    try:
+        assert closure(spark, chain, "G0") == ["P0", "P1", "P499", "P999", "Q"]
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("chain")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) <= 12 * 12
+    assert closure(spark, chain, "G4") == ["P499", "P999"]
+
+
+def test_groups_with_many_parents_and_cycles(spark):
+    rng = random.Random(4)
+    for count in (5, 12, 25):
+        links = [(f"g{i}", f"g{rng.randrange(count)}", f"G{i}", False) for i in range(count) for _ in range(rng.choice([1, 1, 2]))]
+        projects = [(f"p{i}", f"g{i}", f"P{i:02d}", True) for i in range(count)]
+        for start in (0, 1):
+            reached, todo = {f"g{start}"}, [f"g{start}"]
+            while todo:
+                at = todo.pop()
+                more = {i for i, pid, _, _ in links if pid == at} - reached
+                reached |= more
+                todo += more
+            assert closure(spark, links + projects, f"G{start}") == sorted(n for _, pid, n, _ in projects if pid in reached)
+
+
 def test_null_keys_are_no_group_but_count_in_totals(spark):
     a = activity(spark, [row(project=None, scans=4), row(project="x", scans=2), row(project="x", scans=1, hour=None)])
     got = values(totals.totals_by_grain(a), "grain", "total_scans")

@@ -229,6 +229,16 @@ def test_profile_types(spark):
     assert got.rows == 2 and got.dtypes["scanCount"] == "bigint" and got.column_count == len(got["columns"])
 
 
+def test_log_types(spark):
+    rows = [("a", ["hour", "scanCount", "state", "scanType"], "1", " 3", "True", None), ("a", ["hour", "scanCount", "state", "scanType"], "x", "-4", "false", None)]
+    rows += [("b", ["hour", "scanCount", "state"], "1.5", "3", "true", "gone"), ("b", ["hour", "scanCount", "state"], "2", None, None, "gone")]
+    raw = spark.createDataFrame(rows, "source_file string, header array<string>, hour string, scanCount string, state string, scanType string")
+    assert values(profile.log_types(raw), "source_file", "column", "log_type") == [
+        ("a", "hour", "object"), ("a", "scanCount", "int64"), ("a", "scanType", "float64"), ("a", "state", "bool"),
+        ("b", "hour", "float64"), ("b", "scanCount", "float64"), ("b", "state", "object"),
+    ]
+
+
 def test_top_values_ignore_null_and_break_ties(spark):
     a = activity(spark, [row(state=s) for s in ("b", "a", "c", "c", None)])
     got = profile.top_values(a, ["state"], 2).orderBy("rank").collect()

@@ -5,6 +5,7 @@ from datetime import datetime
 
 from logs import activity, row, values
 from scanlytics import ReportOptions, analyse, chart_series, write_report
+from scanlytics.operators.filters import slice_metrics
 from scanlytics.plans import scan_report, totals
 from scanlytics.sinks import tables as S
 
@@ -56,6 +57,14 @@ def test_whole_report(spark, tmp_path):
     assert read("analysis/totals").where("grain = 'file_year_project'").count() == 3
 
 
+def test_report_counts_files_without_rows_and_reads_one_grain(spark, tmp_path):
+    files = spark.createDataFrame([("a.csv",), ("b.csv",), ("empty.csv",)], "source_file string")
+    out = write_report(activity(spark, LOG), str(tmp_path / "r"), files=files)
+    assert spark.read.parquet(f"{out}/analysis/summary").first().total_files == 3
+    table = slice_metrics(spark.read.parquet(f"{out}/analysis/scan_types"), year=2024)
+    assert "PartitionFilters: [isnotnull(grain" in table._jdf.queryExecution().executedPlan().toString()
+
+
 def test_year_range_spares_per_file_tables(spark):
     a = activity(spark, LOG)
     tables = analyse(a, ReportOptions(start_year=2024))
