@@ -7,6 +7,8 @@ import heapq
 import json
 import os
 import re
+import sys
+import types
 import unicodedata
 import uuid
 from bisect import bisect_left
@@ -273,6 +275,20 @@ class Encoder:
         return " ".join(self.merger.tokens[i] for i in ids if i in self.merger.tokens)
 
 
+def worker_encoder(lexicon_name: str, spec_name: str) -> Encoder:
+    """The encoder of this Python worker: opened by its first task and used by those after it, with the words met so far.
+
+    Task code travels with the job, so its own globals are new in each task; the worker's module table is not. One
+    encoder is held at a time, and it forgets its words when there are too many.
+    """
+    held = sys.modules.setdefault("scanlytics_worker", types.ModuleType("scanlytics_worker")).__dict__
+    if held.get("encoder_of") != (lexicon_name, spec_name):
+        with open(SparkFiles.get(spec_name), encoding="utf-8") as file:
+            held["encoder"] = Encoder(Merger(json.load(file)), Lexicon.open(SparkFiles.get(lexicon_name)))
+        held["encoder_of"] = (lexicon_name, spec_name)
+    return held["encoder"]
+
+
 def frequent_words(docs: DataFrame, limit: int, text: str = "text") -> list[str]:
     """About the ``limit`` most frequent white-space words of all documents, in lower case.
 
@@ -296,7 +312,7 @@ def published(spark: SparkSession, arrays: dict[str, np.ndarray], spec_path: str
     import shutil
     import tempfile
 
-    folder = tempfile.mkdtemp(prefix="lexicon-")
+    folder = tempfile.mkdtemp(prefix="lexicon-")  # the driver serves the files from there as long as it lives
     names = f"lexicon-{uuid.uuid4().hex}.bin", f"vocabulary-{uuid.uuid4().hex}.json"
     Lexicon.write(arrays, os.path.join(folder, names[0]))
     shutil.copy(spec_path, os.path.join(folder, names[1]))
@@ -322,8 +338,7 @@ def encode_documents(
     outputs = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * with_ids
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with open(SparkFiles.get(spec_name), encoding="utf-8") as file:
-            encoder = Encoder(Merger(json.load(file)), Lexicon.open(SparkFiles.get(lexicon_name)))
+        encoder = worker_encoder(lexicon_name, spec_name)
         for batch in batches:
             rows = []
             for value in batch[text]:
