@@ -16,6 +16,7 @@ from scanlytics.operators.groups import projects_in_group
 from scanlytics.operators.ranking import row_positions
 from scanlytics.plans import blocks, capacity, profile, rankings, scan_report, series, totals
 from scanlytics.sinks import tables as S
+from scanlytics.sinks.document import write_whole
 from scanlytics.sources.landing import land, land_cube, read_cube, read_landed
 
 _FILE_GRAINS = [g for g in K.GRAINS if g.startswith("file")]
@@ -40,6 +41,7 @@ class ReportOptions:
     capacity_sph: int | None = 120
     sph_warning_pct: int = capacity.WARNING_PCT
     compress: bool = False
+    whole_document: bool = False
 
 
 def _graded(df: DataFrame, grain: str) -> DataFrame:
@@ -228,4 +230,7 @@ def write_report(
     spark = rows.sparkSession
     written = {name: spark.read.parquet(f"{folder}/analysis/{name}") for name in analysis}
     S.write_documents(S.documents(written), f"{folder}/documents", options.compress)
+    if options.whole_document:
+        flagged = {"sph_flagged_hours": spark.read.parquet(f"{folder}/charts/sph_flagged_hours")}
+        write_whole(written | flagged, f"{folder}/document", options.compress)
     return folder

@@ -6,7 +6,7 @@ rows, and positions are plain windows.
 
 from __future__ import annotations
 
-from scanlytics.registry.queries import CAPACITY, GROUP, PATTERNS, YEARS
+from scanlytics.registry.queries import CAPACITY, EVENT_CAPACITY, GROUP, PATTERNS, YEARS
 
 _EVENTS = """
 raw AS (
@@ -331,6 +331,52 @@ def _documents() -> str:
     )
 
 
+def _object(*fields: str, text: str = "") -> str:
+    """JSON text of the columns, ``text`` ones quoted; one that is null is left out by the caller's choice of rows."""
+    shown = [f"'\"{f}\":' || " + (f"CAST(to_json({f}) AS VARCHAR)" if f in text.split() else f"CAST(\"{f}\" AS VARCHAR)") for f in fields]
+    return "'{' || " + " || ',' || ".join(shown) + " || '}'"
+
+
+def _section(name: str, path: str, body: str, source: str) -> str:
+    return f"SELECT '{name}' AS section, {path} AS path, {body} AS body FROM ({source})"
+
+
+def _sections() -> dict[str, str]:
+    tops = {
+        "top_projects_by_block": ("time_block", _top("time_block", k=10)),
+        "top_projects_by_date": ("scan_date", _top("scan_date")),
+        "top_projects_by_type": ("scanType", _top("scanType")),
+        "top_projects_by_type_date": ("scanType || '/' || scan_date", _top("scanType", "scan_date")),
+        "top_projects_by_year_block": ("year || '/' || time_block", _top("year", "time_block", k=10)),
+    }
+    ranked = "lpad(CAST(rank AS VARCHAR), 12, '0')"
+    out = {
+        name: _section(name, f"{by} || '/' || status || '/' || {ranked}", _object("projectName", "scans", text="projectName"), source)
+        for name, (by, source) in tops.items()
+    }
+    summary = ("total_files", "total_rows", "total_scans", "successful_scans", "failed_scans", "unique_projects")
+    out["summary"] = _section("summary", "''", _object(*summary), f"SELECT count(DISTINCT source_file) AS total_files, {_COUNTS} FROM act")
+    out["scan_type_rows"] = _section("scan_type_rows", "scanType", 'CAST("rows" AS VARCHAR)', 'SELECT scanType, count(*) AS "rows" FROM act WHERE scanType IS NOT NULL GROUP BY scanType')
+    out["states"] = _section("states", "state", 'CAST("rows" AS VARCHAR)', 'SELECT state, count(*) AS "rows" FROM act WHERE state IS NOT NULL GROUP BY state')
+    out["project_summary"] = _section(
+        "project_summary", "projectName", _object("scanCount", "totalScanSize", "codeLocationName"),
+        "SELECT projectName, CAST(sum(scanCount) AS BIGINT) AS scanCount, CAST(sum(totalScanSize) AS BIGINT) AS totalScanSize,"
+        " count(codeLocationName) AS codeLocationName FROM act WHERE projectName IS NOT NULL GROUP BY projectName",
+    )
+    values = {"years": "year", "dates": "scan_date", "projects": "projectName", "files": "source_file"}
+    listed = " UNION ".join(f"SELECT '{name}' AS list, {c} AS value FROM act WHERE {c} IS NOT NULL" for name, c in values.items())
+    out["lists"] = _section("lists", "list || '/' || value", "CAST(to_json(value) AS VARCHAR)", listed)
+    of_files = {"file_years": "year", "file_projects": "projectName"}
+    listed = " UNION ".join(f"SELECT '{name}' AS list, source_file AS owner, {c} AS value FROM act WHERE {c} IS NOT NULL" for name, c in of_files.items())
+    out["file_lists"] = _section("file_lists", "list || '/' || owner || '/' || value", "CAST(to_json(value) AS VARCHAR)", listed)
+    out["file_profile"] = _section(
+        "file_profile", "source_file", _object("rows", "column_count"),
+        f'SELECT source_file, count(*) AS "rows", {len(_ALL_COLUMNS)} AS column_count FROM act GROUP BY source_file',
+    )
+    out["file_top_values"] = _section("file_top_values", f"source_file || '/' || \"column\" || '/' || {ranked}", _object("value", "rows", text="value"), _top_values())
+    return {f"document_{name}": _events(sql) for name, sql in out.items()}
+
+
 def _cube() -> str:
     sums = []
     for status, where in (("all", ""), ("success", "won"), ("failed", "lost")):
@@ -562,4 +608,15 @@ def oracle_sql() -> dict[str, str]:
             "SELECT daily.*, coalesce(breakdown, '') AS breakdown FROM daily LEFT JOIN text USING (projectName)", _DAILY, _TYPES, exported
         ),
         "analysis_documents": _events(_documents()),
+        **_sections(),
+        "document_sph_flagged_hours": _events(
+            "SELECT 'sph_flagged_hours' AS section, h AS path, '{\"hour_ts\":\"' || h || '\",\"sph\":' || CAST(sph AS VARCHAR) || ',\"status\":\"' || level || '\"}' AS body"
+            " FROM (SELECT strftime(hour_ts, '%Y-%m-%d %H:%M:%S') AS h, CAST(sum(scanCount) AS BIGINT) AS sph,"
+            f" CASE WHEN sum(scanCount) >= {EVENT_CAPACITY} THEN 'BREACH' ELSE 'WARNING' END AS level FROM act WHERE hour_ts IS NOT NULL"
+            f" GROUP BY hour_ts HAVING sum(scanCount) >= {int(EVENT_CAPACITY * 0.8)})"
+        ),
+        "whole_document": _events(
+            "SELECT total_rows, total_scans, state, \"rows\" FROM (SELECT count(*) AS total_rows, CAST(coalesce(sum(scanCount), 0) AS BIGINT) AS total_scans FROM act)"
+            " LEFT JOIN (SELECT state, count(*) AS \"rows\" FROM act WHERE state IS NOT NULL GROUP BY state) ON true"
+        ),
     }

@@ -27,6 +27,7 @@ from scanlytics.operators.name_index import build_name_index, search_names
 from scanlytics.operators.ranking import stride_sample
 from scanlytics.plans import blocks, capacity, profile, project_bitmaps, rankings, scan_report, series, totals
 from scanlytics.session import scratch_path
+from scanlytics.sinks import document
 from scanlytics.sinks import tables as S
 from scanlytics.sources import views as V
 from scanlytics.sources.archives import entry_files, read_archives, unpack_archives
@@ -36,7 +37,7 @@ from scanlytics.sources.incremental import read_snapshot, read_snapshot_cube, re
 from scanlytics.sources.landing import land, read_landed
 from scanlytics.sources.remote import create_file, create_folder, ship_code
 
-CAPACITY = 60
+CAPACITY, EVENT_CAPACITY = 60, 10
 MIN_SCANS, MAX_PROJECTS = 10, 1000
 POINTS, SPH_POINTS = 100, 500
 GROUP = "AMERICA"
@@ -351,6 +352,48 @@ def _documents(a: DataFrame) -> DataFrame:
     return S.documents(parts)
 
 
+def _section(name: str, metric: Callable[[DataFrame], DataFrame]) -> Query:
+    def run(a: DataFrame) -> DataFrame:
+        return document.entries(metric(a), name).withColumn("path", F.array_join("path", "/"))
+
+    return _events(run)
+
+
+def _flagged(a: DataFrame) -> DataFrame:
+    return capacity.flagged_hours(a, EVENT_CAPACITY)
+
+
+_SECTIONS = {
+    "summary": totals.summary_totals,
+    "top_projects_by_block": _top("time_block", k=rankings.TOP_PER_BLOCK),
+    "top_projects_by_date": _top("scan_date"),
+    "top_projects_by_type": _top("scanType"),
+    "top_projects_by_type_date": _top("scanType", "scan_date"),
+    "top_projects_by_year_block": _top("year", "time_block", k=rankings.TOP_PER_BLOCK),
+    "scan_type_rows": totals.scan_type_rows,
+    "states": totals.state_distribution,
+    "project_summary": totals.project_summary,
+    "lists": totals.distinct_lists,
+    "file_lists": totals.distinct_lists,
+    "file_profile": profile.file_profile,
+    "file_top_values": profile.top_values,
+    "sph_flagged_hours": _flagged,
+}
+
+
+def whole_document(spark: SparkSession, folder: str) -> DataFrame:
+    """Two sections written as one document, read back as JSON."""
+    path = scratch_path(spark, "document")
+    a = V.event_activity(spark, folder)
+    document.write_whole({"states": totals.state_distribution(a), "summary": totals.summary_totals(a)}, path)
+    # a document of two small sections fits in a row
+    files = spark.read.text(path, wholetext=True).select(F.struct("_metadata.file_name", "value").alias("file"))
+    lines = files.agg(F.array_join(F.transform(F.array_sort(F.collect_list("file")), lambda f: f["value"]), "").alias("text"))
+    schema = "summary struct<total_rows:bigint,total_scans:bigint>, states map<string,bigint>"
+    back = lines.select(F.from_json("text", schema).alias("d")).select("d.*")
+    return back.select("summary.total_rows", "summary.total_scans", F.explode_outer("states").alias("state", "rows"))
+
+
 def _cube(a: DataFrame) -> DataFrame:
     return K.activity_cube(a)
 
@@ -454,4 +497,6 @@ def queries() -> dict[str, Query]:
         "series_sink": series_sink,
         "export_sink": export_sink,
         "analysis_documents": _events(_documents),
+        **{f"document_{name}": _section(name, metric) for name, metric in _SECTIONS.items()},
+        "whole_document": whole_document,
     }

@@ -46,6 +46,42 @@ def test_documents(spark, tmp_path):
     assert [b["count"] for b in body["time_blocks", "global", None]["all"]] == [2, 0, 0, 0, 0, 0, 1, 0]
 
 
+def test_whole_document(spark, tmp_path):
+    from scanlytics.sinks.document import SECTIONS, write_whole
+
+    a = activity(spark, [*LOG, row("c,\"1\\2.csv", "2024-03-01 08", 'q"u\\o\tte ~', 5, "A B", "weird/state"), row("a.csv", None, None, 1, "B", None)])
+    tables = analyse(a) | chart_series(a, ReportOptions(capacity_sph=60))
+    tables["file_lists"] = tables["lists"]
+    write_whole(tables, str(tmp_path / "d"))
+    files = sorted(glob.glob(str(tmp_path / "d" / "part-*")))
+    doc = json.loads("".join(open(f, encoding="utf-8").read() for f in files))
+    assert set(doc) == set(SECTIONS)
+    plain = {name: [r.asDict() for r in tables[name].collect()] for name in doc}
+    for name, table in plain.items():
+        section, want = SECTIONS[name], {}
+        if section.prepare(tables[name]) is not tables[name]:
+            table = [r.asDict() for r in section.prepare(tables[name]).collect()]
+        show = lambda v: str(v)[:19] if isinstance(v, datetime) else v
+        for r in sorted(table, key=lambda r: [r[c] if c == "rank" else str(r[c]).encode() for c in section.path]):
+            if any(r[c] is None for c in section.path):
+                continue
+            value = show(r[section.fields[0]]) if section.bare else {f: show(r[f]) for f in section.fields}
+            at = doc[name]
+            for depth, (column, kind) in enumerate(zip(section.path, section.kinds)):
+                if kind == "a":
+                    want.setdefault(str([r[c] for c in section.path[:depth]]), (at, []))[1].append(value)
+                    break
+                at = at[str(r[column])]
+            else:
+                assert at == value
+        for got, listed in want.values():
+            assert got == listed
+    assert doc["states"]["weird/state"] == 1 and 'q"u\\o\tte ~' in doc["lists"]["projects"]
+    out = write_report(a, str(tmp_path / "r"), ReportOptions(capacity_sph=60, whole_document=True))
+    again = json.loads("".join(open(f, encoding="utf-8").read() for f in sorted(glob.glob(f"{out}/document/part-*"))))
+    assert {k: v for k, v in again.items() if k != "file_profile"} == {k: v for k, v in doc.items() if k != "file_profile"}
+
+
 def test_whole_report(spark, tmp_path):
     a = activity(spark, LOG)
     out = write_report(a, str(tmp_path / "r"), ReportOptions(capacity_sph=60, min_scans=1))
