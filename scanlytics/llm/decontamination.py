@@ -7,34 +7,30 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scanlytics.llm.common import stored
 from scanlytics.llm.native import gram_hashes, plain_words, word_hashes
 
-#: Seed tables of up to this many benchmark words are sent to every executor; larger ones are joined by shuffles.
-BROADCAST_WORDS = 300_000
+#: Seed tables of up to this many rows are sent to every executor (three numbers each); larger ones are joined by shuffles.
+BROADCAST_SEEDS = 600_000
+#: The same for the items' words, one number each.
+BROADCAST_WORDS = 600_000
 
 # 1 marks a word that counts, 0 one that is ignored. Every passage of 11 words or more of which a share of
 # 0.8 agrees keeps a seed: its agreeing words come in so few runs that one has four words, or, with 11 or 15 words, all
 # have three with one changed word between them.
 MASKS = ("1111", "1110111")
-#: Items of fewer words match nothing.
-LEAST_ITEM = 11
+#: Items of fewer words match only where all their words stand in a row,
+LEAST_PARTIAL = 11
+#: and of fewer than these not at all: they cannot be told from chance.
+LEAST_ITEM = 5
 
 
 @dataclass(frozen=True)
 class Overlap:
-    """What counts as a leak: a stretch of ``words`` words (of all, if the item is shorter) of which ``share`` agree.
-
-    With ``any_stretch`` every such stretch counts, as in the registered queries; without it only the one on a diagonal
-    that agrees best, which ends before changed words near a passage's ends and may then be too short.
-    """
+    """What counts as a leak: any stretch of ``words`` words (of all, if the item is shorter) of which ``share`` agree."""
 
     words: int = 13
     share: float = 0.8
-    any_stretch: bool = False
-
-
-#: What the registered queries and the pipeline look for.
-WHOLE = Overlap(any_stretch=True)
 
 
 def seeds(hashes: Column) -> Column:
@@ -58,28 +54,7 @@ def _seeded(rows: DataFrame) -> DataFrame:
     return exploded.where("seed IS NOT NULL").withColumn("place", F.col("_at") % F.col("_n")).drop("_n", "_at")
 
 
-def _best_stretch(equal: Column) -> Column:
-    """The stretch of a list of 0 and 1 with the highest sum of +1 for each 1 and -3 for each 0."""
-    start = F.struct(
-        F.lit(0).alias("here"), F.lit(0).alias("since"), F.lit(0).alias("at"),
-        F.lit(0).alias("score"), F.lit(0).alias("first"), F.lit(0).alias("end"),
-    )
-
-    def step(s: Column, e: Column) -> Column:
-        here = F.greatest(s["here"], F.lit(0)) + F.when(e == 1, 1).otherwise(-3)
-        since = F.when(s["here"] > 0, s["since"]).otherwise(s["at"])
-        better = here > s["score"]
-        return F.struct(
-            here.cast("int").alias("here"), since.cast("int").alias("since"), (s["at"] + 1).cast("int").alias("at"),
-            F.when(better, here).otherwise(s["score"]).cast("int").alias("score"),
-            F.when(better, since).otherwise(s["first"]).cast("int").alias("first"),
-            F.when(better, s["at"] + 1).otherwise(s["end"]).cast("int").alias("end"),
-        )
-
-    return F.aggregate(equal, start, step)
-
-
-def _whole_stretch(equal: Column, need: Column, share: float) -> Column:
+def _stretch(equal: Column, need: Column, share: Column) -> Column:
     """Of the stretches of at least ``need`` places of which ``share`` are 1, the one with the most above the share.
 
     From prefix sums of (equal - share): each end meets the least sum that lies ``need`` places or more before it.
@@ -92,8 +67,8 @@ def _whole_stretch(equal: Column, need: Column, share: float) -> Column:
     )
 
     def step(s: Column, e: Column) -> Column:
-        at, total = s["at"] + 1, s["sum"] + e - F.lit(share)
-        behind = F.when(at > need, s["behind"] + F.get(equal, at - need - 1) - F.lit(share)).otherwise(F.lit(0.0))
+        at, total = s["at"] + 1, s["sum"] + e - share
+        behind = F.when(at > need, s["behind"] + F.get(equal, at - need - 1) - share).otherwise(F.lit(0.0))
         lower = (at > need) & (behind < s["low"] - tiny)
         low, low_at = F.when(lower, behind).otherwise(s["low"]), F.when(lower, at - need).otherwise(s["low_at"])
         better = (at >= need) & (total - low > s["top"] + tiny)
@@ -114,60 +89,54 @@ def find_leaks(
     """One row per document and benchmark item that share a passage: doc_id, item_id, first, length, matched, item_words.
 
     Words are runs of letters and digits in lower case. Every place of a document under every mask is hashed and joined
-    with those of the benchmark; along each hit's diagonal the words are compared one by one, and the stretch that
-    agrees best counts if it is long enough and enough of its words agree. Where it does not, and ``overlap`` takes any
-    stretch, the long enough one with the most words above the share counts, if there is one; ``first``
-    and ``length`` give the longest of them in the document (in words; the first among equals). With a ``share`` below
-    0.8 seeds may miss passages.
-
-    Items of fewer than ``LEAST_ITEM`` words cannot be told from chance and match nothing; nor do null or empty texts and
-    rows with a null id. Repeated rows give their pair once. Other columns are dropped. The benchmark's seeds are
-    broadcast only after a count of its words; beyond ``BROADCAST_WORDS`` both joins shuffle.
+    with those of the benchmark, numbers only. What meets gives diagonals (document, item, shift), each once; then the
+    words of both sides are brought to them and compared along the whole diagonal. Of its stretches that ``overlap``
+    admits, the one with the most words above the share counts; ``first`` and ``length`` give the longest of a pair
+    in the document (in words; the first among equals). With a ``share`` below 0.8 seeds may miss passages.
+
+    Items of ``LEAST_ITEM`` to ``LEAST_PARTIAL`` - 1 words match only where all their words follow each other; shorter
+    ones match nothing, nor do null or empty texts and rows with a null id. Repeated rows give their pair once. Other
+    columns are dropped. The seeds and words of the benchmark are broadcast only after a count of them; beyond that the
+    same joins shuffle.
     """
     items = benchmark.where(F.col(f"`{item_id}`").isNotNull()).select(
-        F.col(f"`{item_id}`").alias("item"), word_hashes(plain_words(F.col(f"`{text}`"))).alias("words")
-    ).where(F.size("words") >= LEAST_ITEM)
-    small = (items.agg(F.sum(F.size("words"))).first()[0] or 0) <= BROADCAST_WORDS
-    hint = F.broadcast if small else (lambda df: df)
-    sought = _seeded(items).select("seed", "item", F.col("place").alias("item_place"), F.col("words").alias("item_words"))
+        F.col(f"`{item_id}`").alias("item"), word_hashes(plain_words(F.col(f"`{text}`"))).alias("item_words")
+    )
+    items = items.where(F.size("item_words") >= LEAST_ITEM).withColumn("item_key", F.xxhash64("item_words"))
+    words = items.agg(F.sum(F.size("item_words"))).first()[0] or 0
+    hinted = lambda df, small: F.broadcast(df) if small else df
+    sought = _seeded(items.withColumnRenamed("item_words", "words"))
+    sought = sought.select("seed", "item", "item_key", F.size("words").alias("item_size"), F.col("place").alias("item_place"))
+    # a text is told from others of its id by a hash
     rows = docs.where(F.col(f"`{doc_id}`").isNotNull()).select(
-        F.col(f"`{doc_id}`").alias("doc"), word_hashes(plain_words(F.col(f"`{text}`"))).alias("words")
+        F.col(f"`{doc_id}`").alias("doc"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("doc_key")
     )
-    hits = _seeded(rows).join(hint(sought), "seed")
-    shift = F.col("place") - F.col("item_place")
+    seeded = _seeded(rows.select("doc", "doc_key", word_hashes(plain_words(F.col("text"))).alias("words")).select("doc", "doc_key", "words"))
+    met = seeded.select("seed", "doc", "doc_key", "place").join(hinted(sought, words * len(MASKS) <= BROADCAST_SEEDS), "seed")
+    diagonals = met.select("doc", "doc_key", "item", "item_key", "item_size", (F.col("place") - F.col("item_place")).alias("shift")).distinct()
+    diagonals = stored(diagonals, "diagonals")
+
+    of_hits = rows.join(diagonals.select("doc", "doc_key").distinct(), ["doc", "doc_key"], "left_semi").dropDuplicates(["doc", "doc_key"])
+    of_hits = of_hits.select("doc", "doc_key", word_hashes(plain_words(F.col("text"))).alias("words"))
+    # of a document only the words beside the item go on, of an item all
     low = F.greatest(F.lit(0), -F.col("shift"))
-    high = F.least(F.size("item_words"), F.size("words") - F.col("shift"))
-    hits = hits.select("doc", "item", "words", "item_words", shift.alias("shift"))
-    hits = hits.select(
-        "doc",
-        "item",
-        F.size("item_words").alias("item_size"),
-        (low + F.col("shift")).alias("begin"),
-        F.transform(
-            F.sequence(low, high - 1), lambda i: (F.get("item_words", i) == F.get("words", i + F.col("shift"))).cast("int")
-        ).alias("equal"),
-    )
+    begin = low + F.col("shift")
+    beside = F.slice("words", begin + 1, F.least(F.col("item_size"), F.size("words") - F.col("shift")) - low)
+    hits = diagonals.join(of_hits, ["doc", "doc_key"]).select("doc", "item", "item_key", "item_size", low.alias("low"), begin.alias("begin"), beside.alias("beside"))
+    same_item = ["item", "item_key"]
+    hits = hits.join(hinted(items.dropDuplicates(same_item), words <= BROADCAST_WORDS), same_item)
+    agree = F.zip_with("beside", F.slice("item_words", F.col("low") + 1, F.size("beside")), lambda a, b: (a == b).cast("int"))
+    compared = hits.select("doc", "item", "item_size", "begin", agree.alias("equal"))
     # exploded so that the conditions below read its fields instead of computing it again
-    found = hits.select("*", F.explode_outer(F.array(_best_stretch(F.col("equal")))).alias("best"))
-
-    def matched(stretch: str) -> Column:
-        inside = F.slice("equal", F.col(f"{stretch}.first") + 1, F.col(f"{stretch}.end") - F.col(f"{stretch}.first"))
-        return F.aggregate(inside, F.lit(0), lambda a, e: a + e)
-
     need = F.least(F.lit(overlap.words), F.col("item_size"))
-    length = F.col("best.end") - F.col("best.first")
-    good = (length >= need) & (matched("best") >= F.ceil(length * F.lit(overlap.share)))
-    others = ~good if overlap.any_stretch else F.lit(False)
-    # a stretch can only be whole if so many words of the diagonal agree
+    share = F.when(F.col("item_size") < LEAST_PARTIAL, 1.0).otherwise(overlap.share)
+    # a stretch can only be there if so many words of the diagonal agree
     agreeing = F.aggregate("equal", F.lit(0), lambda a, e: a + e)
-    best = F.struct(F.col("best.first").alias("first"), F.col("best.end").alias("end"))
-    whole = F.when(others & (agreeing >= need * F.lit(overlap.share) - 1e-9), _whole_stretch(F.col("equal"), need, overlap.share))
-    whole = F.struct(whole["first"].alias("first"), whole["end"].alias("end"))
-    found = found.select("*", F.explode_outer(F.array(F.when(good, best).otherwise(whole))).alias("kept")).where("kept.end > 0")
-    found = found.select(
-        "doc", "item", "item_size", (F.col("begin") + F.col("kept.first")).alias("first"),
-        (F.col("kept.end") - F.col("kept.first")).alias("length"), matched("kept").alias("matched"),
-    )
+    stretch = F.when(agreeing >= need * share - 1e-9, _stretch(F.col("equal"), need, share))
+    found = compared.select("*", F.explode_outer(F.array(stretch)).alias("kept")).where("kept.end > 0")
+    length = F.col("kept.end") - F.col("kept.first")
+    matched = F.aggregate(F.slice("equal", F.col("kept.first") + 1, length), F.lit(0), lambda a, e: a + e)
+    found = found.select("doc", "item", "item_size", (F.col("begin") + F.col("kept.first")).alias("first"), length.alias("length"), matched.alias("matched"))
     best = found.groupBy("doc", "item").agg(F.max(F.struct("length", "matched", (-F.col("first")).alias("back"), "item_size")).alias("best"))
     return best.select(
         F.col("doc").alias(doc_id),

@@ -81,24 +81,20 @@ def jaccard_classes(rows, n=5, threshold=0.8):
 
 
 def leaks(docs, items, need=13, share=0.8):
-    """(doc_id, item_id, first, length, matched): every diagonal of every pair."""
+    """Pairs (doc_id, item_id) with a stretch of ``need`` words (of all, if the item is shorter) on any diagonal of which
+    ``share`` agree; items of 5 to 10 words must agree in all, shorter ones have none."""
     plain = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
-    found = defaultdict(tuple)
+    found = set()
     for d, t in docs:
         w = plain(t)
         for i, x in items:
             v = plain(x)
-            for s in range(-len(v) + 1, len(w)):
-                low, high = max(0, -s), min(len(v), len(w) - s)
-                equal = [v[j] == w[j + s] for j in range(low, high)]
-                score, since, best = 0, 0, (0, 0, 0)
-                for j, e in enumerate(equal):
-                    if score <= 0:
-                        score, since = 0, j
-                    score += 1 if e else -3
-                    if score > best[0]:
-                        best = (score, since, j + 1)
-                length, matched = best[2] - best[1], sum(equal[best[1] : best[2]])
-                if length >= min(need, len(v)) > 0 and matched >= share * length:
-                    found[d, i] = max(found[d, i] or (0,), (length, matched, -(best[1] + low + s)))
-    return sorted((d, i, -b[2], b[0], b[1]) for (d, i), b in found.items())
+            least, wanted = min(need, len(v)), 1.0 if len(v) < 11 else share
+            for s in range(-len(v) + 1, len(w)) if len(v) >= 5 else ():
+                sums = [0]
+                for j in range(max(0, -s), min(len(v), len(w) - s)):
+                    sums.append(sums[-1] + (v[j] == w[j + s]))
+                for a in range(len(sums)):
+                    if any(sums[b] - sums[a] >= wanted * (b - a) - 1e-9 for b in range(a + least, len(sums))):
+                        found.add((d, i))
+    return found

@@ -3,26 +3,12 @@
 import itertools
 import random
 
+import brute
 import pytest
 
 from scanlytics.llm import decontamination
 
 
-def by_rule(docs, items, need=13, share=0.8):
-    """Pairs of ids with such a stretch on any diagonal; items of fewer than 11 words have none."""
-    found = set()
-    for (d, w), (i, v) in itertools.product(docs, items):
-        least = min(need, len(v))
-        for s in range(-len(v) + 1, len(w)) if len(v) >= 11 else ():
-            sums = [0]
-            for j in range(max(0, -s), min(len(v), len(w) - s)):
-                sums.append(sums[-1] + (v[j] == w[j + s]))
-            for a in range(len(sums)):
-                if any(sums[b] - sums[a] >= share * (b - a) - 1e-9 for b in range(a + least, len(sums))):
-                    found.add((d, i))
-    return found
-
-
 @pytest.mark.parametrize("words, changed", [(11, 2), (12, 2), (13, 2), (14, 2), (15, 3), (20, 4)])
 def test_each_passage_keeps_a_seed(words, changed):
     for places in itertools.combinations(range(words), changed):
@@ -43,10 +29,29 @@ def test_changes_near_the_ends(spark):
     rows = lambda pairs: [(k, " ".join(w)) for k, w in pairs]
     table = spark.createDataFrame(rows(docs), "doc_id bigint, text string")
     bench = spark.createDataFrame(rows(items), "item_id bigint, text string")
-    got = decontamination.find_leaks(table, bench, overlap=decontamination.WHOLE).collect()
-    assert {(r.doc_id, r.item_id) for r in got} == by_rule(docs, items)
+    got = decontamination.find_leaks(table, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == brute.leaks(rows(docs), rows(items))
     assert all(r.length >= min(13, r.item_words) and r.matched >= 0.8 * r.length for r in got)
     for r in got:
         v, w = dict(items)[r.item_id], dict(docs)[r.doc_id]
         aligned = [sum(a == b for a, b in zip(w[r.first : r.first + r.length], v[k : k + r.length])) for k in range(len(v) - r.length + 1)]
         assert r.matched in aligned
+
+
+@pytest.mark.parametrize("limit", [600_000, 0])
+def test_long_items_and_documents(spark, monkeypatch, limit):
+    """An item of 20,000 words, one of 6,000 and a document of a million: only numbers meet, and words come afterwards."""
+    monkeypatch.setattr(decontamination, "BROADCAST_WORDS", limit)
+    monkeypatch.setattr(decontamination, "BROADCAST_SEEDS", limit)
+    rng = random.Random(8)
+    make = lambda n: ["v%d" % rng.randrange(1 << 30) for _ in range(n)]
+    items = [(1, make(20_000)), (2, make(6_000)), (3, make(7)), (4, make(4))]
+    changed = [w if k % 9 else "other" for k, w in enumerate(items[0][1])]
+    million = make(500_000) + items[1][1][:5_000] + make(495_000)
+    docs = [(1, changed), (2, million), (3, make(30) + items[2][1] + make(5)), (4, items[3][1]), (5, items[2][1][:6] + make(9)), (6, make(4_000))]
+    rows = lambda pairs: [(k, " ".join(w)) for k, w in pairs]
+    table = spark.createDataFrame(rows(docs), "doc_id bigint, text string")
+    bench = spark.createDataFrame(rows(items), "item_id bigint, text string")
+    got = sorted((r.doc_id, r.item_id, r.first, r.length, r.matched) for r in decontamination.find_leaks(table, bench).collect())
+    agreeing = sum(k % 9 > 0 for k in range(20_000))  # the last word but one differs, so the last adds less than it costs
+    assert got == [(1, 1, 1, 19_997, agreeing - 1), (2, 2, 500_000, 5_000, 5_000), (3, 3, 30, 7, 7)]
