@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 #: A row's key; also the name of the internal columns, which begin with it.
 KEY = "sort_key"
+CELL = f"{KEY}_cell"
 _ROWS_A_CELL = 512
 _MOST_DIGITS = 4
 
@@ -76,18 +77,23 @@ def _opened_rows(keyed: DataFrame, opened: dict[str, int], how: str) -> DataFram
     """Rows with the child length of their cell; ``opened`` is bounded by the number of cells, so it is broadcast."""
     spark = keyed.sparkSession
     table = spark.createDataFrame(list(opened.items()), f"{KEY}_of string, {KEY}_length int")
-    return keyed.join(F.broadcast(table), F.col(f"{KEY}_cell") == F.col(f"{KEY}_of"), how).drop(f"{KEY}_of")
+    return keyed.join(F.broadcast(table), F.col(CELL) == F.col(f"{KEY}_of"), how).drop(f"{KEY}_of")
 
 
 def _in_cells(keyed: DataFrame, rounds: list[dict[str, int]]) -> DataFrame:
     whole = rounds[0][""] if rounds else 0
-    rows = keyed.withColumn(f"{KEY}_cell", F.left(F.col(KEY), F.lit(whole)))
+    rows = keyed.withColumn(CELL, F.left(F.col(KEY), F.lit(whole)))
     for opened in rounds[1:]:
         child = F.left(F.col(KEY), F.col(f"{KEY}_length"))
-        rows = _opened_rows(rows, opened, "left").withColumn(f"{KEY}_cell", F.coalesce(child, F.col(f"{KEY}_cell"))).drop(f"{KEY}_length")
+        rows = _opened_rows(rows, opened, "left").withColumn(CELL, F.coalesce(child, F.col(CELL))).drop(f"{KEY}_length")
     return rows
 
 
+def in_cells(keyed: DataFrame, cells: Cells) -> DataFrame:
+    """Adds ``sort_key_cell``, the prefix of the leaf cell that each row is in."""
+    return _in_cells(keyed, cells.rounds)
+
+
 def refine(keyed: DataFrame, too_coarse: Callable[[list[Cell]], dict[str, int]] | None = None, weight: str | None = None) -> Cells:
     """Count the cells of ``keyed`` (column ``sort_key``, and the bigint column ``weight``, by default 1) until none
     holds more than about four times its share of rows and none is named by ``too_coarse``, which gets all cells in
@@ -134,6 +140,6 @@ def numbered(keyed: DataFrame, cells: Cells, position: str, columns: dict[str, t
     values = [(c.prefix, c.rows_before, *more) for c, *more in zip(cells.leaves, *[v for _, v in columns.values()])]
     table = spark.createDataFrame(values, f"{KEY}_of string, {KEY}_before bigint{names}")
     rows = _in_cells(keyed, cells.rounds)
-    rows = rows.join(F.broadcast(table), F.col(f"{KEY}_cell") == F.col(f"{KEY}_of")).drop(f"{KEY}_of")
-    inside = F.row_number().over(W.partitionBy(f"{KEY}_cell").orderBy(KEY)) - 1
-    return rows.withColumn(position, F.col(f"{KEY}_before") + inside).drop(f"{KEY}_before", f"{KEY}_cell")
+    rows = rows.join(F.broadcast(table), F.col(CELL) == F.col(f"{KEY}_of")).drop(f"{KEY}_of")
+    inside = F.row_number().over(W.partitionBy(CELL).orderBy(KEY)) - 1
+    return rows.withColumn(position, F.col(f"{KEY}_before") + inside).drop(f"{KEY}_before", CELL)

@@ -6,13 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from scanlytics.llm.cells import CELL, KEY, in_cells, refine, sortable
+from scanlytics.llm.common import stored
 from scanlytics.llm.native import gram_hashes, word_hashes, words
 
 SHINGLE = 5
 #: One hash in SCALE is kept, whatever the document's length, so sketches merge and compare by plain set operations.
 SCALE = 4
-_ROWS_PER_BUCKET = 512
-_LOWEST = -(1 << 63)
+
+
+def _threshold(scale: int) -> int:
+    return -(1 << 63) + (1 << 64) // scale
 
 
 def sketch(text: Column, shingle: int = SHINGLE, scale: int = SCALE) -> Column:
@@ -31,7 +35,7 @@ def _kept(items: Column, shingle: int, scale: int) -> Column:
     ).when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>")))[0]
 
     def below(h: Column) -> Column:
-        low = F.filter(h, lambda x: x < F.lit(_LOWEST + (1 << 64) // scale))
+        low = F.filter(h, lambda x: x < F.lit(_threshold(scale)))
         return F.when((F.size(low) > 0) | (F.size(h) == 0), low).otherwise(F.array(F.array_min(h)))
 
     return F.array_sort(F.array_distinct(F.transform(F.array(hashes), below)[0]))
@@ -61,43 +65,35 @@ def resemblance(a: Column, b: Column) -> Column:
     return F.when(both > 0, shared(a, b) / both).otherwise(1.0)
 
 
-def merged(a: Column, b: Column) -> Column:
-    """The sketch of both documents' shingles together."""
-    return F.array_sort(F.array_union(a, b))
+def merged(a: Column, b: Column, scale: int = SCALE) -> Column:
+    """The sketch of both documents' shingles together. A least hash that stood in for an empty sketch goes as soon as
+    the other has one below the threshold; of two such hashes the lesser stays."""
+    both = F.array_union(a, b)
+    low = F.filter(both, lambda x: x < F.lit(_threshold(scale)))
+    return F.array_sort(F.when((F.size(low) > 0) | (F.size(both) == 0), low).otherwise(F.array(F.array_min(both))))
 
 
 def with_next(docs: DataFrame, doc_id: str, column: str) -> DataFrame:
-    """Adds ``next``: the column's value in the next row by id (ties by text), after the last that of the first.
+    """Adds ``next``: the column's value in the next row by id (equal ids by a hash of the value), after the last that of
+    the first.
 
-    Rows are dealt out in ranges of ids and each range finds its own neighbours; the last row of a range gets the
-    first of the next range. Only ids of ranges of ranges meet in one task: one row for about 250,000 documents.
-    A null id comes first.
+    Rows are dealt out in cells of the order whose sizes are counted first (``cells``), so neither one far id nor many
+    null ids, which come first, gather in a task. Each cell finds its own neighbours; its last row gets the first value
+    of the next cell.
     """
-    low, high, count = docs.agg(F.min(doc_id), F.max(doc_id), F.count(doc_id)).first()
-    low, high = low or 0, high or 0
-    width = max(1, -(-(high - low + 1) * _ROWS_PER_BUCKET // max(1, count)))
-    bucket = F.coalesce(F.floor((F.col(doc_id) - low) / width), F.lit(-1)).cast("long")
-    rows = docs.withColumn("_bucket", bucket)
-    order = [F.col(doc_id).asc_nulls_first(), F.col(column)]
-    inside = Window.partitionBy("_bucket").orderBy(*order)
-    seen = rows.withColumn("_next", F.lead(column).over(inside)).withColumn("_inner", F.lead(F.lit(True)).over(inside))
-    firsts = rows.withColumn("_row", F.row_number().over(inside)).where("_row = 1")
-    firsts = firsts.select(F.col("_bucket").alias("_after"), F.col(column).alias("_first"))
-
-    buckets = docs.select(bucket.alias("_bucket")).distinct().withColumn("_upper", F.floor(F.col("_bucket") / _ROWS_PER_BUCKET))
-    uppers = buckets.groupBy("_upper").agg(F.min("_bucket").alias("_least"))
-    over_all = Window.orderBy("_upper")
-    uppers = uppers.select(
-        "_upper",
-        F.coalesce(F.lead("_least").over(over_all), F.first("_least").over(over_all)).alias("_beyond"),
+    key = F.concat(sortable(F.col(doc_id)), F.lower(F.lpad(F.hex(F.xxhash64(column)), 16, "0")))
+    cells = refine(stored(docs.select(key.alias(KEY)), "id-order"))
+    rows = in_cells(docs.withColumn(KEY, key), cells)
+    inside = Window.partitionBy(CELL).orderBy(KEY)
+    seen = rows.withColumns({"_next": F.lead(column).over(inside), "_inner": F.lead(F.lit(True)).over(inside)})
+    lows = [c.low for c in cells.leaves]
+    follows = docs.sparkSession.createDataFrame(
+        [(c.prefix, low) for c, low in zip(cells.leaves, lows[1:] + lows[:1])], "_of string, _low string"
     )
-    over_upper = Window.partitionBy("_upper").orderBy("_bucket")
-    follows = buckets.withColumn("_after", F.lead("_bucket").over(over_upper)).join(uppers, "_upper")
-    follows = follows.select("_bucket", F.coalesce("_after", "_beyond").alias("_after"))
-    starts = follows.join(firsts, "_after").select(F.col("_bucket").alias("_of"), "_first")
-    joined = seen.join(starts, (F.col("_bucket") == F.col("_of")) & F.col("_inner").isNull(), "left")
-    value = F.when(F.col("_inner"), F.col("_next")).otherwise(F.col("_first"))
-    return joined.withColumn("next", value).drop("_bucket", "_next", "_inner", "_of", "_first")
+    begins = docs.withColumn(KEY, key).join(F.broadcast(follows), F.col(KEY) == F.col("_low"))  # one row or copies of it
+    begins = begins.groupBy("_of").agg(F.first(column).alias("_first"))
+    joined = seen.join(begins, F.col(CELL) == F.col("_of"), "left")
+    return joined.withColumn("next", F.when(F.col("_inner"), F.col("_next")).otherwise(F.col("_first"))).drop(KEY, CELL, "_next", "_inner", "_of", "_first")
 
 
 def fingerprint_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -106,7 +102,7 @@ def fingerprint_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     The edited text ends in the first floor(n_chars / 4) code points of the next document by id instead of as many of
     its own; after the last document comes the first. Returns doc_id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited and near_next (how much of the document the edited text and the next document
-    contain) and resemblance_edited. A null text counts as empty. Rows that repeat an id follow each other by text.
+    contain) and resemblance_edited. A null text counts as empty. Rows that repeat an id follow each other by a hash of the text.
     Other columns are dropped.
     """
     rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))

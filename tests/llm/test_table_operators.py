@@ -5,7 +5,8 @@ import random
 import numpy as np
 import brute_tables as brute
 import pytest
-from scanlytics.llm import merkle, resampling, sharding
+from pyspark.sql import functions as F
+from scanlytics.llm import cells, fingerprints, merkle, resampling, sharding
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, size string, sort_key int, shard string"
 
@@ -139,3 +140,36 @@ def test_resampling_of_odd_tables(spark):
         assert got == brute.resampled([r[:2] for r in rows], [r.text for r in wanted.collect()], percent=100)
     same = resampling.resample(docs(spark, [(9, "w " * 25, "en")] * 4000), target).collect()
     assert sorted(r["rank"] for r in same if r["rank"]) == list(range(1, 1001)) and len(same) == 4000
+
+
+def test_next_rows_of_far_and_null_ids(spark):
+    """One far id and a third of null ids: all rows find their neighbour, and no cell holds more than its share."""
+    rng = random.Random(6)
+    rows = [(None if k % 3 == 0 else k * 5, f"text {rng.random()}") for k in range(9000)] + [(1 << 61, "far"), (-(1 << 61), "near")]
+    rng.shuffle(rows)
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = fingerprints.with_next(table, "doc_id", "text").collect()
+    follows = {r.text: r.next for r in got}
+    assert len(got) == len(rows) == len(set(follows.values()))
+    known = sorted(r for r in rows if r[0] is not None)
+    assert all(follows[a[1]] == b[1] for a, b in zip(known, known[1:]))
+    at, chain = "near", []
+    while at not in chain[:1]:
+        chain.append(at)
+        at = follows[at]
+    assert len(chain) == len(rows)
+    keyed = table.select(F.concat(cells.sortable(F.col("doc_id")), F.lower(F.lpad(F.hex(F.xxhash64("text")), 16, "0"))).alias(cells.KEY))
+    assert max(c.rows for c in cells.refine(keyed).leaves) <= 1024
+    same = fingerprints.with_next(spark.createDataFrame([(1, "a")] * 3 + [(2, "b")], "doc_id bigint, text string"), "doc_id", "text").collect()
+    assert sorted((r.text, r.next) for r in same) == [("a", "a"), ("a", "a"), ("a", "b"), ("b", "a")]
+
+
+def test_merged_sketches_are_sketches_of_the_union(spark):
+    rng = random.Random(1)
+    texts = [(" ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.choice([1, 3, 5, 6, 40]))), " ".join(f"v{rng.randrange(10**6)}" for _ in range(rng.choice([2, 5, 200])))) for _ in range(200)]
+    table = spark.createDataFrame([*texts, ("", ""), ("", "a b")], "a string, b string")
+    a, b = fingerprints.sketch(F.col("a")), fingerprints.sketch(F.col("b"))
+    top = fingerprints._threshold(fingerprints.SCALE)
+    for r in table.select(a.alias("a"), b.alias("b"), fingerprints.merged(a, b).alias("m")).collect():
+        low = sorted({h for h in [*r.a, *r.b] if h < top})
+        assert list(r.m) == (low or ([min([*r.a, *r.b])] if r.a or r.b else []))
