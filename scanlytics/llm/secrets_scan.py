@@ -12,20 +12,31 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A candidate: an unbroken string of 12 or more of these characters with a digit in it, or 16 capitals and digits.
+# Forms of secrets that are known by what stands around or begins them.
+KEYWORDS = "password|passwd|passphrase|pwd|secret|token|api.?key|access.?key|private.?key|credential|auth|bearer"
+KEYED_HEAD = rf"(?i:{KEYWORDS})s?[\"']?\s{{0,3}}(?::=|=>|[=:])\s{{0,3}}"
+URL_HEAD = r"[a-zA-Z][a-zA-Z0-9+.\-]{1,20}://[^\s:/@]{0,64}:"
+PEM = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[^-]{1,20000}-----END [A-Z ]{0,30}PRIVATE KEY-----"
+KNOWN = r"AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|xox[abp]-|sk_live_|sk-|AIza|eyJ"
+#: Any other unbroken string of 12 or more of these characters with a digit in it, or of 16 capitals and digits.
+LONG = r"(?<![A-Za-z0-9+/_\-])(?:[A-Z0-9]{16,}|(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{12,})={0,2}(?![A-Za-z0-9+/_\-])"
+#: A candidate: a value after a keyword and = or :, the password of a URL, a block of a private key, a string with a known
+#: beginning, or a long one. What leads to the value is its head, a quote or @ behind it its tail.
+HEAD = rf"^(?:{KEYED_HEAD}[\"']?|{URL_HEAD}(?=[^\s]*@\z))"
 CANDIDATE = (
-    r"(?<![A-Za-z0-9+/_\-])(?:[A-Z0-9]{16,}|(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{12,})={0,2}(?![A-Za-z0-9+/_\-])"
+    rf"{KEYED_HEAD}(?:\"[^\"\n]{{4,200}}\"|'[^'\n]{{4,200}}'|[^\s\"',;&<>]{{4,400}})|{URL_HEAD}[^\s@/]{{3,200}}@|{PEM}"
+    rf"|(?<![A-Za-z0-9])(?:{KNOWN})[A-Za-z0-9_\-.]{{12,}}|{LONG}"
 )
 # Words that stand for values, not secrets; words before a secret; words before other long strings.
 DICTIONARY = "example|sample|dummy|placeholder|changeme|change|test|fake|your|insert|here|xxxx|value|string|name|none|null|todo|abcd|1234|0000"
-BEFORE = "password|passwd|pwd|passphrase|secret|token|api.?key|access.?key|private.?key|credential|auth|bearer"
+BEFORE = KEYWORDS
 HARMLESS = "commit|sha1|sha256|md5|hash|checksum|digest|uuid|guid|order|invoice|card|phone|tel|isbn|serial|version|build|ref|id"
 TEST_PATH = "test|example|sample|fixture|mock|doc|demo"
 FEATURES = [
     "length", "runs", "distinct", "digits", "upper", "lower", "other", "hex", "no_vowel", "dictionary", "path", "before",
-    "assigned", "quoted", "harmless", "prefix",
+    "assigned", "quoted", "harmless", "prefix", "in_url", "blanks",
 ]
-PREFIX = r"^(AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|xox[abp]-|sk_live_|sk-|AIza|eyJ)"
+PREFIX = rf"^({KNOWN})|^-----BEGIN"
 
 
 def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:
@@ -42,15 +53,22 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path
     before = F.aggregate(
         F.slice("gaps", 1, F.col("n") + 1), F.lit(0), lambda a, g: a + F.length(g)
     ) + F.aggregate(F.slice("values", 1, F.col("n")), F.lit(0), lambda a, v: a + F.length(v))
-    left, right = F.get("gaps", F.col("n")), F.get("gaps", F.col("n") + 1)
+    found = found.select(
+        "doc", "path", before.alias("before"), F.get("gaps", F.col("n")).alias("left"), F.get("gaps", F.col("n") + 1).alias("right"),
+        F.col("value").alias("whole"), F.regexp_extract("value", HEAD, 0).alias("head"),
+    )
+    closing = F.when(F.startswith("head", F.lit("://")), "").otherwise(F.right("whole", F.lit(1)))
+    framed = (F.col("head") != "") & (closing.isin('"', "'") & (F.right("head", F.lit(1)) == closing) | (F.contains("head", F.lit("://")) & (closing == "@")))
+    found = found.withColumn("tail", F.when(framed, closing).otherwise(""))
+    inner = F.length("whole") - F.length("head") - F.length("tail")
     return found.select(
         "doc",
         "path",
-        before.cast("long").alias("start"),
-        "value",
-        F.lower(F.substring(left, -40, 40)).alias("left"),
-        F.lower(F.substring(right, 1, 40)).alias("right"),
-    )
+        (F.col("before") + F.length("head")).cast("long").alias("start"),
+        F.substring(F.col("whole"), F.length("head") + 1, inner).alias("value"),
+        F.lower(F.right(F.concat("left", "head"), F.lit(40))).alias("left"),
+        F.lower(F.left(F.concat("tail", "right"), F.lit(40))).alias("right"),
+    ).where("value <> ''")
 
 
 def features(rows: DataFrame) -> DataFrame:
@@ -78,15 +96,17 @@ def features(rows: DataFrame) -> DataFrame:
             "dictionary": share(f"(?i){DICTIONARY}"),
             "path": flag(F.col("path"), TEST_PATH),
             "before": flag(F.col("left"), rf"({BEFORE})\W{{0,6}}$"),
-            "assigned": flag(F.col("left"), r"[=:]\s*[\"']?$"),
+            "assigned": flag(F.col("left"), r"[=:>]\s*[\"']?$"),
             "quoted": flag(F.col("left"), "[\"']$"),
             "harmless": flag(F.col("left"), rf"\b({HARMLESS})\b[^a-z]{{0,8}}$"),
             "prefix": flag(value, PREFIX),
+            "in_url": flag(F.col("left"), r"://[^\s:/@]*:$") * flag(F.col("right"), "^@"),
+            "blanks": share(r"[^\s]").cast("double") * -1 + 1,
         }
     )
 
 
-def labelled_findings(spark: SparkSession, rows: int = 6_000, seed: int = 11) -> DataFrame:
+def labelled_findings(spark: SparkSession, rows: int = 8_000, seed: int = 11) -> DataFrame:
     """Findings with verdicts (value, left, right, path, secret), made by rule: the forest's bounded training set.
 
     True ones are keys, tokens and passwords of usual forms; false ones are what scanners report by mistake: hashes of
@@ -101,8 +121,31 @@ def labelled_findings(spark: SparkSession, rows: int = 6_000, seed: int = 11) ->
     keyed = lambda: rng.choice(["password", "passwd", "secret", "token", "api_key", "apikey", "access_key", "auth_token", "pwd"])
     joint = lambda: rng.choice(["=", " = ", ": ", "=\"", " = \"", ": \"", "='", " "])
 
+    symbols = "!#$%^*?+-_.~"
+    plain = ["please", "required", "string", "optional", "null", "none", "true", "the", "your", "see", "below", "in", "and", "reset", "forgotten", "expired"]
+
+    def phrase():  # a password as people choose them
+        kind = rng.randrange(4)
+        if kind == 0:
+            return word() + pick(string.digits, rng.randint(1, 4)) + rng.choice(["", rng.choice(symbols)])
+        if kind == 1:
+            return word().capitalize() + rng.choice(symbols) + word().capitalize() + pick(symbols + string.digits, rng.randint(1, 5))
+        if kind == 2:
+            return "".join(word().capitalize() for _ in range(rng.randint(3, 5)))
+        return pick(alnum, rng.randint(4, 11)) + rng.choice(["", rng.choice(symbols) + pick(alnum, 2)])
+
+    strictly = lambda: rng.choice(["=", " = ", ": ", "=\"", " = \"", ": \"", "='", ":"])
+
     def secret():
-        kind = rng.randrange(6)
+        kind = rng.randrange(10)
+        if kind in (6, 7):
+            return phrase(), sentence() + keyed() + strictly()
+        if kind == 8:
+            return rng.choice([phrase(), pick(alnum, rng.randint(6, 20))]), sentence() + rng.choice(["postgres", "https", "mysql", "redis", "ftp"]) + "://" + word() + ":"
+        if kind == 9:
+            if rng.random() < 0.3:
+                return "-----BEGIN RSA PRIVATE KEY----- " + pick(alnum + "+/", 200) + " -----END RSA PRIVATE KEY-----", sentence()
+            return rng.choice(["ghp_", "sk_live_", "glpat-"]) + pick(string.ascii_letters, rng.randint(16, 36)), sentence()
         if kind == 0:
             return rng.choice(["AKIA", "AKIA", "ASIA"]) + pick(caps, 16), sentence() + rng.choice(["", "", "aws key ", "key="])
         if kind == 1:
@@ -116,7 +159,11 @@ def labelled_findings(spark: SparkSession, rows: int = 6_000, seed: int = 11) ->
         return pick(alnum + "_-", rng.randint(12, 24)), sentence() + keyed() + joint()
 
     def harmless():
-        kind = rng.randrange(9)
+        kind = rng.randrange(11)
+        if kind == 9:
+            return rng.choice(plain) + rng.choice(["", "", ".", ")"]), sentence() + keyed() + rng.choice([": ", " = ", "=", ": \""])
+        if kind == 10:
+            return rng.choice(["${" + word() + "}", "<" + word() + ">", "$" + word().upper(), "%s", "{{" + word() + "}}", "********", "os.environ", "getenv(", "process.env.KEY", word() + "()"]), sentence() + keyed() + strictly()
         if kind == 0:
             return pick(hexa, rng.choice([32, 40, 64])), sentence() + rng.choice(["commit ", "sha1: ", "md5 = ", "checksum ", "digest: ", "hash "])
         if kind == 1:
@@ -138,7 +185,7 @@ def labelled_findings(spark: SparkSession, rows: int = 6_000, seed: int = 11) ->
     made = []
     for k in range(rows):
         value, left = (secret if k % 2 else harmless)()
-        right = ('"' if left.endswith('"') else "'" if left.endswith("'") else "") + " " + sentence()
+        right = ("@host " if "://" in left and k % 2 else '"' if left.endswith('"') else "'" if left.endswith("'") else "") + " " + sentence()
         test = rng.random() < (0.1 if k % 2 else 0.4)
         made.append((value, left[-40:].lower(), right[:40].lower(), "repo/tests/fixture" if test else "src" + str(rng.randrange(40)), float(k % 2)))
     # as one literal: rows that Spark takes from Python lists would start Python workers
@@ -161,7 +208,7 @@ def scan(
 ) -> DataFrame:
     """One row per secret: doc_id, start, length (code points), value_sha256, probability.
 
-    Whole texts are scanned. Candidates come from one pattern; a random forest on their length, changes between
+    Whole texts are scanned. Candidates come from one pattern (``CANDIDATE``); a random forest on their length, changes between
     character classes, dictionary coverage, path and neighbouring words keeps those whose probability of being a
     secret reaches ``threshold``. Without ``findings`` it is trained on ``labelled_findings``. The value itself is not
     returned. A null or empty text has no secret; a null id is kept as null; repeated rows repeat their secrets; other
@@ -185,21 +232,30 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", threshold: float = 0.5) -> D
     """The documents with every secret replaced by ``mark`` and n_chars (if there) set anew; columns and rows as given.
 
     Spans are looked up by id, source and a hash of the text, so rows with a null id or an id that other text has too
-    are replaced by their own secrets only.
+    are replaced by their own secrets only. The rows travel as one struct, so no column's name matters but those of
+    doc_id, text, source and n_chars.
     """
     own = [F.sha2(F.coalesce("text", F.lit("")), 256), F.coalesce(F.col("doc_id").cast("string"), F.lit("\u0000")), F.coalesce("source", F.lit(""))]
-    keyed = docs.withColumn("_key", F.concat_ws(" ", *own))
-    found = scan(keyed, doc_id="_key", threshold=threshold).select("_key", "start", "length").distinct()
-    spans = found.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("_spans"))
-    joined = keyed.join(spans, "_key", "left")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(F.concat_ws(" ", *own).alias("key"), F.col("text"), F.col("source"), whole)
+    found = scan(keyed, doc_id="key", threshold=threshold).select("key", "start", "length").distinct()
+    spans = found.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("spans"))
+    joined = keyed.select("key", "text", "row").join(spans, "key", "left")
     start = F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at"))
 
     def step(s: Column, x: Column) -> Column:
         between = F.substring(F.col("text"), s["at"].cast("int") + 1, (x["start"] - s["at"]).cast("int"))
         return F.struct(F.concat(s["done"], between, F.lit(mark)).alias("done"), (x["start"] + x["length"]).alias("at"))
 
-    built = F.aggregate("_spans", start, step, lambda s: F.concat(s["done"], F.substring(F.col("text"), s["at"].cast("int") + 1, F.length("text"))))
-    out = joined.withColumn("text", F.when(F.col("_spans").isNotNull(), built).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+    built = F.aggregate("spans", start, step, lambda s: F.concat(s["done"], F.substring(F.col("text"), s["at"].cast("int") + 1, F.length("text"))))
+    clean = joined.select("row", F.when(F.col("spans").isNotNull(), built).otherwise(F.col("text")).alias("text"), F.col("spans").isNotNull().alias("changed"))
+
+    def column(name: str) -> Column:
+        kept = F.col("row").getField(name)
+        if name == "text":
+            return F.col("text")
+        if name == "n_chars":
+            return F.when(F.col("changed"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(kept).alias(name)
+        return kept.alias(name)
+
+    return clean.select(*[column(c) for c in docs.columns])

@@ -15,7 +15,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id stays of each group; rows with a null id all stay."""
+    """The document with the least id stays of each group; rows with a null id all stay, and so do rows that repeat the id
+    that stays: they are the same document."""
     classes = jaccard_join.near_duplicates(docs).where("doc_id <> class_id").select("doc_id").distinct()
     return docs.join(classes, "doc_id", "left_anti").select(docs.columns)
 
