@@ -231,7 +231,7 @@ def pieces_of(text: str) -> list[str]:
 class Encoder:
     """Encodes and decodes in one task. Words met are kept until there are ``keep`` of them, then forgotten."""
 
-    def __init__(self, merger: Merger, lexicon: Lexicon | None = None, keep: int = 300_000):
+    def __init__(self, merger: Merger, lexicon: Lexicon | None = None, keep: int = 150_000):
         self.merger, self.lexicon, self.keep = merger, lexicon, keep
         self.known: dict[str, tuple[str, str]] = {}
         names = sorted(map(re.escape, merger.added), key=len, reverse=True)
