@@ -229,11 +229,13 @@ def pieces_of(text: str) -> list[str]:
 
 
 class Encoder:
-    """Encodes and decodes in one task. Words met are kept until there are ``keep`` of them, then forgotten."""
+    """Encodes and decodes. Words met are kept in two generations of ``keep`` words: when the younger is full, the older
+    one, less the words met again meanwhile, is forgotten."""
 
-    def __init__(self, merger: Merger, lexicon: Lexicon | None = None, keep: int = 150_000):
+    def __init__(self, merger: Merger, lexicon: Lexicon | None = None, keep: int = 100_000):
         self.merger, self.lexicon, self.keep = merger, lexicon, keep
         self.known: dict[str, tuple[str, str]] = {}
+        self.older: dict[str, tuple[str, str]] = {}
         names = sorted(map(re.escape, merger.added), key=len, reverse=True)
         self.special = re.compile("(" + "|".join(names) + ")") if names else None
 
@@ -243,11 +245,13 @@ class Encoder:
 
     def entry(self, word: str) -> tuple[str, str]:
         """Ids as text, decoded text."""
-        ids, tokens = self.word_ids(word), self.merger.tokens
-        value = (" ".join([str(i) for i in ids]), " ".join([tokens[i] for i in ids]))
+        value = self.known.get(word) or self.older.pop(word, None)
+        if value is None:
+            ids, tokens = self.word_ids(word), self.merger.tokens
+            value = (" ".join([str(i) for i in ids]), " ".join([tokens[i] for i in ids]))
         if len(word) <= 64:
             if len(self.known) >= self.keep:
-                self.known.clear()
+                self.known, self.older = {}, self.known
             self.known[word] = value
         return value
 

@@ -167,6 +167,15 @@ def test_bpe_equals_the_library(spark, rows):
         assert got[d].decoded_sha256 == brute.sha(got[d].decoded)
 
 
+def test_forgetting_words_changes_nothing(rows):
+    with open(WORD_BPE, encoding="utf-8") as file:
+        merger = bpe.Merger(json.load(file))
+    small, large = bpe.Encoder(merger, keep=7), bpe.Encoder(merger)
+    for _, text in [*rows, *rows]:
+        assert small.texts(text or "") == large.texts(text or "")
+        assert len(small.known) <= 7 and len(small.older) <= 7
+
+
 def test_lexicon_is_minimal_and_exact():
     with open(WORD_BPE, encoding="utf-8") as file:
         merger = bpe.Merger(json.load(file))
