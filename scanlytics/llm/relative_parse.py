@@ -60,17 +60,39 @@ def merged(starts: np.ndarray, ends: np.ndarray, size: int) -> list[tuple[int, i
     return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
 
 
+def factors_of(first: np.ndarray, n: np.ndarray, reference: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    """The parse of one document, from left to right: rows of start, length, reference, offset.
+
+    Given are runs of ``n`` windows from ``first`` on that document ``reference`` has from ``at`` on, no two of them over
+    one window. A factor goes on as long as the next window is found at the next place of the same reference. It takes
+    all words of its windows; the next factor takes the words after them, so no word is in two factors.
+    """
+    first, kept = np.unique(first, return_index=True)
+    if not len(first):
+        return np.zeros((0, 4), np.int64)
+    n, reference, shift = n[kept], reference[kept], at[kept] - first
+    goes_on = (first[1:] == first[:-1] + n[:-1]) & (reference[1:] == reference[:-1]) & (shift[1:] == shift[:-1])
+    head = np.flatnonzero(np.r_[True, ~goes_on])
+    last = np.r_[head[1:], len(first)] - 1
+    end = first[last] + n[last] - 1 + window
+    start = np.maximum(first[head], np.r_[0, end[:-1]])
+    return np.stack([start, end - start, reference[head], start + shift[head]], axis=1)
+
+
 def factor_documents(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 13, with_text: bool = False
 ) -> DataFrame:
-    """Per document: n_words, n_removed, kept_sha256, factors (word ranges found earlier) and, if asked, kept_text.
+    """Per document: n_words, n_removed, kept_sha256, factors and, if asked, kept_text.
 
-    Every document is parsed from left to right into factors: the longest runs of windows of ``window`` words that
-    occur in documents with a smaller id, which are all indexed. The index has one entry per content-defined cell:
-    the smallest document that holds it. A cell met whole before lies inside a factor; where a factor begins or ends
-    inside a cell, its windows are checked one by one against those of all cells with the same core. Words inside a
-    factor are removed.
+    Every document is parsed against the documents with smaller ids. The index has all their blocks, the content-defined
+    cells of windows of ``window`` words, each with the first place that has it (smallest id, then leftmost). The parse
+    goes from left to right: a factor ``[start, length, reference, offset]`` says that these words stand in document
+    ``reference`` from its word ``offset`` on, and goes on as long as the following blocks are found at the following
+    places. Where a block is not found whole, at the ends of factors, its windows are looked up one by one among those
+    of all blocks with the same core, with their first places. Words outside factors are literals and stay; words of
+    factors are removed. Factors share no word, and the document is its literals and what its factors refer to.
 
+    A factor is the longest along the first places of its blocks; one that only a later place continues is given as two.
     A null or empty text has no words. A null id is smaller than none and refers to none: such rows are kept whole.
     Rows that repeat an id must repeat its text; they are not earlier than each other and get equal results. Other
     columns are dropped.
@@ -83,14 +105,12 @@ def factor_documents(
     # written first, so that both sides of the join are shuffled and a core with very many cells can be split
     indexed = stored(indexed.where("core_first < core_last").select("core"), "cores")
     repeated = stored(cells.join(indexed, "core"), "cells")
-    wholes = stored(repeated.groupBy("core", "whole").agg(F.min("id").alias("whole_first")), "wholes")
+    wholes = stored(repeated.groupBy("core", "whole").agg(F.min(F.struct("id", "first")).alias("source")), "wholes")
     several = wholes.groupBy("core").agg(F.count("*").alias("wholes")).where("wholes > 1")
     edges = wholes.join(several.select("core"), "core", "left_semi").select("core", "whole")
-    marked = repeated.join(wholes, ["core", "whole"]).select(
-        "id", "core", "whole", (F.col("whole_first") < F.col("id")).alias("inside"), pack(F.col("first"), F.col("n")).alias("run")
-    )
-    inside = marked.where("inside").groupBy("id").agg(F.collect_list("run").alias("inside"))
-    open_cells = marked.where("NOT inside").join(edges, ["core", "whole"], "left_semi")
+    marked = repeated.join(wholes, ["core", "whole"]).withColumn("run", pack(F.col("first"), F.col("n")))
+    inside = _listed(marked.where("source.id < id"), "run", "source.first", "inside")
+    open_cells = marked.where("source.id >= id").join(edges, ["core", "whole"], "left_semi")
     to_check = open_cells.groupBy("id").agg(F.collect_list("run").alias("open"))
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -106,34 +126,39 @@ def factor_documents(
             yield pd.DataFrame(dict(zip(["id", "place"], columns)) | {"head": columns[2].view(np.int64), "tail": columns[3].view(np.int64)})
 
     checked = known.join(to_check, "id").mapInPandas(windows, "id bigint, place bigint, head bigint, tail bigint")
-    earliest = checked.groupBy("head", "tail").agg(F.min("id").alias("earliest"))
-    hits = checked.join(earliest, ["head", "tail"]).where("earliest < id")
-    hits = hits.groupBy("id").agg(F.collect_list("place").alias("places"))
+    earliest = checked.groupBy("head", "tail").agg(F.min(F.struct("id", "place")).alias("source"))
+    found = checked.join(earliest, ["head", "tail"]).where("source.id < id")
+    hits = _listed(found.withColumn("run", pack(F.col("place"), F.lit(1))), "run", "source.place", "hits")
     parsed = known.join(inside, "id", "left").join(hits, "id", "left")
-    rest = base.where("id IS NULL").withColumns({c: F.lit(None).cast("array<bigint>") for c in ("inside", "places")})
+    rest = base.where("id IS NULL").withColumns({c: F.lit(None).cast("array<bigint>") for c in ("inside", "hits")})
     outputs = f"{doc_id} bigint, n_words bigint, n_removed bigint, kept_sha256 string, factors array<array<bigint>>"
     names = ["n_words", "n_removed", "kept_sha256", "factors"] + ["kept_text"] * with_text
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for value, runs, places in zip(batch["text"], batch["inside"], batch["places"]):
+            for value, inside, hits in zip(batch["text"], batch["inside"], batch["hits"]):
                 words = value.encode("utf-8", "surrogatepass").split()  # bytes part at exactly these six blanks
-                starts, n = unpack(runs)
-                if places is not None:
-                    starts, n = np.r_[starts, places], np.r_[n, np.ones(len(places), np.int64)]
+                found = [np.asarray(x, np.int64).reshape(-1, 3) for x in (inside, hits) if x is not None]
                 factors, kept = [], words
-                if len(starts):
-                    factors = merged(starts, starts + n - 1 + window, len(words))
-                    bounds = [0, *[x for f in factors for x in f], len(words)]
+                if found:
+                    runs, reference, at = np.concatenate(found).T
+                    parse = factors_of(*unpack(runs), reference, at, window)
+                    factors = parse.tolist()
+                    bounds = [0, *np.cumsum(parse[:, :2], axis=1).ravel().tolist(), len(words)]
                     kept = [w for a, b in zip(bounds[::2], bounds[1::2]) for w in words[a:b]]
                 joined = b" ".join(kept)
                 digest = hashlib.sha256(joined).hexdigest()
-                row = [len(words), len(words) - len(kept), digest, [list(f) for f in factors]]
+                row = [len(words), len(words) - len(kept), digest, factors]
                 rows.append(row + [joined.decode("utf-8", "surrogatepass")] * with_text)
             made = pd.DataFrame(rows, columns=names, index=batch.index)
             yield pd.concat([batch["id"].rename(doc_id), made], axis=1)
 
-    columns = ["id", "text", "inside", "places"]
+    columns = ["id", "text", "inside", "hits"]
     return parsed.select(columns).unionByName(rest.select(columns)).mapInPandas(finish, outputs + ", kept_text string" * with_text)
 
+
+def _listed(runs: DataFrame, run: str, at: str, name: str) -> DataFrame:
+    """Per document one list of numbers, three for each run: the run, its reference and the place there."""
+    threes = F.collect_list(F.array(F.col(run), F.col("source.id"), F.col(at).cast("long")))
+    return runs.groupBy("id").agg(F.flatten(threes).alias(name))

@@ -63,6 +63,57 @@ def test_relative_parse(spark, rows):
     assert all(brute.sha(r.kept_text) == r.kept_sha256 for r in got.collect())
 
 
+def whole_again(parsed, rows):
+    """Each document's words from its literals and what its factors refer to, with the factors checked on the way."""
+    texts = {d: brute.words(t) for d, t in rows}
+    for r in parsed.collect():
+        literals, made = iter(brute.words(r.kept_text)), []
+        for start, length, reference, offset in r.factors:
+            assert reference < r.doc_id and length > 0 and start >= len(made)
+            made += [next(literals) for _ in range(start - len(made))]
+            made += texts[reference][offset : offset + length]
+        assert made + list(literals) == texts[r.doc_id]
+
+
+def test_factors_refer_to_what_they_stand_for(spark, rows):
+    parsed = relative_parse.factor_documents(docs(spark, rows), with_text=True)
+    whole_again(parsed, rows)
+    assert sum(len(r.factors) for r in parsed.collect()) > 20
+
+
+def test_factors_are_greedy(spark):
+    """With one document to refer to and no word twice in it, the parse is the plain greedy one."""
+    rng = random.Random(4)
+    source = ["s%d" % i for i in range(300)]
+    rows, expected = [(1, " ".join(source))], {1: []}
+    for d in range(2, 40):
+        words, factors = [], []
+        for _ in range(rng.randint(1, 5)):
+            words += ["n%d.%d" % (d, rng.randrange(10**6)) for _ in range(rng.randint(0, 9))]
+            at, n = rng.randrange(250), rng.choice([5, 12, 13, 14, 30, 120])
+            n = min(n, 300 - at)
+            words += source[at : at + n]
+        i = 0
+        while i < len(words):
+            at = int(words[i][1:]) if words[i][0] == "s" else 300
+            n = 0
+            while at + n < 300 and i + n < len(words) and words[i + n] == source[at + n]:
+                n += 1
+            if n >= 13:
+                factors.append([i, n, 1, at])
+            i += max(n, 1)
+        rows.append((d, " ".join(words)))
+        expected[d] = factors
+    got = relative_parse.factor_documents(docs(spark, rows))
+    assert {r.doc_id: r.factors for r in got.collect()} == expected
+
+
+def test_factors_of_runs():
+    made = relative_parse.factors_of(*map(np.array, ([0, 2, 3, 9, 30], [2, 1, 6, 1, 1], [1, 1, 1, 2, 2], [10, 12, 13, 5, 7])), 13)
+    assert made.tolist() == [[0, 21, 1, 10], [21, 1, 2, 17], [30, 13, 2, 7]]
+    assert relative_parse.factors_of(*[np.zeros(0, np.int64)] * 4, 13).shape == (0, 4)
+
+
 @pytest.mark.parametrize("window, hot", [(60, 64), (60, 1), (25, 64)])
 def test_suffix_dedup(spark, rows, window, hot):
     got = suffix_dedup.drop_repeats(docs(spark, rows), window=window, hot=hot)
