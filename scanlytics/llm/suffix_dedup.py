@@ -91,15 +91,16 @@ def repeated_windows(strings: list[bytes], counts: np.ndarray, window: int) -> l
 
 
 def drop_repeats(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 400, hot: int = 64, with_spans: bool = False
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 400, hot: int = 64, most: int = 1 << 20, with_spans: bool = False
 ) -> DataFrame:
     """Per document: n_bytes, n_removed, n_spans, kept_sha256 and, if asked, spans (byte ranges removed).
 
     A byte goes if a string of ``window`` bytes that covers it also starts anywhere else in the documents, each taken
     alone as UTF-8. Content-defined cells of windows whose core occurs once cannot repeat and are left out; cells met
     twice as a whole repeat in all their windows. What is left, one text for each different cell, is dealt out by core
-    and decided by suffix arrays. A core with more than ``hot`` different cells is dealt out in narrower cells first,
-    so that no core gathers in one task.
+    and decided by suffix arrays. A core with more than ``hot`` different cells is dealt out in narrower cells first.
+    A core whose texts still have more than ``most`` bytes gathers in no task: its windows are counted by two hashes of
+    64 bits each, wherever their texts lie.
 
     A null or empty text has no bytes. Rows with a null id are kept whole and repeat nothing. A row that repeats an id
     must repeat its text; it counts as another place, so strings of ``window`` bytes in it go. Other columns are
@@ -144,29 +145,49 @@ def drop_repeats(
     dealt = known.join(by_doc, "id").mapInPandas(cut_out, "core bigint, id bigint, first bigint, n int, bytes binary")
     # the rows that repeat an id have given the same cells once each
     dealt = dealt.dropDuplicates(["id", "first", "n", "core"]) if _ids_repeat(known) else dealt
+    dealt = stored(dealt, "byte-texts")
+    large = dealt.groupBy("core").agg(F.sum(F.length("bytes")).alias("size")).where(F.col("size") > most).select("core")
+    large = stored(large, "large-cores")
     tasks = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = dealt.repartition(tasks * 2, "core")
+    gathered = dealt.join(large, "core", "left_anti").repartition(tasks * 2, "core").sortWithinPartitions("core")
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """All rows of a core are in this task; texts are taken core by core, about 2 MB at a time."""
-        held: dict[int, list] = {}
+        """All rows of a core come one after the other; texts are taken by whole cores, about 2 MB at a time."""
+        waiting, size, rows, current = [], 0, [], None
         for batch in batches:
-            for row in zip(batch["core"], batch["id"], batch["first"], batch["n"], batch["bytes"]):
-                held.setdefault(row[0], []).append(row[1:])
-        waiting, size = [], 0
-        for core in list(held):
-            rows = held.pop(core)
-            if len(rows) > 1:
-                waiting += rows
-                size += sum(len(r[3]) for r in rows)
-            if size > 2_000_000:
-                yield _decided(waiting, window)
-                waiting, size = [], 0
+            for core, *row in zip(batch["core"], batch["id"], batch["first"], batch["n"], batch["bytes"]):
+                if core != current:
+                    if len(rows) > 1:
+                        waiting += rows
+                        size += sum(len(r[3]) for r in rows)
+                    rows, current = [], core
+                    if size > 2_000_000:
+                        yield _decided(waiting, window)
+                        waiting, size = [], 0
+                rows.append(row)
+        if len(rows) > 1:
+            waiting += rows
         if waiting:
             yield _decided(waiting, window)
 
-    partial = dealt.mapInPandas(decide, "id bigint, first bigint, n int")
-    spans = full.unionByName(partial).groupBy("id").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            n = batch["n"].to_numpy(np.int64)
+            lengths = batch["bytes"].map(len).to_numpy(np.int64)
+            rolling = S.Rolling(S.byte_units(b"".join(batch["bytes"])))
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            at = np.repeat(np.cumsum(lengths) - lengths, n) + step
+            head, tail = rolling.of(at, at + window // 2), rolling.of(at + window // 2, at + window)
+            yield pd.DataFrame(
+                {"id": np.repeat(batch["id"].to_numpy(), n), "first": np.repeat(batch["first"].to_numpy(), n) + step,
+                 "head": head.view(np.int64), "tail": tail.view(np.int64)}
+            )
+
+    spread = dealt.join(large, "core", "left_semi").mapInPandas(hashed, "id bigint, first bigint, head bigint, tail bigint")
+    again = spread.groupBy("head", "tail").agg(F.count("*").alias("times")).where("times > 1")
+    counted = spread.join(again, ["head", "tail"], "left_semi").select("id", "first", F.lit(1).alias("n"))
+    partial = gathered.mapInPandas(decide, "id bigint, first bigint, n int")
+    spans = full.unionByName(partial).unionByName(counted).groupBy("id").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
     parsed = known.join(spans, "id", "left").select("id", "text", "runs")
     rest = base.where("id IS NULL").withColumn("runs", F.lit(None).cast("array<struct<first:bigint,n:int>>"))
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["spans"] * with_spans

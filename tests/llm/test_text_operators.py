@@ -114,9 +114,9 @@ def test_factors_of_runs():
     assert relative_parse.factors_of(*[np.zeros(0, np.int64)] * 4, 13).shape == (0, 4)
 
 
-@pytest.mark.parametrize("window, hot", [(60, 64), (60, 1), (25, 64)])
-def test_suffix_dedup(spark, rows, window, hot):
-    got = suffix_dedup.drop_repeats(docs(spark, rows), window=window, hot=hot)
+@pytest.mark.parametrize("window, hot, most", [(60, 64, 1 << 20), (60, 1, 1 << 20), (25, 64, 1 << 20), (60, 1, 150), (25, 64, 0)])
+def test_suffix_dedup(spark, rows, window, hot, most):
+    got = suffix_dedup.drop_repeats(docs(spark, rows), window=window, hot=hot, most=most)
     assert as_rows(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.repeated_bytes(rows, window)
 
 
