@@ -15,6 +15,8 @@ _TEXT = ["codeLocationName", "versionName", "projectName", "state", "transitionR
 _SIZES = ["totalScanSize", "maxScanSize"]
 #: Mark in a column's metadata: typed, and cut to the full hour.
 _FULL_HOUR = {"scanlytics.full_hour": True}
+#: Key in the metadata of ``rows_all``: how many rows there are, at most.
+_ROWS = "scanlytics.rows"
 
 
 def full_hour(hour: Column) -> Column:
@@ -26,6 +28,16 @@ def is_full_hour(field: T.StructField) -> bool:
     return field.metadata.items() >= _FULL_HOUR.items() and isinstance(field.dataType, T.TimestampNTZType)
 
 
+def sized(activity: DataFrame, rows: int) -> DataFrame:
+    """Activity rows marked as ``rows`` rows at most, so that steps which spread them over tasks know how many they need."""
+    return activity.withColumn("rows_all", F.col("rows_all").alias("rows_all", metadata={_ROWS: rows}))
+
+
+def size_of(activity: DataFrame) -> int | None:
+    """The mark of ``sized``; None without one. A roll-up has none."""
+    return activity.schema["rows_all"].metadata.get(_ROWS)
+
+
 def enrich(df: DataFrame, hour_formats: Sequence[str] = ()) -> DataFrame:
     """Add the columns every plan works on.
 

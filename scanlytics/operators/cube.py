@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanlytics.functions import columns as C
+from scanlytics.functions.enrich import size_of
 from scanlytics.schema import STATUSES
+from scanlytics.session import tasks_for
 
 CUBE_KEYS = [
     "source_file",
@@ -48,6 +50,20 @@ def roll_up(activity: DataFrame, keys: Sequence[str], *kinds: str) -> DataFrame:
     return activity.groupBy(*keys).agg(*sums(*kinds))
 
 
+def deal_out(activity: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows marked with their number (``sized``) dealt out by ``keys`` to as many tasks as they need; others as they are.
+
+    For roll-ups by project and more, which leave nearly as many groups as rows: combining before the shuffle would hold
+    them all in hash maps and save little, and the groups of one task would grow with the input. A roll-up to these keys
+    needs no further shuffle. Keys without the project, or the project alone, have few values for their rows: those are
+    left as they are, to be combined first.
+    """
+    tasks = tasks_for(activity.sparkSession, size_of(activity))
+    if tasks is None or "projectName" not in keys or len(keys) < 2:
+        return activity
+    return activity.repartition(tasks, *keys)
+
+
 def not_null(df: DataFrame, *keys: str) -> DataFrame:
     """A null in an explicit grouping key is no group."""
     for key in keys:

@@ -21,7 +21,8 @@ def _profiles(activity: DataFrame, grains: Sequence[str], measure: str) -> DataF
     total needs no window. A row without an hour belongs to no block.
     """
     hours = K.not_null(activity, "hour_ts").withColumn("_block", C.block_start(F.col("hour_ts")))
-    reduced = K.roll_up(hours, [*K.finest_keys(grains), "_block"], measure)
+    keys = [*K.finest_keys(grains), "_block"]
+    reduced = K.roll_up(K.deal_out(hours, keys), keys, measure)
     cells = [
         F.sum(F.when(F.col("_block") == start, F.col(f"{measure}_{status}")).otherwise(0)).alias(f"{status}_{start}")
         for status in STATUSES

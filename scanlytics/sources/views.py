@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanlytics.functions import columns as C
-from scanlytics.functions.enrich import enrich
+from scanlytics.functions.enrich import enrich, sized
 from scanlytics.operators.ranking import row_positions
 from scanlytics.schema import LOG_COLUMNS
+from scanlytics.session import tasks_for
 
 _ROWS_PER_BUCKET = 1 << 20
 
@@ -71,11 +72,13 @@ def numbered_event_activity(spark: SparkSession, folder: str) -> DataFrame:
     return enrich(row_positions(rows, ["source_file"], "codeLocationId", bucket))
 
 
-def order_rows(spark: SparkSession, folder: str) -> DataFrame:
+def order_rows(spark: SparkSession, folder: str, lines_known: int | None = None) -> DataFrame:
     """One log row per order line: seven years, many projects, five files.
 
-    The dimensions are joined among themselves first, so the lines are shuffled once, on the order key.
+    The dimensions are joined among themselves first, so the lines are shuffled once, on the order key; with their
+    number known, to as many tasks as they need.
     """
+    tasks = tasks_for(spark, lines_known)
 
     def table(name):
         return _table(spark, folder, name)
@@ -83,7 +86,10 @@ def order_rows(spark: SparkSession, folder: str) -> DataFrame:
     place = table("nation").join(table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     customers = table("customer").join(place, F.col("c_nationkey") == F.col("n_nationkey"))
     orders = table("orders").join(customers, F.col("o_custkey") == F.col("c_custkey"))
-    lines = table("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = table("lineitem")
+    if tasks is not None:
+        lines, orders = lines.repartition(tasks, "l_orderkey"), orders.repartition(tasks, "o_orderkey")
+    lines = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     cents = "cast(round(l_extendedprice * 100) as bigint)"
     return lines.select(
         F.expr("concat(lower(r_name), '.csv')").alias("source_file"),
@@ -106,7 +112,8 @@ def order_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def order_activity(spark: SparkSession, folder: str) -> DataFrame:
-    return enrich(order_rows(spark, folder))
+    rows = _table(spark, folder, "lineitem").count()  # from the files' footers
+    return sized(enrich(order_rows(spark, folder, rows)), rows)
 
 
 def group_tree(spark: SparkSession, folder: str) -> DataFrame:
