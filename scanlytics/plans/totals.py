@@ -48,7 +48,7 @@ def summary_totals(activity: DataFrame, files: DataFrame | None = None) -> DataF
 def totals_by_grain(activity: DataFrame, grains: Sequence[str] = tuple(K.GRAINS)) -> DataFrame:
     """Totals at every combination of file, year and project in one pass; ``total_files`` is 1 for a grain with a file."""
     keys = list(dict.fromkeys([*K.finest_keys(grains), "projectName"]))
-    reduced = K.roll_up(activity, keys, "rows", "scans").withColumn("_project", F.col("projectName"))
+    reduced = K.roll_up(K.deal_out(activity, keys), keys, "rows", "scans").withColumn("_project", F.col("projectName"))
     unique = F.count_distinct("_project").alias("unique_projects")
     return _with_rate(K.by_grains(reduced, grains, [*_totals(), unique])).withColumn(
         "total_files", F.when(F.col("source_file").isNotNull(), F.lit(1).cast("bigint"))
@@ -64,7 +64,7 @@ def scan_types(activity: DataFrame) -> DataFrame:
 
 def scan_types_by_grain(activity: DataFrame, grains: Sequence[str] = tuple(K.GRAINS)) -> DataFrame:
     keys = [*K.finest_keys(grains), "scanType"]
-    reduced = K.roll_up(K.not_null(activity, "scanType"), keys, "rows", "scans")
+    reduced = K.roll_up(K.deal_out(K.not_null(activity, "scanType"), keys), keys, "rows", "scans")
     wide = K.by_grains(reduced, grains, K.sums("rows", "scans"), also_by=["scanType"])
     return K.unpivot_status(wide, ["grain", "source_file", "year", "projectName", "scanType"], ["scans"])
 
