@@ -17,7 +17,8 @@ def daily_counts(activity: DataFrame) -> DataFrame:
     """
     keys = ["projectName", "scanType", "scan_date"]
     date = F.coalesce(F.col("scan_date").cast("string"), F.when(~F.col("has_hour_column"), F.lit(UNKNOWN)))
-    return K.not_null(activity.withColumn("scan_date", date), *keys).groupBy(*keys).agg(F.sum("scans_all").alias("scans"))
+    dated = K.not_null(activity.withColumn("scan_date", date), *keys)
+    return K.deal_out(dated, keys).groupBy(*keys).agg(F.sum("scans_all").alias("scans"))
 
 
 def type_breakdown(activity: DataFrame) -> DataFrame:
