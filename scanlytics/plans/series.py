@@ -25,7 +25,7 @@ def hourly_series(
     """
     keys = [*by, "hour_ts"]
     kinds = list(dict.fromkeys(["rows", measure, "size"]))
-    hourly = K.roll_up(K.not_null(activity, *keys), keys, *kinds)
+    hourly = K.roll_up(K.deal_out(K.not_null(activity, *keys), keys), keys, *kinds)
     if projects is not None:
         hourly = hourly.join(projects.select("projectName"), "projectName", "left_semi")
     return K.unpivot_status(hourly, keys, [measure, "size"], statuses).withColumnRenamed(measure, "count")
