@@ -162,14 +162,15 @@ def _flagged_report(a: DataFrame) -> DataFrame:
 def _archives(rows: DataFrame, size: int = _ROWS_PER_ARCHIVE, to: str | None = None) -> DataFrame:
     """The rows as ZIP archives of at most ``size`` rows, one CSV per source file, headers padded; in the folder
     ``to``, if that is given."""
-    names = ["hour", *[c for c in V.VIEW_COLUMNS if c != "hour_ts"]]
+    names = ["hour", *[c for c in V.VIEW_COLUMNS if c not in ("hour_ts", "source_file")]]
 
     def pack(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         buffer = io.BytesIO()
         with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
-            for entry, part in frame.groupby("source_file"):
-                log = part[names].sort_values("codeLocationId").drop(columns=["source_file"]).add_prefix(" ").add_suffix(" ")
-                archive.writestr(f"logs/{entry}", log.to_csv(index=False))
+            frame = frame.sort_values("codeLocationId")
+            log = frame[names].set_axis([f" {c} " for c in names], axis=1)
+            for entry, at in sorted(frame.groupby("source_file").indices.items()):
+                archive.writestr(f"logs/{entry}", log.take(at).to_csv(index=False))
         name, content = f"archive-{key[0]}.zip", buffer.getvalue()
         if to is not None:
             with create_file(f"{to}/{name}") as file:

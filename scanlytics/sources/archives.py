@@ -7,22 +7,32 @@ landed table.
 
 from __future__ import annotations
 
+import io
+import itertools
 import posixpath
 import zipfile
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow import csv
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scanlytics.functions import columns as C
-from scanlytics.schema import LOG_COLUMNS, RAW_SCHEMA
+from scanlytics.schema import LOG_COLUMNS, NULL_TOKENS, RAW_SCHEMA
 from scanlytics.session import scratch_path
 from scanlytics.sources.remote import open_file, ship_code
 
 _CHUNK_ROWS = 50_000
+#: Entries up to this size are read at once.
+_SMALL_BYTES = 1 << 20
+#: What readers of CSV take differently: quotes, carriage returns, NUL, byte order marks, lines of white space.
+_MARKS = (b'"', b"\r", b"\0", b"\xef\xbb\xbf", b"\n ", b"\n\t", b"\n\n")
+#: Rows of small entries that are handed to Spark at once.
+_BATCH_ROWS = 10_000
 #: Tasks that read archives' directories.
 _LISTING_PARTS = 64
 #: Packed bytes that one task unpacks, unless an entry has more.
@@ -40,29 +50,80 @@ def csv_entries(archive: zipfile.ZipFile, path: str) -> list[str]:
     return entries
 
 
-def _entry_batches(archive: zipfile.ZipFile, path: str, entry: str, name: str | None = None) -> Iterator[pa.RecordBatch]:
-    """``name`` is what the rows give as their file, the entry's own by default."""
-    names = [f.name for f in RAW_SCHEMA]
+def _plain_table(data: bytes) -> pa.Table | None:
+    """The columns of CSV text without anything that readers take differently; None for any other.
+
+    Arrow reads a small text many times faster than pandas, whose reading is what counts: with quotes, carriage returns,
+    a byte order mark, names that are missing or repeat, or rows of other lengths it is left to pandas.
+    """
+    line, _, rest = data.partition(b"\n")
+    names = line.split(b",")
+    named = len(names) > 1 and all(n.strip() for n in names) and len({n.strip() for n in names}) == len(names)
+    if not named or not rest or any(mark in data for mark in _MARKS):
+        return None
+    try:
+        header = [n.decode() for n in names]
+        return csv.read_csv(
+            pa.BufferReader(data),
+            csv.ReadOptions(use_threads=False, block_size=len(data) + 1),
+            csv.ParseOptions(quote_char=False),
+            csv.ConvertOptions(
+                column_types=dict.fromkeys(header, pa.string()), null_values=NULL_TOKENS, strings_can_be_null=True
+            ),
+        )
+    except (pa.ArrowInvalid, UnicodeDecodeError):
+        return None
+
+
+def _entry_chunks(archive: zipfile.ZipFile, entry: str) -> Iterator[tuple[list[str], int, dict[str, pa.Array]]]:
+    """Names as written, the number of rows and the log's columns, by stripped name, of each chunk."""
     with archive.open(entry) as stream:
-        first = 0
-        for chunk in pd.read_csv(stream, dtype=str, index_col=False, chunksize=_CHUNK_ROWS):
+        source = stream
+        if archive.getinfo(entry).file_size <= _SMALL_BYTES:
+            data = stream.read()
+            plain = _plain_table(data)
+            if plain is not None:
+                plain = plain.combine_chunks()
+                columns = {c.strip(): plain.column(i) for i, c in enumerate(plain.column_names)}
+                yield [*columns], plain.num_rows, {c: columns[c].combine_chunks() for c in LOG_COLUMNS if c in columns}
+                return
+            source = io.BytesIO(data)
+        for chunk in pd.read_csv(source, dtype=str, index_col=False, chunksize=_CHUNK_ROWS):
             header = [str(c).strip() for c in chunk.columns]
             chunk.columns = header
-            n = len(chunk)
-            text = [
-                pa.array(chunk[c], pa.string(), from_pandas=True) if c in header else pa.nulls(n, pa.string())
-                for c in LOG_COLUMNS
-            ]
+            yield header, len(chunk), {c: pa.array(chunk[c], pa.string(), from_pandas=True) for c in LOG_COLUMNS if c in header}
+
+
+def _entry_batches(archive: zipfile.ZipFile, path: str, entry: str, name: str | None = None) -> Iterator[pa.RecordBatch]:
+    """``name`` is what the rows give as their file, the entry's own by default."""
+    names = [f.name for f in RAW_SCHEMA]
+    first = 0
+    for header, n, columns in _entry_chunks(archive, entry):
+        if n:
+            text = [columns[c] if c in columns else pa.nulls(n, pa.string()) for c in LOG_COLUMNS]
             origin = [
-                pa.array([path] * n, pa.string()),
-                pa.array([name or entry] * n, pa.string()),
-                pa.array(range(first, first + n), pa.int64()),
-                pa.array([header] * n, _HEADER_TYPE),
+                pa.repeat(pa.scalar(path, pa.string()), n),
+                pa.repeat(pa.scalar(name or entry, pa.string()), n),
+                pa.array(np.arange(first, first + n), pa.int64()),
+                pa.repeat(pa.scalar(header, _HEADER_TYPE), n),
             ]
             yield pa.RecordBatch.from_arrays([*origin, *text], names=names)
             first += n
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of ``_BATCH_ROWS`` or more, but for the last; a batch costs as much as hundreds of rows."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= _BATCH_ROWS:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, rows = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def unpack_archives(contents: DataFrame) -> DataFrame:
     """From ``path, content`` (one archive per row, as ``binaryFile`` reads them) to raw log rows."""
 
@@ -113,12 +174,15 @@ def plan_entries(files: DataFrame) -> DataFrame:
 
     def directories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            paths, names, sizes = [], [], []
             for path in batch.column("path").to_pylist():
                 with open_file(path) as raw, zipfile.ZipFile(raw) as archive:
                     found = csv_entries(archive, path)
-                    sizes = [archive.getinfo(name).compress_size for name in found]
-                columns = [pa.array([path] * len(found), pa.string()), pa.array(found, pa.string()), pa.array(sizes, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["archive", "entry", "packed_bytes"])
+                    paths += [path] * len(found)
+                    names += found
+                    sizes += [archive.getinfo(name).compress_size for name in found]
+            columns = [pa.array(paths, pa.string()), pa.array(names, pa.string()), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["archive", "entry", "packed_bytes"])
 
     ship_code()
     spread = files.select("path").repartition(_LISTING_PARTS, F.xxhash64("path"))
@@ -164,18 +228,22 @@ def common_folder(files: DataFrame) -> tuple[str, int]:
 
 def entry_rows(entries: DataFrame, folder: str, tasks: int) -> DataFrame:
     """Raw log rows of ``archive, entry, task``; ``folder`` is cut from the archive's path in ``source_file``, and with
-    an empty one the file has the entry's name alone."""
+    an empty one the file has the entry's name alone. A task opens an archive once for all its entries."""
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = (pair for b in batches for pair in zip(b.column("archive").to_pylist(), b.column("entry").to_pylist()))
+        for path, own in itertools.groupby(pairs, key=lambda pair: pair[0]):
+            with open_file(path) as raw, zipfile.ZipFile(raw) as archive:
+                for _, entry in own:
+                    name = f"{path.removeprefix(folder)}/{entry}" if folder else entry
+                    yield from _entry_batches(archive, path, entry, name)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, entry in zip(batch.column("archive").to_pylist(), batch.column("entry").to_pylist()):
-                name = f"{path.removeprefix(folder)}/{entry}" if folder else entry
-                with open_file(path) as raw, zipfile.ZipFile(raw) as archive:
-                    yield from _entry_batches(archive, path, entry, name)
+        return _gathered(unpacked(batches))
 
     ship_code()
-    dealt = entries.select("archive", "entry", "task").repartitionById(tasks, "task").select("archive", "entry")
-    return dealt.mapInArrow(read, RAW_SCHEMA)
+    dealt = entries.select("archive", "entry", "task").repartitionById(tasks, "task").sortWithinPartitions("archive", "entry")
+    return dealt.select("archive", "entry").mapInArrow(read, RAW_SCHEMA)
 
 
 def read_files(files: DataFrame, folder: str | None = None, task_bytes: int = _TASK_BYTES) -> DataFrame:

@@ -37,7 +37,10 @@ def refresh(spark: SparkSession, archives: str, snapshot: str, hour_formats: Seq
     """
     old = manifest(spark, snapshot)
     load = 0 if old is None else _newest(old) + 1
-    found = archive_files(spark, archives).withColumnRenamed("path", "archive")
+    # written once: every use of the list would ask the store for each archive's size and time again
+    listing = scratch_path(spark, "listing")
+    archive_files(spark, archives).withColumnRenamed("path", "archive").write.parquet(listing)
+    found = spark.read.schema("archive string, modificationTime timestamp, length bigint").parquet(listing)
     live = old.where("live") if old is not None else spark.createDataFrame([], _STATE)
     same = ["archive", "modificationTime", "length"]
     changed = found.join(live, same, "left_anti")

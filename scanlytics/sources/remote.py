@@ -16,8 +16,11 @@ def ship_code() -> None:
 
 def create_file(path: str):
     system, inner = _resolve(path)
-    system.create_dir(posixpath.dirname(inner), recursive=True)
-    return system.open_output_stream(inner)
+    try:
+        return system.open_output_stream(inner)
+    except FileNotFoundError:  # the folder is missing
+        system.create_dir(posixpath.dirname(inner), recursive=True)
+        return system.open_output_stream(inner)
 
 
 def create_folder(path: str) -> None:
