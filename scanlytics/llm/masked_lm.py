@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
-import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import compress, repeat
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from scanlytics.llm.common import stored, text_or_empty
 
 _CHUNK = 16_384
+#: Rows, and weights, that are worked on at once, so that they stay in a core's cache.
+_ROWS, _BLOCK = 2_048, 32_768
 #: Weights that a task sends for averaging in one row.
 _WEIGHTS = 4_096
 #: What Python's str.split() takes for white space, so that words counted in the JVM are those met in tasks.
@@ -60,8 +63,7 @@ class Shape:
             "bias": (self.hidden,),
             "classes": (self.hidden, self.classes),
             "class_bias": (self.classes,),
-            "members": (self.classes, self.hidden, self.members),
-            "member_bias": (self.classes, self.members),
+            "members": (self.classes, self.hidden + 1, self.members),  # the last row of each class is its bias
         }
 
 
@@ -83,82 +85,142 @@ class Network:
         size = sum(int(np.prod(s)) for s in shape.parts.values())
         new = cls(shape, np.zeros(size, np.float32))
         for name, scale in (("embed", 0.1), ("inner", 0.2), ("classes", 0.1), ("members", 0.1)):
-            new.at[name][...] = rng.normal(0, scale, shape.parts[name])
+            part = new.at[name][:, :-1] if name == "members" else new.at[name]
+            part[...] = rng.normal(0, scale, part.shape)
         table = np.zeros((shape.members, shape.classes))
         table.flat = shares  # id = member * classes + class
         new.at["class_bias"][...] = np.log(table.sum(axis=0))
-        new.at["member_bias"][...] = np.log(table / table.sum(axis=0)).T
+        new.at["members"][:, -1] = np.log(table / table.sum(axis=0)).T
         return new
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
-        """Of each row of ids around a place."""
+        """Of each row of ids around a place; a last column of ones stands for the bias of what follows."""
+        h = np.ones((len(around), self.shape.hidden + 1), self.weights.dtype)
+        total = h[:, :-1]
         if len(around) < self.shape.ids:
-            inner = self.at["inner"].reshape(-1, self.shape.hidden)
-            return np.maximum(self.at["embed"][around].reshape(len(around), len(inner)) @ inner + self.at["bias"], 0)
-        total = np.repeat(self.at["bias"][None, :], len(around), axis=0)
-        for k in range(2 * self.shape.side):
-            total += (self.at["embed"] @ self.at["inner"][k])[around[:, k]]
-        return np.maximum(total, 0)
+            np.matmul(self._near(around), self.at["inner"].reshape(-1, self.shape.hidden), out=total)
+            total += self.at["bias"]
+        else:
+            total[...] = self.at["bias"]
+            for k in range(2 * self.shape.side):
+                total += (self.at["embed"] @ self.at["inner"][k]).take(around[:, k], axis=0)
+        np.maximum(total, 0, out=total)
+        return h
+
+    def _near(self, around: np.ndarray) -> np.ndarray:
+        return self.at["embed"].take(around.ravel(), axis=0).reshape(len(around), around.shape[1] * self.shape.width)
 
     @staticmethod
-    def _log_softmax(x: np.ndarray) -> np.ndarray:
-        x = x - x.max(axis=1, keepdims=True)
-        return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
-
-    def _by_class(self, h: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]], np.ndarray]:
-        """The order of rows by class, (class, first, end) of each class met, and the members' logits in that order."""
-        order = np.argsort(own, kind="stable")
+    def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Turns each row x into exp(x - shift); returns the rows' sums and shifts. One shift serves rows that are alike."""
+        shift = x.max(initial=-np.inf)
+        if len(x) and shift - x.min() > 40:
+            shift = x.max(axis=1)
+            x -= shift[:, None]
+        else:
+            x -= shift
+        np.exp(x, out=x)
+        return x @ np.ones(x.shape[1], x.dtype), shift
+
+    def _log_probability(self, x: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Of one column of each row of logits, which are overwritten."""
+        own = x.take(np.arange(0, x.size, x.shape[1]) + of)
+        sums, shift = self._softmax(x)
+        return own - np.log(sums) - shift
+
+    def _miss(self, x: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+        """Turns logits into the gradient of the loss, a mean over n rows, by them."""
+        sums, _ = self._softmax(x)
+        x *= (1 / (sums * n))[:, None]
+        x.ravel()[np.arange(0, x.size, x.shape[1]) + of] -= 1 / n
+        return x
+
+    def _by_class(self, own: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """The order of rows by class, and (class, first, end) of each class met."""
+        order = np.argsort(_narrow(own, self.shape.classes), kind="stable")
         bounds = np.searchsorted(own[order], np.arange(self.shape.classes + 1)).tolist()
-        runs = [(c, a, b) for c, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])) if b > a]
-        sorted_h = h[order]
-        logits = self.at["member_bias"][own[order]]
-        for c, a, b in runs:
-            logits[a:b] += sorted_h[a:b] @ self.at["members"][c]
-        return order, runs, logits
+        return order, [(c, a, b) for c, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])) if b > a]
 
     def log_probabilities(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
         h = self.hidden(around)
-        own, member = target % self.shape.classes, target // self.shape.classes
-        at = np.arange(len(target))
-        out = self._log_softmax(h @ self.at["classes"] + self.at["class_bias"])[at, own]
-        order, _, logits = self._by_class(h, own)
-        out[order] += self._log_softmax(logits)[at, member[order]]
+        member, own = np.divmod(target, self.shape.classes)
+        out = np.empty(len(target), self.weights.dtype)
+        for low in range(0, len(target), _ROWS):
+            rows = slice(low, low + _ROWS)
+            out[rows] = self._log_probability(h[rows, :-1] @ self.at["classes"] + self.at["class_bias"], own[rows])
+        order, runs = self._by_class(own)
+        h, member = h.take(order, axis=0), member[order]
+        for c, a, b in runs:
+            out[order[a:b]] += self._log_probability(h[a:b] @ self.at["members"][c], member[a:b])
         return out
 
     def gradient(self, around: np.ndarray, target: np.ndarray) -> Network:
         """Of the mean loss."""
+        g = Network(self.shape, np.zeros_like(self.weights))
+        ids, rows = self._gradient_into(g, around, target)
+        g.at["embed"][ids] = rows
+        return g
+
+    def _gradient_into(self, g: Network, around: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Writes the gradient into ``g``, except that of the embeddings: returns the ids met and their rows."""
         n, shape = len(target), self.shape
-        at = np.arange(n)
-        g = Network(shape, np.zeros_like(self.weights))
         h = self.hidden(around)
-        own, member = target % shape.classes, target // shape.classes
-        d = np.exp(self._log_softmax(h @ self.at["classes"] + self.at["class_bias"]))
-        d[at, own] -= 1
-        d /= n
-        g.at["classes"][...] = h.T @ d
-        g.at["class_bias"][...] = d.sum(axis=0)
+        plain = h[:, :-1]
+        member, own = np.divmod(target, shape.classes)
+        d = self._miss(plain @ self.at["classes"] + self.at["class_bias"], own, n)
+        np.matmul(plain.T, d, out=g.at["classes"])
+        np.matmul(np.ones(n, d.dtype), d, out=g.at["class_bias"])
         dh = d @ self.at["classes"].T
-        order, runs, logits = self._by_class(h, own)
-        d = np.exp(self._log_softmax(logits))
-        d[at, member[order]] -= 1
-        d /= n
-        sorted_h, sorted_dh = h[order], dh[order]
+        order, runs = self._by_class(own)
+        sorted_h, back = h.take(order, axis=0), np.empty_like(dh)
+        logits = np.empty((n, shape.members), h.dtype)
+        members, g_members = self.at["members"], g.at["members"]
+        for c, a, b in runs:
+            np.matmul(sorted_h[a:b], members[c], out=logits[a:b])
+        d = self._miss(logits, member[order], n)
         for c, a, b in runs:
-            g.at["members"][c] = sorted_h[a:b].T @ d[a:b]
-            g.at["member_bias"][c] = d[a:b].sum(axis=0)
-            sorted_dh[a:b] += d[a:b] @ self.at["members"][c].T
-        dh[order] = sorted_dh
-        dh[h <= 0] = 0
-        g.at["bias"][...] = dh.sum(axis=0)
+            of = d[a:b]
+            np.matmul(sorted_h[a:b].T, of, out=g_members[c])
+            np.matmul(of, members[c, :-1].T, out=back[a:b])
+        if len(runs) < shape.classes:
+            g_members[np.setdiff1d(np.arange(shape.classes), [c for c, _, _ in runs])] = 0
+        dh[order] += back
+        dh *= plain > 0
+        np.matmul(np.ones(n, dh.dtype), dh, out=g.at["bias"])
         inner = self.at["inner"].reshape(-1, shape.hidden)
-        g.at["inner"][...] = (self.at["embed"][around].reshape(n, len(inner)).T @ dh).reshape(self.at["inner"].shape)
-        back = (dh @ inner.T).reshape(-1, shape.width)
-        flat = around.ravel()
-        order = np.argsort(flat, kind="stable")
-        heads = np.flatnonzero(np.r_[True, flat[order][1:] != flat[order][:-1]]) if n else order
-        if n:
-            g.at["embed"][flat[order][heads]] = np.add.reduceat(back[order], heads, axis=0)
-        return g
+        np.matmul(self._near(around).T, dh, out=g.at["inner"].reshape(inner.shape))
+        return _sums_by_id((dh @ inner.T).reshape(-1, shape.width), _narrow(around.ravel(), shape.ids + 1))
+
+    def learn(self, around: np.ndarray, target: np.ndarray, squares: Network, g: Network, rate: float) -> None:
+        """One AdaGrad step on these places; ``squares`` are the sums of squared gradients, ``g`` is room for this one."""
+        ids, rows = self._gradient_into(g, around, target)
+        embed, met = self.at["embed"], squares.at["embed"].take(ids, axis=0)
+        met += rows * rows
+        squares.at["embed"][ids] = met
+        embed[ids] -= rate * rows / np.sqrt(met)
+        for low in range(embed.size, len(self.weights), _BLOCK):  # the embeddings lie first
+            part = slice(low, low + _BLOCK)
+            by, total = g.weights[part], squares.weights[part]
+            room = by * by
+            total += room
+            np.sqrt(total, out=room)
+            np.divide(by, room, out=room)
+            room *= rate
+            self.weights[part] -= room
+
+
+def _narrow(values: np.ndarray, end: int) -> np.ndarray:
+    """Numbers from 0 below ``end``, in two bytes if they fit: those are sorted by digits."""
+    return values.astype(np.uint16) if end <= 1 << 16 else values
+
+
+def _sums_by_id(rows: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ids, and the sum of each one's rows."""
+    order = np.argsort(ids, kind="stable")
+    ids = ids[order]
+    heads = np.flatnonzero(np.r_[np.ones(min(len(ids), 1), bool), ids[1:] != ids[:-1]])
+    rows = rows.take(order, axis=0)
+    return ids[heads].astype(np.int64), np.add.reduceat(rows, heads, axis=0) if len(heads) else rows
 
 
 class Words:
@@ -170,11 +232,17 @@ class Words:
 
     def shared(self, word: str) -> int:
         """The id of a word that has none of its own."""
-        return self.shape.known + zlib.crc32(word.encode("utf-8", "surrogatepass")) % self.shape.unknown
+        return self.shape.known + crc32(word.encode("utf-8", "surrogatepass")) % self.shape.unknown
 
     def of(self, text: str) -> np.ndarray:
-        get, shared = self.ids.get, self.shared
-        return np.array([i if (i := get(w)) is not None else shared(w) for w in text.lower().split()], np.int64)
+        return self.of_words(text.lower().split())
+
+    def of_words(self, words: list[str]) -> np.ndarray:
+        ids = np.fromiter(map(self.ids.get, words, repeat(-1)), np.int64, len(words))
+        other = ids < 0
+        rest = [crc32(w.encode("utf-8", "surrogatepass")) for w in compress(words, other.tolist())]
+        ids[other] = np.array(rest, np.int64) % self.shape.unknown + self.shape.known
+        return ids
 
     def around(self, ids: np.ndarray) -> np.ndarray:
         side = self.shape.side
@@ -215,7 +283,7 @@ def shared_totals(counted: DataFrame, words: Words) -> np.ndarray:
 
 def learnt(text: str, words: int, phase: int, every: int) -> np.ndarray:
     """The places of a text of so many words that a round learns; the phases 0 to ``every`` - 1 have each place once."""
-    return np.arange((phase + zlib.crc32(text[:64].encode("utf-8", "surrogatepass"))) % every, words, every)
+    return np.arange((phase + crc32(text[:64].encode("utf-8", "surrogatepass"))) % every, words, every)
 
 
 def train_round(docs: DataFrame, words: Words, network: Network, phase: int, text: str = "text", every: int = 1, batch: int = 1_024, rate: float = 0.05) -> Network:
@@ -228,16 +296,14 @@ def train_round(docs: DataFrame, words: Words, network: Network, phase: int, tex
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         local = Network(shape, start.copy())
-        squares = np.full_like(start, 1e-3)
+        squares, room = Network(shape, np.full_like(start, 1e-3)), Network(shape, np.zeros_like(start))
         held, size, seen = [], 0, 0
 
         def learn():
-            nonlocal squares, seen
+            nonlocal seen
             around, target = (np.concatenate(x) for x in zip(*held))
             for low in range(0, len(target), batch):
-                g = local.gradient(around[low : low + batch], target[low : low + batch]).weights
-                squares += g * g
-                local.weights[...] -= rate * g / np.sqrt(squares)
+                local.learn(around[low : low + batch], target[low : low + batch], squares, room, rate)
             seen += len(target)
 
         for rows in batches:
@@ -247,7 +313,8 @@ def train_round(docs: DataFrame, words: Words, network: Network, phase: int, tex
                     continue
                 places = learnt(value, len(ids), phase, every)
                 if len(places):
-                    held.append((words.around(ids)[places], ids[places]))
+                    around = words.around(ids)
+                    held.append((around, ids) if every == 1 else (around[places], ids[places]))
                     size += len(places)
                 if size >= _CHUNK:
                     learn()
@@ -296,7 +363,8 @@ def score(
                     sums[:] += np.bincount(owner, network.log_probabilities(around, target), len(sums))
 
             for k, value in enumerate(rows["text"]):
-                ids = words.of(value)
+                split = value.lower().split()
+                ids = words.of_words(split)
                 lengths[k] = len(ids)
                 around = words.around(ids)
                 for low in range(0, len(ids), _CHUNK):
@@ -307,9 +375,9 @@ def score(
                         held, size = [], 0
                 seldom = Counter()
                 if shares is not None:
-                    shared = ids[ids >= words.shape.known]
-                    sums[k] -= shares[shared - words.shape.known].sum()
-                    seldom = Counter(w for w in value.lower().split() if w not in words.ids)
+                    shared = ids >= words.shape.known
+                    sums[k] -= shares[ids[shared] - words.shape.known].sum()
+                    seldom = Counter(compress(split, shared.tolist()))
                 rare.append(list(seldom))
                 times.append(list(seldom.values()))
             flush()

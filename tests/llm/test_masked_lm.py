@@ -62,3 +62,27 @@ def test_defaults_learn_order(spark):
     mixed = [(10_000 + d, " ".join(rng.sample(t.split(), 300))) for d, t in rows[:20]]
     got = scores(masked_lm.score_documents(table(spark, rows + mixed)))
     assert min(got[d] for d in range(20)) > max(got[d] for d, _ in mixed) + 1
+
+
+def test_a_step_is_adagrad_on_the_whole_gradient():
+    shape = masked_lm.Shape(classes=3, members=4, unknown=2, side=1, width=3, hidden=5)
+    rng = np.random.default_rng(3)
+    weights = masked_lm.Network.start(shape, np.full(12, 1 / 12)).weights.astype(np.float64)
+    network, squares = masked_lm.Network(shape, weights.copy()), masked_lm.Network(shape, np.full_like(weights, 1e-3))
+    room, total = masked_lm.Network(shape, np.zeros_like(weights)), squares.weights.copy()
+    for classes in (3, 1, 3):  # a class that is not met keeps its weights
+        around, target = rng.integers(0, 13, (20, 2)), rng.integers(0, 4, 20) * 3 + rng.integers(0, classes, 20)
+        g = masked_lm.Network(shape, weights).gradient(around, target).weights
+        total += g * g
+        weights = weights - 0.05 * g / np.sqrt(total)
+        network.learn(around, target, squares, room, 0.05)
+        assert np.allclose(network.weights, weights) and np.allclose(squares.weights, total)
+
+
+def test_far_logits_are_told_apart():
+    shape = masked_lm.Shape(classes=2, members=2, unknown=1, side=1, width=2, hidden=2)
+    network = masked_lm.Network.start(shape, np.full(4, 0.25))
+    network.at["class_bias"][:] = [500, -500]
+    network.at["members"][:, -1] = [[-300, 300], [0, 0]]
+    got = network.log_probabilities(np.full((4, 2), 4), np.arange(4))
+    assert np.all(np.isfinite(got)) and np.allclose(got, [-600, -1000, 0, -1000], atol=2)
