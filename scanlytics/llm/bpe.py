@@ -13,6 +13,7 @@ import unicodedata
 import uuid
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
+from itertools import chain, groupby
 
 import numpy as np
 import pandas as pd
@@ -31,6 +32,10 @@ PIECES = regex.compile(
 USUAL_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|[_\x1c-\x1f])+")
 UNUSUAL = re.compile("[²³¹¼½¾\u0250-\U0010ffff]")
 END = "</w>"
+#: Characters of the texts whose new words are merged together, if there is more than one text.
+_CHARS = 1 << 18
+#: Words of at most so many bytes are merged together with those of like length; a number above all ranks and token numbers.
+_WIDTHS, _NONE = (8, 12, 16, 32), 1 << 30
 
 
 def byte_symbols() -> list[str]:
@@ -52,6 +57,35 @@ class Merger:
         self.added = {a["content"]: a["id"] for a in spec.get("added_tokens", [])}
         self.tokens |= {i: t for t, i in self.added.items()}
         self.symbols = byte_symbols()
+        self._number()
+
+    def _number(self) -> None:
+        """Numbers for the merging of many words: a token's is its id, what has none gets one above all ids."""
+        self.top = max(self.vocab.values(), default=-1)
+        numbers = dict(self.vocab)
+        of = lambda token: numbers.setdefault(token, self.top + 1 + len(numbers))
+        self.inner = np.array([of(s) for s in self.symbols], np.int64)
+        self.last = np.array([of(s + END) for s in self.symbols], np.int64)
+        count = len(self.ranks)  # arrays straight from iterators, as each worker makes them
+        pairs = np.fromiter((of(a) * _NONE + of(b) for a, b in self.ranks), np.int64, count)
+        ranks = np.fromiter(self.ranks.values(), np.int64, count)
+        results = np.fromiter((of(a + b) for a, b in self.ranks), np.int64, count)
+        self.results = np.zeros(max(self.ranks.values(), default=-1) + 1, np.int64)
+        self.results[ranks] = results
+        # open addressing: a pair lies in the first free slot from its own on; the last slots are for those that run over
+        self.bits = max(8, count.bit_length() + 1)
+        self.slots = np.full((1 << self.bits) + count + 1, -1, np.int64)
+        self.slot_ranks = np.full(len(self.slots), _NONE, np.int64)
+        at, todo = self._slot(pairs), np.arange(count)
+        while len(todo):
+            free = todo[self.slots[at[todo]] < 0]
+            _, first = np.unique(at[free], return_index=True)
+            self.slots[at[free[first]]], self.slot_ranks[at[free[first]]] = pairs[free[first]], ranks[free[first]]
+            todo = todo[self.slots[at[todo]] != pairs[todo]]
+            at[todo] += 1
+
+    def _slot(self, pairs: np.ndarray) -> np.ndarray:
+        return ((pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def pieces(self, word: str) -> list[str]:
         """The word's tokens: the pair of lowest rank merges first, the leftmost among equals."""
@@ -99,6 +133,67 @@ class Merger:
     def ids(self, word: str) -> list[int]:
         return [self.vocab[p] for p in self.pieces(word) if p in self.vocab]
 
+    def _ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of numbers, _NONE if it does not merge or one of them is -1."""
+        pairs = np.where((left < 0) | (right < 0), _NONE * _NONE, left * _NONE + right)
+        at = self._slot(pairs)
+        found = self.slots[at]
+        ranks = np.where(found == pairs, self.slot_ranks[at], _NONE)
+        todo = np.nonzero((found != pairs) & (found >= 0))
+        while len(todo[0]):
+            at[todo] += 1
+            found = self.slots[at[todo]]
+            same = found == pairs[todo]
+            ranks[tuple(t[same] for t in todo)] = self.slot_ranks[at[tuple(t[same] for t in todo)]]
+            todo = tuple(t[(found >= 0) & ~same] for t in todo)
+        return ranks
+
+    def ids_of_many(self, words: list[str]) -> list[list[int]]:
+        """``ids`` of each word, merging in all words of like length at once."""
+        raw = [w.encode("utf-8") for w in words]
+        kind = np.searchsorted(_WIDTHS, [len(r) for r in raw])
+        out: list = [None] * len(raw)
+        for k in np.unique(kind).tolist():
+            some = np.flatnonzero(kind == k).tolist()
+            made = self._merge_many([raw[i] for i in some]) if k < len(_WIDTHS) else [self.ids(words[i]) for i in some]
+            for i, ids in zip(some, made):
+                out[i] = ids
+        return out
+
+    def _merge_many(self, raw: list[bytes]) -> list[list[int]]:
+        lengths = np.array([len(r) for r in raw], np.int64)
+        width, at = int(lengths.max()), np.arange(len(raw))
+        if not lengths.min():
+            return [ids for r in raw for ids in (self._merge_many([r]) if r else [[]])]
+        table = np.frombuffer(b"".join([r.ljust(width, b"\0") for r in raw]), np.uint8).reshape(-1, width)
+        parts = self.inner[table]
+        parts[at, lengths - 1] = self.last[table[at, lengths - 1]]
+        parts[np.arange(width) >= lengths[:, None]] = -1
+        ranks = self._ranks_of(parts[:, :-1], parts[:, 1:])
+        out, who = np.full((len(raw), width), -1, np.int64), at
+        while ranks.shape[1]:
+            i = ranks.argmin(axis=1)
+            least = ranks[at, i]
+            if (done := least == _NONE).any():
+                out[who[done], : parts.shape[1]] = parts[done]
+                parts, ranks, who, i, least = (x[~done] for x in (parts, ranks, who, i, least))
+                at = np.arange(len(who))
+            if not len(who):
+                break
+            # each word left has one part less, and the pairs beside the new part have new ranks
+            columns = np.arange(parts.shape[1] - 1)
+            parts = np.take_along_axis(parts, columns + (columns > i[:, None]), 1)
+            parts[at, i] = self.results[least]
+            ranks = np.take_along_axis(ranks, columns[:-1] + (columns[:-1] >= i[:, None]), 1)
+            for by in (1, 0):
+                has = np.flatnonzero((i >= by) & (i - by < ranks.shape[1]))
+                k = i[has] - by
+                ranks[has, k] = self._ranks_of(parts[has, k], parts[has, k + 1])
+        out[who, : parts.shape[1]] = parts
+        kept = (out >= 0) & (out <= self.top)
+        flat, ends = out[kept].tolist(), np.cumsum(kept.sum(axis=1)).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
 
 def compile_lexicon(entries: Iterable[tuple[bytes, int]]) -> dict[str, np.ndarray]:
     """The minimal acyclic transducer of ``entries`` (unique keys in byte order): equal suffixes share their states.
@@ -239,22 +334,42 @@ class Encoder:
         names = sorted(map(re.escape, merger.added), key=len, reverse=True)
         self.special = re.compile("(" + "|".join(names) + ")") if names else None
 
+    def _listed(self, word: str) -> list[int] | None:
+        return self.lexicon.ids(word.encode("utf-8")) if self.lexicon is not None and len(word) <= 64 else None
+
     def word_ids(self, word: str) -> list[int]:
-        found = self.lexicon.ids(word.encode("utf-8")) if self.lexicon is not None and len(word) <= 64 else None
+        found = self._listed(word)
         return self.merger.ids(word) if found is None else found
 
+    def _value(self, ids: list[int]) -> tuple[str, str]:
+        tokens = self.merger.tokens
+        return " ".join([str(i) for i in ids]), " ".join([tokens[i] for i in ids])
+
+    def _keep(self, word: str, value: tuple[str, str]) -> None:
+        if len(self.known) >= self.keep:
+            self.known, self.older = {}, self.known
+        self.known[word] = value
+
     def entry(self, word: str) -> tuple[str, str]:
         """Ids as text, decoded text."""
         value = self.known.get(word) or self.older.pop(word, None)
         if value is None:
-            ids, tokens = self.word_ids(word), self.merger.tokens
-            value = (" ".join([str(i) for i in ids]), " ".join([tokens[i] for i in ids]))
+            value = self._value(self.word_ids(word))
         if len(word) <= 64:
-            if len(self.known) >= self.keep:
-                self.known, self.older = {}, self.known
-            self.known[word] = value
+            self._keep(word, value)
         return value
 
+    def meet(self, words: Iterable[str]) -> None:
+        """Keeps the words that are not known yet; those not in the lexicon are merged together."""
+        unlisted: list[str] = []
+        for word in set(words).difference(self.known, self.older):
+            if (ids := self._listed(word)) is not None:
+                self._keep(word, self._value(ids))
+            elif len(word) <= 64:
+                unlisted.append(word)
+        for word, ids in zip(unlisted, self.merger.ids_of_many(unlisted)):
+            self._keep(word, self._value(ids))
+
     def parts(self, text: str) -> list[tuple[str, str]]:
         get, entry = self.known.get, self.entry
         if self.special is None or not self.special.search(text):
@@ -269,9 +384,23 @@ class Encoder:
 
     def texts(self, text: str) -> tuple[str, str]:
         """All ids joined by one space, and the decoded text."""
-        parts = self.parts(text)
+        return self._joined(self.parts(text))
+
+    @staticmethod
+    def _joined(parts: list[tuple[str, str]]) -> tuple[str, str]:
         return " ".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
 
+    def texts_of(self, texts: list[str]) -> Iterator[tuple[str, str]]:
+        """``texts`` of each."""
+        ends = np.cumsum([len(t) for t in texts]) // _CHARS
+        for _, group in groupby(zip(ends.tolist(), texts), key=lambda x: x[0]):
+            some = [t for _, t in group]
+            cut = [None if self.special is not None and self.special.search(t) else pieces_of(t) for t in some]
+            self.meet(chain.from_iterable(words or () for words in cut))
+            for text, words in zip(some, cut):
+                get, entry = self.known.get, self.entry
+                yield self.texts(text) if words is None else self._joined([get(word) or entry(word) for word in words])
+
     def encode(self, text: str) -> list[int]:
         return [int(i) for i in self.texts(text)[0].split()]
 
@@ -345,8 +474,7 @@ def encode_documents(
         encoder = worker_encoder(lexicon_name, spec_name)
         for batch in batches:
             rows = []
-            for value in batch[text]:
-                ids, decoded = encoder.texts(value or "")
+            for ids, decoded in encoder.texts_of([value or "" for value in batch[text]]):
                 row = (ids.count(" ") + bool(ids), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
                 if with_ids:
                     row += ([int(i) for i in ids.split()], decoded)

@@ -369,3 +369,17 @@ def test_null_ids_and_repeated_rows(spark):
     assert by(suffix_dedup.drop_repeats(table, window=50), "doc_id", "n_removed") == sorted([(None, 0), (None, 0), (1, n), (1, n), (2, n)], key=str)
     assert fingerprints.fingerprint_edits(table).count() == masked_lm.score_documents(table).count() == 5
     assert secrets_scan.redact(table).count() == 5
+
+
+def test_bpe_many_words_at_once():
+    with open(WORD_BPE, encoding="utf-8") as file:
+        spec = json.load(file)
+    rng = random.Random(11)
+    words = ["".join(rng.choice("aeinrsthé漢😀'0_") for _ in range(rng.randint(0, 14))) for _ in range(3_000)] + ["a" * 33, "é" * 40, "x"]
+    sparse = {"model": {"vocab": {"a": 0, "n": 5, "an": 2, "an</w>": 9, "n</w>": 4}, "merges": ["a n", "a n</w>", "q t"]}}
+    for merger in (bpe.Merger(spec), bpe.Merger(sparse), bpe.Merger({"model": {"vocab": {"a": 0}, "merges": []}})):
+        assert merger.ids_of_many(words) == [merger.ids(w) for w in words]
+    merger = bpe.Merger(spec)
+    texts = [" ".join(rng.choices(words, k=40)) for _ in range(60)] + ["", "ab " * 400_000, "the <unk> end"]
+    got = list(bpe.Encoder(merger, keep=50).texts_of(texts))
+    assert got == [bpe.Encoder(merger).texts(t) for t in texts] and list(bpe.Encoder(merger).texts_of([])) == []
