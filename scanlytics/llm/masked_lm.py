@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass
-from itertools import compress, repeat
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +21,10 @@ _CHUNK = 16_384
 _ROWS, _BLOCK = 2_048, 32_768
 #: Weights that a task sends for averaging in one row.
 _WEIGHTS = 4_096
-#: What Python's str.split() takes for white space, so that words counted in the JVM are those met in tasks.
-_SPACE = r"[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
+#: Bytes of texts that are split at once.
+_BYTES = 1 << 21
+#: So many words after the frequent ones are sent to tasks with their counts; those of all others are joined.
+_SENT = 65_536
 #: The count that a word gets which the counted documents do not have.
 _UNSEEN = 0.5
 
@@ -71,12 +73,15 @@ class Network:
     """Embeddings of the words around one go through one rectified layer into two softmaxes."""
 
     def __init__(self, shape: Shape, weights: np.ndarray):
-        self.shape, self.weights, self.at = shape, weights, {}
+        self.shape, self.weights, self.at, self.first = shape, weights, {}, {}
         start = 0
         for name, size in shape.parts.items():
             count = int(np.prod(size))
-            self.at[name] = weights[start : start + count].reshape(size)
+            self.first[name], self.at[name] = start, weights[start : start + count].reshape(size)
             start += count
+        # of each class, and without its bias turned for the way back; taken here once, not in each step
+        self.member = list(self.at["members"])
+        self.member_back = [m[:-1].T for m in self.member]
 
     @classmethod
     def start(cls, shape: Shape, shares: np.ndarray, seed: int = 5) -> Network:
@@ -93,17 +98,25 @@ class Network:
         new.at["members"][:, -1] = np.log(table / table.sum(axis=0)).T
         return new
 
-    def hidden(self, around: np.ndarray) -> np.ndarray:
+    def _with_bias(self, name: str) -> np.ndarray:
+        """A matrix and the bias that lies behind it, as its last row."""
+        start, columns = self.first[name], self.at[name].shape[1]
+        return self.weights[start : start + self.at[name].size + columns].reshape(-1, columns)
+
+    def hidden(self, around: np.ndarray, near: np.ndarray | None = None) -> np.ndarray:
         """Of each row of ids around a place; a last column of ones stands for the bias of what follows."""
         h = np.ones((len(around), self.shape.hidden + 1), self.weights.dtype)
         total = h[:, :-1]
-        if len(around) < self.shape.ids:
-            np.matmul(self._near(around), self.at["inner"].reshape(-1, self.shape.hidden), out=total)
+        if near is not None or len(around) < self.shape.ids:
+            np.matmul(self._near(around) if near is None else near, self.at["inner"].reshape(-1, self.shape.hidden), out=total)
             total += self.at["bias"]
         else:
             total[...] = self.at["bias"]
-            for k in range(2 * self.shape.side):
-                total += (self.at["embed"] @ self.at["inner"][k]).take(around[:, k], axis=0)
+            each = [self.at["embed"] @ inner for inner in self.at["inner"]]
+            for low in range(0, len(around), _ROWS):
+                part = total[low : low + _ROWS]
+                for of, ids in zip(each, around[low : low + _ROWS].T):
+                    part += of.take(ids, axis=0)
         np.maximum(total, 0, out=total)
         return h
 
@@ -147,11 +160,11 @@ class Network:
         out = np.empty(len(target), self.weights.dtype)
         for low in range(0, len(target), _ROWS):
             rows = slice(low, low + _ROWS)
-            out[rows] = self._log_probability(h[rows, :-1] @ self.at["classes"] + self.at["class_bias"], own[rows])
+            out[rows] = self._log_probability(h[rows] @ self._with_bias("classes"), own[rows])
         order, runs = self._by_class(own)
         h, member = h.take(order, axis=0), member[order]
         for c, a, b in runs:
-            out[order[a:b]] += self._log_probability(h[a:b] @ self.at["members"][c], member[a:b])
+            out[order[a:b]] += self._log_probability(np.dot(h[a:b], self.member[c]), member[a:b])
         return out
 
     def gradient(self, around: np.ndarray, target: np.ndarray) -> Network:
@@ -164,31 +177,29 @@ class Network:
     def _gradient_into(self, g: Network, around: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Writes the gradient into ``g``, except that of the embeddings: returns the ids met and their rows."""
         n, shape = len(target), self.shape
-        h = self.hidden(around)
-        plain = h[:, :-1]
+        near = self._near(around)
+        h = self.hidden(around, near)
         member, own = np.divmod(target, shape.classes)
-        d = self._miss(plain @ self.at["classes"] + self.at["class_bias"], own, n)
-        np.matmul(plain.T, d, out=g.at["classes"])
-        np.matmul(np.ones(n, d.dtype), d, out=g.at["class_bias"])
+        d = self._miss(h @ self._with_bias("classes"), own, n)
+        np.matmul(h.T, d, out=g._with_bias("classes"))
         dh = d @ self.at["classes"].T
         order, runs = self._by_class(own)
         sorted_h, back = h.take(order, axis=0), np.empty_like(dh)
         logits = np.empty((n, shape.members), h.dtype)
-        members, g_members = self.at["members"], g.at["members"]
-        for c, a, b in runs:
-            np.matmul(sorted_h[a:b], members[c], out=logits[a:b])
+        for c, a, b in runs:  # np.dot costs less than np.matmul for each of so many small products
+            np.dot(sorted_h[a:b], self.member[c], out=logits[a:b])
         d = self._miss(logits, member[order], n)
         for c, a, b in runs:
             of = d[a:b]
-            np.matmul(sorted_h[a:b].T, of, out=g_members[c])
-            np.matmul(of, members[c, :-1].T, out=back[a:b])
+            np.dot(sorted_h[a:b].T, of, out=g.member[c])
+            np.dot(of, self.member_back[c], out=back[a:b])
         if len(runs) < shape.classes:
-            g_members[np.setdiff1d(np.arange(shape.classes), [c for c, _, _ in runs])] = 0
+            g.at["members"][np.setdiff1d(np.arange(shape.classes), [c for c, _, _ in runs])] = 0
         dh[order] += back
-        dh *= plain > 0
+        dh *= h[:, :-1] > 0
         np.matmul(np.ones(n, dh.dtype), dh, out=g.at["bias"])
         inner = self.at["inner"].reshape(-1, shape.hidden)
-        np.matmul(self._near(around).T, dh, out=g.at["inner"].reshape(inner.shape))
+        np.matmul(near.T, dh, out=g.at["inner"].reshape(inner.shape))
         return _sums_by_id((dh @ inner.T).reshape(-1, shape.width), _narrow(around.ravel(), shape.ids + 1))
 
     def learn(self, around: np.ndarray, target: np.ndarray, squares: Network, g: Network, rate: float) -> None:
@@ -223,45 +234,89 @@ def _sums_by_id(rows: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return ids[heads].astype(np.int64), np.add.reduceat(rows, heads, axis=0) if len(heads) else rows
 
 
+def _pieces(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    """The rows in order, in pieces of about ``_BYTES`` of text."""
+    for rows in batches:
+        ends = np.cumsum(pc.binary_length(rows.column(text)).fill_null(0).to_numpy(zero_copy_only=False))
+        bounds = [0, *(np.flatnonzero(np.diff(ends // _BYTES)) + 1).tolist(), rows.num_rows]
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            if b > a:
+                yield rows.slice(a, b - a)
+
+
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words that str.split() finds in the texts in lower case, one after the other, and how many each text has."""
+    split = pc.utf8_split_whitespace(pa.array([(t or "").lower() for t in texts.to_pylist()], pa.string()))
+    words, owner = split.flatten(), pc.list_parent_indices(split)
+    some = pc.not_equal(words, "")  # white space at an end leaves an empty one
+    return words.filter(some), np.bincount(owner.filter(some).to_numpy(), minlength=len(texts))
+
+
 class Words:
-    """Ids of words: the frequent ones have their own, the rest share ``unknown`` by a hash."""
+    """Ids of words: the frequent ones have their own, the rest share ``unknown`` by a hash.
+
+    ``seldom`` has counts of some words without an id of their own, which then are looked up like the frequent ones.
+    """
 
-    def __init__(self, shape: Shape, frequent: Iterable[str]):
-        self.shape = shape
+    def __init__(self, shape: Shape, frequent: Iterable[str], seldom: Mapping[str, int] | None = None):
+        self.shape, seldom = shape, seldom or {}
         self.ids = {w: i for i, w in enumerate(frequent)}
+        self.listed = pa.array([*self.ids, *seldom], pa.string())
+        self.id_at = np.array([*self.ids.values(), *map(self.shared, seldom), -1], np.int64)  # the last is for words not listed
+        self.log_count_at = np.log([1] * len(self.ids) + list(seldom.values()) + [1])
 
     def shared(self, word: str) -> int:
         """The id of a word that has none of its own."""
         return self.shape.known + crc32(word.encode("utf-8", "surrogatepass")) % self.shape.unknown
 
-    def of(self, text: str) -> np.ndarray:
-        return self.of_words(text.lower().split())
+    def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Of each word: its id, and its place in the list, -1 if it is not there."""
+        places = pc.index_in(words, value_set=self.listed).fill_null(-1).to_numpy(zero_copy_only=False)
+        ids, other = self.id_at[places], places < 0
+        ids[other] = np.array([self.shared(w) for w in words.filter(pa.array(other)).to_pylist()], np.int64)
+        return ids, places
 
-    def of_words(self, words: list[str]) -> np.ndarray:
-        ids = np.fromiter(map(self.ids.get, words, repeat(-1)), np.int64, len(words))
-        other = ids < 0
-        rest = [crc32(w.encode("utf-8", "surrogatepass")) for w in compress(words, other.tolist())]
-        ids[other] = np.array(rest, np.int64) % self.shape.unknown + self.shape.known
-        return ids
-
-    def around(self, ids: np.ndarray) -> np.ndarray:
+    def around(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The ids on both sides of each place, in texts of these lengths that follow each other."""
         side = self.shape.side
-        padded = np.full(len(ids) + 2 * side, self.shape.ids, np.int64)
-        padded[side : side + len(ids)] = ids
-        offsets = [*range(side), *range(side + 1, 2 * side + 1)]
-        return np.stack([padded[k : k + len(ids)] for k in offsets], axis=1)
+        at = np.arange(len(ids)) + side * np.repeat(np.arange(1, len(lengths) + 1), lengths)
+        padded = np.full(len(ids) + side * (len(lengths) + 1), self.shape.ids, np.int64)
+        padded[at] = ids
+        return np.stack([padded[at + k] for k in range(-side, side + 1) if k], axis=1)
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """w, n: how often each word occurs in all documents."""
-    words = docs.select(F.explode(F.split(F.lower(text_or_empty(text)), _SPACE)).alias("w")).where("w <> ''")
-    return stored(words.groupBy("w").agg(F.count("*").alias("n")), "word-counts")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _pieces(batches, text):
+            counts = _split(rows.column(text))[0].value_counts()
+            yield pa.RecordBatch.from_arrays(counts.flatten(), ["w", "n"])
+
+    counted = docs.select(text).mapInArrow(task, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
+    return stored(counted, "word-counts")
+
+
+def at_least_as_frequent(counted: DataFrame, most: int) -> DataFrame:
+    """So many most frequent words or some more, in no order: counts of words by the size of their counts, in steps of 4 %, tell which."""
+    step = F.floor(F.log2(F.col("n")) * 16)
+    least, found = 0, 0
+    for r in sorted(counted.groupBy(step.alias("step")).count().collect(), reverse=True):
+        least, found = r["step"], found + r["count"]
+        if found >= most:
+            break
+    return counted.where(step >= least)
+
+
+def most_frequent(counted: DataFrame, most: int) -> DataFrame:
+    """So many most frequent words, ties by word, in this order. Each task sends as many rows to the sort, so few others may meet it."""
+    return at_least_as_frequent(counted, most).orderBy(F.desc("n"), "w").limit(most)
 
 
 def corpus_words(docs: DataFrame, shape: Shape, text: str = "text", counted: DataFrame | None = None) -> tuple[list[str], np.ndarray]:
     """The most frequent words of all documents (ties by word), and every id's share of all words."""
     counted = word_counts(docs, text) if counted is None else counted
-    best = counted.orderBy(F.desc("n"), "w").limit(shape.known).collect()
+    best = most_frequent(counted, shape.known).collect()
     total = counted.agg(F.sum("n")).first()[0] or 0
     counts = np.full(shape.ids, 1.0)
     counts[: len(best)] += [r.n for r in best]
@@ -276,11 +331,17 @@ def shared_totals(counted: DataFrame, words: Words) -> np.ndarray:
     totals = np.full(shape.unknown, _UNSEEN)
     for r in counted.groupBy(bucket).agg(F.sum("n").alias("n")).collect():
         totals[r.bucket] += r.n
-    for r in counted.orderBy(F.desc("n"), "w").limit(len(words.ids)).collect():
+    for r in most_frequent(counted, len(words.ids)).collect():
         totals[words.shared(r.w) - shape.known] -= r.n
     return totals
 
 
+def seldom_words(counted: DataFrame, frequent: int) -> dict[str, int]:
+    """The counts of the ``_SENT`` words that come after so many most frequent ones."""
+    best = most_frequent(counted, frequent + _SENT).collect()
+    return {r.w: r.n for r in best[frequent:]}
+
+
 def learnt(text: str, words: int, phase: int, every: int) -> np.ndarray:
     """The places of a text of so many words that a round learns; the phases 0 to ``every`` - 1 have each place once."""
     return np.arange((phase + crc32(text[:64].encode("utf-8", "surrogatepass"))) % every, words, every)
@@ -294,7 +355,7 @@ def train_round(docs: DataFrame, words: Words, network: Network, phase: int, tex
     """
     shape, start = network.shape, network.weights
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         local = Network(shape, start.copy())
         squares, room = Network(shape, np.full_like(start, 1e-3)), Network(shape, np.zeros_like(start))
         held, size, seen = [], 0, 0
@@ -306,30 +367,28 @@ def train_round(docs: DataFrame, words: Words, network: Network, phase: int, tex
                 local.learn(around[low : low + batch], target[low : low + batch], squares, room, rate)
             seen += len(target)
 
-        for rows in batches:
-            for value in rows[text]:
-                ids = words.of(value or "")
-                if not len(ids):
-                    continue
-                places = learnt(value, len(ids), phase, every)
-                if len(places):
-                    around = words.around(ids)
-                    held.append((around, ids) if every == 1 else (around[places], ids[places]))
-                    size += len(places)
+        for rows in _pieces(batches, text):
+            split, lengths = _split(rows.column(text))
+            ids, _ = words.of(split)
+            around = words.around(ids, lengths)
+            for value, end, n in zip(rows.column(text), np.cumsum(lengths).tolist(), lengths.tolist()):
+                places = slice(end - n, end) if every == 1 else end - n + learnt(value.as_py() or "", n, phase, every)
+                held.append((around[places], ids[places]))
+                size += len(held[-1][1])
                 if size >= _CHUNK:
                     learn()
                     held, size = [], 0
-        if held:
+        if size:
             learn()
         for chunk, low in enumerate(range(0, len(start), _WEIGHTS) if seen else ()):
-            yield pd.DataFrame({"chunk": [chunk], "seen": [seen], "weights": [local.weights[low : low + _WEIGHTS].tobytes()]})
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int32()), "seen": [seen], "weights": [local.weights[low : low + _WEIGHTS].tobytes()]})
 
     def average(rows: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(w, start.dtype).astype(np.float64) * n for w, n in zip(rows["weights"], rows["seen"]))
         mean = (total / rows["seen"].sum()).astype(start.dtype)
         return pd.DataFrame({"chunk": rows["chunk"][:1], "weights": [mean.tobytes()]})
 
-    made = docs.select(text).mapInPandas(task, "chunk int, seen bigint, weights binary")
+    made = docs.select(text).mapInArrow(task, "chunk int, seen bigint, weights binary")
     rows = made.groupBy("chunk").applyInPandas(average, "chunk int, weights binary").collect()
     if not rows:
         return network
@@ -342,55 +401,38 @@ def score(
     """Per document: doc_id, n_words, log_likelihood (sum of all words' log probabilities), mean_log_likelihood.
 
     With ``counted`` (of ``word_counts``) a word without an id of its own has its shared id's probability times its
-    share of all counted words under that id; one that was not counted is taken to occur half a time. Without
-    ``counted`` only the shared id's is taken.
+    share of all counted words under that id; one that was not counted is taken to occur half a time. Counts of words
+    that ``words`` lists are at hand, those of all others are joined. Without ``counted`` only the shared id's is taken.
     """
     shares = None if counted is None else np.log(shared_totals(counted, words))
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            sums = np.zeros(len(rows))
-            lengths = np.zeros(len(rows), np.int64)
-            rare: list[list[str]] = []
-            times: list[list[int]] = []
-            held: list[tuple[int, np.ndarray, np.ndarray]] = []
-            size = 0
-
-            def flush():
-                if held:
-                    around, target = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
-                    owner = np.repeat([h[0] for h in held], [len(h[2]) for h in held])
-                    sums[:] += np.bincount(owner, network.log_probabilities(around, target), len(sums))
-
-            for k, value in enumerate(rows["text"]):
-                split = value.lower().split()
-                ids = words.of_words(split)
-                lengths[k] = len(ids)
-                around = words.around(ids)
-                for low in range(0, len(ids), _CHUNK):
-                    held.append((k, around[low : low + _CHUNK], ids[low : low + _CHUNK]))
-                    size += len(held[-1][2])
-                    if size >= _CHUNK:
-                        flush()
-                        held, size = [], 0
-                seldom = Counter()
-                if shares is not None:
-                    shared = ids >= words.shape.known
-                    sums[k] -= shares[ids[shared] - words.shape.known].sum()
-                    seldom = Counter(compress(split, shared.tolist()))
-                rare.append(list(seldom))
-                times.append(list(seldom.values()))
-            flush()
-            yield pd.DataFrame({"id": rows["id"], "n_words": lengths, "log_likelihood": sums, "rare": rare, "times": times})
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _pieces(batches, "text"):
+            split, lengths = _split(rows.column("text"))
+            ids, places = words.of(split)
+            around = words.around(ids, lengths)
+            log = np.zeros(len(ids))
+            for low in range(0, len(ids), _CHUNK):
+                log[low : low + _CHUNK] = network.log_probabilities(around[low : low + _CHUNK], ids[low : low + _CHUNK])
+            rare = np.zeros(len(ids), bool)
+            if shares is not None:
+                shared, rare = ids >= words.shape.known, places < 0
+                log += words.log_count_at[places]
+                log[shared] -= shares[ids[shared] - words.shape.known]
+            owner = np.repeat(np.arange(len(lengths)), lengths)
+            ends = np.cumsum(np.bincount(owner[rare], minlength=len(lengths)))
+            left = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), split.filter(pa.array(rare)))
+            sums = np.bincount(owner, log, len(lengths))
+            yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(lengths, pa.int64()), pa.array(sums, pa.float64()), left], ["id", "n_words", "log_likelihood", "rare"])
 
     source = docs.select(F.col(f"`{doc_id}`").alias("id"), text_or_empty(text).alias("text"))
     kind = dict(source.dtypes)["id"]
-    made = source.mapInPandas(task, f"id {kind}, n_words bigint, log_likelihood double, rare array<string>, times array<int>")
+    made = source.mapInArrow(task, f"id {kind}, n_words bigint, log_likelihood double, rare array<string>")
     if counted is not None:
         # written once, so that a row keeps its number
         made = stored(made.withColumn("row", F.monotonically_increasing_id()), "scored")
-        seldom = made.select("row", F.inline(F.arrays_zip(F.col("rare").alias("w"), F.col("times").alias("times"))))
-        known = seldom.join(counted, "w", "left").select("row", (F.col("times") * F.log(F.coalesce(F.col("n").cast("double"), F.lit(_UNSEEN)))).alias("more"))
+        seldom = made.select("row", F.explode("rare").alias("w"))
+        known = seldom.join(counted, "w", "left").select("row", F.log(F.coalesce(F.col("n").cast("double"), F.lit(_UNSEEN))).alias("more"))
         made = made.join(known.groupBy("row").agg(F.sum("more").alias("more")), "row", "left")
         made = made.withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("more", F.lit(0.0)))
     mean = F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words"))
@@ -414,7 +456,7 @@ def score_documents(
     shape = Shape.of_vocabulary(counted.count()) if shape is None else shape
     rounds = every if rounds is None else rounds
     frequent, shares = corpus_words(docs, shape, text, counted)
-    words, network = Words(shape, frequent), Network.start(shape, shares)
+    words, network = Words(shape, frequent, seldom_words(counted, len(frequent))), Network.start(shape, shares)
     for turn in range(rounds):
         network = train_round(docs, words, network, turn * max(1, every // max(rounds, 1)), text, every)
     return score(docs, words, network, doc_id, text, counted)

@@ -3,7 +3,9 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from scanlytics.llm import masked_lm
 
@@ -86,3 +88,50 @@ def test_far_logits_are_told_apart():
     network.at["members"][:, -1] = [[-300, 300], [0, 0]]
     got = network.log_probabilities(np.full((4, 2), 4), np.arange(4))
     assert np.all(np.isfinite(got)) and np.allclose(got, [-600, -1000, 0, -1000], atol=2)
+
+
+def test_words_are_those_of_split(spark, monkeypatch):
+    monkeypatch.setattr(masked_lm, "_BYTES", 64)  # several pieces
+    blank = "".join(c for c in map(chr, [*range(1, 0xD800), *range(0xE000, 0x30000)]) if c.isspace())
+    texts = ["", None, " Ab  cd ", "A\u0130b \u039F\u03A3 x\u200by", blank + "a" + "b".join(blank) + "C", "ab " * 300, "\n", "one"]
+    split = [(t or "").lower().split() for t in texts]
+    words, lengths = masked_lm._split(pa.array(texts))
+    assert words.to_pylist() == sum(split, []) and lengths.tolist() == [len(s) for s in split]
+    pieces = list(masked_lm._pieces([pa.RecordBatch.from_pydict({"text": texts}), pa.RecordBatch.from_pydict({"text": ["z"]})], "text"))
+    assert len(pieces) > 2 and [t for p in pieces for t in p.column("text").to_pylist()] == [*texts, "z"]
+    got = {r.w: r.n for r in masked_lm.word_counts(table(spark, list(enumerate(texts)))).collect()}
+    assert got == {w: sum(s.count(w) for s in split) for w in set(sum(split, []))}
+
+
+def test_contexts_end_with_their_text():
+    words = masked_lm.Words(masked_lm.Shape(classes=3, members=4, unknown=2), "abcdefghij")
+    ids = np.arange(6)
+    apart = [words.around(ids[a:b], np.array([b - a])) for a, b in ((0, 1), (1, 1), (1, 6))]
+    assert np.array_equal(words.around(ids, np.array([1, 0, 5])), np.concatenate(apart))
+    assert apart[2].tolist()[0] == [12, 12, 2, 3] and apart[2].tolist()[4] == [3, 4, 12, 12]
+
+
+def test_words_at_hand_are_scored_as_joined_ones(spark):
+    rng = random.Random(2)
+    shape = masked_lm.Shape(classes=4, members=4, unknown=2)
+    docs = table(spark, [(d, " ".join("w%d" % int(rng.expovariate(0.03)) for _ in range(50))) for d in range(80)] + [(100, None), (101, "never w1 w1")])
+    counted = masked_lm.word_counts(docs.where("doc_id < 101"))
+    frequent, shares = masked_lm.corpus_words(docs, shape, counted=counted)
+    network = masked_lm.Network.start(shape, shares)
+    seldom = masked_lm.seldom_words(counted, len(frequent))
+    assert not set(seldom) & set(frequent) and len(seldom) == counted.count() - len(frequent)
+    half = dict(list(seldom.items())[::2])
+    joined, mixed, at_hand = (
+        {r.doc_id: r for r in masked_lm.score(docs, masked_lm.Words(shape, frequent, some), network, counted=counted).collect()} for some in (None, half, seldom)
+    )
+    for d, r in joined.items():
+        assert r.n_words == mixed[d].n_words == at_hand[d].n_words
+        assert r.log_likelihood == pytest.approx(mixed[d].log_likelihood) == pytest.approx(at_hand[d].log_likelihood)
+
+
+def test_few_rows_are_sorted_for_the_most_frequent_words(spark):
+    counted = spark.range(1, 20_001).select(F.concat(F.lit("w"), F.col("id") % 7, F.lit("_"), "id").alias("w"), (F.lit(100_000) / F.col("id")).cast("bigint").alias("n"))
+    every = sorted((-r.n, r.w) for r in counted.collect())
+    for most in (0, 1, 500, 19_999, 30_000):
+        assert [(-r.n, r.w) for r in masked_lm.most_frequent(counted, most).collect()] == every[:most]
+    assert 500 <= masked_lm.at_least_as_frequent(counted, 500).count() < 560
